@@ -34,6 +34,7 @@ def local_session(app: str = "scriptorium", cores: str = "*", **conf: str) -> Sp
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory; columns are pruned by the optimiser."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -62,9 +63,9 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers of a cluster that lacks it (once per context)."""
+    """Make this package importable in the Python workers, wherever they run (once per context)."""
     context = spark.sparkContext
-    if context.master.startswith("local[") or context.master == "local" or context.applicationId in _SHIPPED:
+    if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
     fd, name = tempfile.mkstemp(prefix="scriptorium-", suffix=".zip")

@@ -4,23 +4,22 @@ A train sample and a validation or test sample overlap if they are the same reco
 both have at least ``min_words`` words and their word sequences differ by at most ``share`` of the longer
 one's words (inserted, deleted or replaced).
 
-Method: a weighted cosine join between the splits. A text's vector has a term for every occurrence of a
-word, with the weight 1 / sqrt(n): equal weights are the only ones under which the edit budget bounds the
-cosine (two sequences within d = floor(share * longest) edits have a dot product of at least
-1 - d / longest), so no true pair is lost. The inverted lists are pruned
+Method: a weighted cosine join between the splits. A text's vector has a term for every pair of adjacent words at every place,
+with the weight 1 / sqrt(number of terms): equal weights are the only ones under which the edit budget bounds the cosine. One
+edit changes at most two terms, so of two sequences within d = floor(share * longest) edits each keeps all but 2 d of its terms, and
+no true pair is lost. The inverted lists are pruned
 
 * by maximum weight: weights differ only by length, so lists are probed within the lengths allowed,
-* by residual norm: of a vector's terms, rarest first, only the first d + 1 are listed, since the norm of the
-  rest is below what the dot product needs; one of the kept words must be among them on both sides,
-* by place: kept words move by at most d positions.
+* by residual norm: of a vector's terms, rarest first, only the first 2 d + 1 are listed, since the norm of the
+  rest is below what the dot product needs; the first kept term is among them on both sides,
+* by place: kept terms move by at most d places,
+* by signature: the words' parity in 126 hashed bits differs in at most two bits for each edit.
 
-Rare terms are listed alone. Common terms (frequent among the evaluation texts) are listed in pairs, two
-kept ones being among the first d + 2 on both sides; so lists stay short however common words are, and
-nothing is capped or dropped. Candidates get their exact dot product, and those that pass their exact word
-distance (Myers' bit-parallel recurrence).
+Candidates get their exact dot product over words, and those that pass their exact word distance (Myers' bit-parallel
+recurrence). Nothing is capped or dropped.
 
 Term rarity only orders the lists. It comes from a count over all evaluation texts in ``buckets`` hashed
-counters, whose size is fixed: this table alone is broadcast.
+counters, whose size is fixed: this table alone is broadcast. Train terms that no evaluation text has come first and are not listed.
 
 Texts with equal word sequences are one class and are compared once; ``near_classes`` gives the links
 between classes, ``overlap_members`` the classes of the samples. ``overlapping_pairs`` spells the pairs out.
@@ -89,12 +88,6 @@ def overlap_members(samples: DataFrame, *, text: str = "canonical_target", id_co
     return cut(rows.where("id is not null and split is not null and text is not null").mapInArrow(run, _ENCODED), "members")
 
 
-def _word_hash(word: str) -> int:
-    """The signed 64-bit hash that Spark's xxhash64 gives a string."""
-    h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
 def word_distance(a: list[str], b: list[str], most: int) -> int:
     """Edits that turn one word sequence into the other (Myers); most + 1 as soon as there are more than ``most``."""
     if abs(len(a) - len(b)) > most:
@@ -122,77 +115,96 @@ def word_distance(a: list[str], b: list[str], most: int) -> int:
     return score
 
 
+class Terms:
+    """The terms of a batch of texts as arrays: hash, text, place of each, and the texts' signatures."""
+
+    _known: dict[str, int] = {}
+
+    def __init__(self, lines: list[str]) -> None:
+        known = Terms._known
+        if len(known) > _CACHE_WORDS:
+            known.clear()
+        parts = [line.split(" ") for line in lines]
+        hashes: list[int] = []
+        for ws in parts:
+            for w in ws:
+                h = known.get(w)
+                if h is None:
+                    h = known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42)
+                hashes.append(h)
+        words = np.array(hashes, np.uint64)
+        self.n = np.array([len(ws) for ws in parts], np.int64)
+        starts = np.cumsum(self.n) - self.n
+        text = np.repeat(np.arange(len(parts)), self.n)
+        place = np.arange(len(words)) - starts[text]
+        bit = (words >> np.uint64(24)) % np.uint64(SIGNATURE_BITS)
+        one = np.uint64(1)
+        low = np.where(bit < 63, one << np.minimum(bit, np.uint64(62)), np.uint64(0))
+        high = np.where(bit >= 63, one << (np.maximum(bit, np.uint64(63)) - np.uint64(63)), np.uint64(0))
+        self.low = np.bitwise_xor.reduceat(low, starts).astype(np.int64) if len(parts) else np.zeros(0, np.int64)
+        self.high = np.bitwise_xor.reduceat(high, starts).astype(np.int64) if len(parts) else np.zeros(0, np.int64)
+        pair = (words[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (words[1:] + np.uint64(0x632BE59BD9B4E019))
+        pair ^= pair >> np.uint64(29)
+        inside = text[:-1] == text[1:]
+        self.hash, self.text, self.place = pair[inside], text[:-1][inside], place[:-1][inside]
+
+
 def rarity_table(evaluation: DataFrame, buckets: int) -> np.ndarray:
-    """How often words of each hashed bucket occur in the evaluation texts; at most ``buckets`` counters."""
-    words = evaluation.select(F.explode(F.split("words", " ")).alias("word"))
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    """How often the terms of each hashed bucket occur in the evaluation texts; exactly ``buckets`` counters."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for b in batches:
+            total += np.bincount((Terms(b.column(0).to_pylist()).hash % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
+
+    got = evaluation.select("words").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(buckets, np.uint32)
-    got = counts.toArrow()
     table[got.column("bucket").to_numpy()] = np.minimum(got.column("n").to_numpy(), 2**32 - 1)
     return table
 
 
-def _keys(words: list[str], table: np.ndarray, share: float, common: int, cache: dict[str, tuple[int, int]], listed: bool) -> list[tuple[int, int]]:
-    """The keys under which a text is listed, with the place of each."""
-    ranked = []
-    for i, w in enumerate(words):
-        known = cache.get(w)
-        if known is None:
-            h = _word_hash(w)
-            known = cache[w] = (int(table[h % len(table)]), h)
-        ranked.append((*known, i))
-    d = int(share * len(words))
-    ranked.sort()
-    first = ranked[: d + 2]
-    keys = [(h, i) for df, h, i in first[: d + 1] if df <= common and (df or listed)]
-    # pairs in the order of the text, which kept words never change
-    heavy = sorted((i, h) for df, h, i in first if df > common)
-    for x, (i, h) in enumerate(heavy):
-        keys += [((h * 0x9E3779B97F4A7C15 ^ g) + 0x632BE59BD9B4E019 & (1 << 63) - 1, i) for _, g in heavy[x + 1 :]]
-    return keys
-
+_CACHE_WORDS, SIGNATURE_BITS = 200_000, 126
 
-_CACHE_WORDS = 200_000
 
-
-def near_classes(members: DataFrame, *, share: float = SHARE, buckets: int = 1 << 19, common: int = 24) -> DataFrame:
+def near_classes(members: DataFrame, *, share: float = SHARE, buckets: int = 1 << 21) -> DataFrame:
     """``a1, a2, b1, b2, distance``: links from evaluation classes (a) to different train classes (b), rows distinct."""
     spark = members.sparkSession
     ship_package(spark)
     long = members.where("words is not null")
-    classes = cut(
-        long.groupBy("w1", "w2").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval")),
-        "classes",
-    )
+    grouped = long.groupBy("w1", "w2").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval"))
+    classes = cut(grouped.withColumn("c", F.monotonically_increasing_id()), "classes")
     table = spark.sparkContext.broadcast(rarity_table(classes.where("in_eval"), buckets))
-    noise = int(table.value.sum()) // buckets
 
     def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[int, int]] = {}
         rarity = table.value
         for b in batches:
-            out: list[list] = [[], [], []]
-            for row, (words, in_eval) in enumerate(zip(b.column(3).to_pylist(), b.column(5).to_pylist(), strict=True)):
-                keys = _keys(words.split(" "), rarity, share, common + noise, cache, in_eval)
-                out[0] += [row] * len(keys)
-                out[1] += [k for k, _ in keys]
-                out[2] += [i for _, i in keys]
-            if len(cache) > _CACHE_WORDS:
-                cache.clear()
-            rows = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c).take(rows) for c in (0, 1, 2, 4, 5)), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], names=["w1", "w2", "n", "in_train", "in_eval", "key", "place"]
-            )
-
-    lists = classes.select("w1", "w2", "n", "words", "in_train", "in_eval").mapInArrow(listing, "w1 bigint, w2 bigint, n int, in_train boolean, in_eval boolean, key bigint, place int")
-    lists = cut(lists, "lists")
-    a = lists.where("in_eval").select("key", F.col("w1").alias("a1"), F.col("w2").alias("a2"), F.col("n").alias("an"), F.col("place").alias("ap"))
-    b = lists.where("in_train").select("key", F.col("w1").alias("b1"), F.col("w2").alias("b2"), F.col("n").alias("bn"), F.col("place").alias("bp"))
-    budget = F.floor(F.greatest("an", "bn") * F.lit(share) + F.lit(1e-9))
-    near = (F.abs(F.col("an") - F.col("bn")) <= budget) & (F.abs(F.col("ap") - F.col("bp")) <= budget) & ((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2")))
-    pairs = a.join(b, "key").where(near).select("a1", "a2", "b1", "b2").distinct()
-    with_a = pairs.join(classes.select(F.col("w1").alias("a1"), F.col("w2").alias("a2"), F.col("words").alias("a_words")), ["a1", "a2"])
-    with_b = with_a.join(classes.select(F.col("w1").alias("b1"), F.col("w2").alias("b2"), F.col("words").alias("b_words")), ["b1", "b2"])
+            t = Terms(b.column(2).to_pylist())
+            rare = rarity[t.hash % np.uint64(buckets)]
+            order = np.lexsort((t.place, t.hash, rare, t.text))
+            text = t.text[order]
+            rank = np.arange(len(text)) - np.searchsorted(text, text)
+            listed = b.column(4).to_numpy(zero_copy_only=False)
+            first = order[rank < 2 * np.floor(t.n[text] * share + 1e-9).astype(np.int64) + 1]
+            first = first[(rare[first] > 0) | listed[t.text[first]]]
+            at = t.text[first]
+            rows = pa.array(at, pa.int64())
+            own = [b.column(c).take(rows) for c in (0, 1, 3, 4)]
+            made = [pa.array(t.hash[first].astype(np.int64)), pa.array(t.place[first], pa.int32()), pa.array(t.low[at]), pa.array(t.high[at])]
+            yield pa.RecordBatch.from_arrays([*own, *made], names=["c", "n", "in_train", "in_eval", "key", "place", "low", "high"])
+
+    lists = cut(classes.select("c", "n", "words", "in_train", "in_eval").mapInArrow(listing, "c bigint, n int, in_train boolean, in_eval boolean, key bigint, place int, low bigint, high bigint"), "lists")
+    fields = ("c", "n", "place", "low", "high")
+    a, b = (lists.where(side).select("key", *[F.col(x).alias(f"{p}_{x}") for x in fields]) for p, side in (("a", "in_eval"), ("b", "in_train")))
+    budget = F.floor(F.greatest("a_n", "b_n") * F.lit(share) + F.lit(1e-9))
+    gap = F.abs(F.col("a_n") - F.col("b_n"))
+    flips = F.bit_count(F.col("a_low").bitwiseXOR(F.col("b_low"))) + F.bit_count(F.col("a_high").bitwiseXOR(F.col("b_high")))
+    near = (gap <= budget) & (F.abs(F.col("a_place") - F.col("b_place")) <= budget) & (flips <= 2 * budget - gap) & (F.col("a_c") != F.col("b_c"))
+    pairs = a.join(b, "key").where(near).select("a_c", "b_c").distinct()
+    texts = classes.select("c", "w1", "w2", "words")
+    for p in "ab":
+        pairs = pairs.join(texts.select(*[F.col(x).alias(f"{p}_{x}") for x in texts.columns]), f"{p}_c")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +229,7 @@ def near_classes(members: DataFrame, *, share: float = SHARE, buckets: int = 1 <
             keep = pa.array([g is not None for g in got], pa.bool_())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in range(4)), pa.array([g for g in got if g is not None], pa.int32())], names=["a1", "a2", "b1", "b2", "distance"])
 
-    return with_b.select("a1", "a2", "b1", "b2", "a_words", "b_words").mapInArrow(verify, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, distance int")
+    return pairs.select(*[F.col(f"{p}_w{k}").alias(f"{p}{k}") for p in "ab" for k in (1, 2)], "a_words", "b_words").mapInArrow(verify, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, distance int")
 
 
 def overlapping_pairs(samples: DataFrame, *, share: float = SHARE, min_words: int = MIN_WORDS, **columns: str) -> DataFrame:

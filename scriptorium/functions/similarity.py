@@ -7,11 +7,12 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .text import normalize_markdown
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def _matching_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     out = []
     for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):

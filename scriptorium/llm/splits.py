@@ -5,8 +5,7 @@ and the document in its page_id (what stands before the last colon). Only rows t
 keys link anything, so the graph is built from the distinct pairs of different keys; all other keys are
 groups of their own and never enter an iteration.
 
-Components: alternating large-star and small-star steps, each a minimum per node joined back over
-salted nodes, until nothing changes. Every round is cut by a table in the shared folder.
+Components: alternating large-star and small-star steps over salted nodes (``operators.components``).
 
 Assignment: component swap search. Components start from a hashed assignment. Large components (a bounded
 number: those with at least ``big_share`` of all rows) are placed first, largest first, where they fit best.
@@ -29,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from ..shared import cut, ship_package
 
 SPLITS = ("train", "validation", "test")
@@ -52,39 +52,6 @@ def document_keys(df: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(pairs: DataFrame, *, salts: int = 8, max_rounds: int = 60) -> DataFrame:
-    """``node, component`` for the nodes of ``pairs`` (a, b); the component is the smallest node of it."""
-
-    def salted_min_join(edges: DataFrame, least: DataFrame) -> DataFrame:
-        spread = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
-        return edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(spread, ["u", "s"]).drop("s")
-
-    def both(e: DataFrame) -> DataFrame:
-        return e.select(F.explode(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
-
-    # u > v: an edge hangs the larger node on the smaller
-    edges = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    size = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    for _ in range(max_rounds):
-        if not size[0]:
-            break
-        around = both(edges)
-        least = around.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = salted_min_join(around.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large, "cc")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = salted_min_join(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(small, "cc")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == size:
-            break
-        size = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
 def _grouped(rows: DataFrame, key: Column, *carried: str) -> DataFrame:
     """``rows`` (pre-aggregated, with key_a and key_b) with their ``group_id``."""
     keyed = rows.withColumn("key", key)

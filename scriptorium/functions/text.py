@@ -6,6 +6,8 @@ says they do. All functions give null for null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ BLANK = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 
 
+def bind(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands in the result."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
 
@@ -23,8 +30,7 @@ def rstrip(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """The lines of a text, without an empty last one; an empty text has none."""
-    parts = F.split(c, LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return bind(F.split(c, LINE_END), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def filled(c: Column) -> Column:
@@ -81,11 +87,12 @@ def normalize_whitespace(c: Column) -> Column:
 
 
 def normalize_headings(c: Column) -> Column:
-    def line(raw: Column) -> Column:
-        s = strip(raw)
+    def heading(s: Column) -> Column:
         at = F.instr(s, " ")
-        heading = rstrip(F.concat(F.substring_index(s, " ", 1), F.lit(" "), F.when(at > 0, strip(F.substring(s, at + 1, F.length(s)))).otherwise("")))
-        return F.when(F.startswith(s, F.lit("#")), heading).otherwise(rstrip(raw))
+        return rstrip(F.concat(F.substring_index(s, " ", 1), F.lit(" "), F.when(at > 0, strip(F.substring(s, at + 1, F.length(s)))).otherwise("")))
+
+    def line(raw: Column) -> Column:
+        return bind(strip(raw), lambda s: F.when(F.startswith(s, F.lit("#")), heading(s)).otherwise(rstrip(raw)))
 
     return F.array_join(F.transform(lines(c), line), "\n")
 

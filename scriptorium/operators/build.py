@@ -168,3 +168,8 @@ def shard_numbers(rows: DataFrame, *, key: str, order: list[str], size: str, tar
 
 def target_extension(target_type: Column) -> Column:
     return F.when(F.contains(target_type, F.lit("markdown")), "md").otherwise("txt")
+
+
+def once_per_id(rows: DataFrame, id_column: str) -> DataFrame:
+    """One row per id, the smallest of each column where deliveries differ."""
+    return rows.where(F.col(id_column).isNotNull()).groupBy(id_column).agg(*[F.min(c).alias(c) for c in rows.columns if c != id_column])

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import unescaped_dollars
+from ..functions.text import bind, unescaped_dollars
 
 
 def first_by_key(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
@@ -47,8 +47,12 @@ def table_topology(c: Column) -> Column:
 def shingles(c: Column, n: int) -> Column:
     """Distinct runs of n words (letters and digits, lower case) as hashes; shorter texts are one run."""
     words = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, n), " ")))
-    return F.when(F.size(words) > 0, F.array_distinct(runs))
+
+    def runs(w: Column) -> Column:
+        hashed = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, n), " ")))
+        return F.when(F.size(w) > 0, F.array_distinct(hashed))
+
+    return bind(words, runs)
 
 
 def quality_gates(c: Column) -> dict[str, Column]:

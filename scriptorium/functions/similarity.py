@@ -2,32 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .text import normalize_markdown
 
 
-@F.arrow_udf(DoubleType())
-def _matching_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
-    out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-        if x is None or y is None:
-            out.append(None)
-        elif x == y:
-            out.append(1.0)
-        else:
-            out.append(SequenceMatcher(a=x, b=y).ratio())
-    return pa.array(out, pa.float64())
+def _ratio(a: str | None, b: str | None) -> float | None:
+    if a is None or b is None:
+        return None
+    return 1.0 if a == b else SequenceMatcher(a=a, b=b).ratio()
 
 
-def edit_similarity(prediction: Column, reference: Column) -> Column:
-    """Ratio of matching characters of the normalised texts; 1 if both are empty. Asymmetric, as the algorithm is."""
-    return _matching_ratio(normalize_markdown(prediction), normalize_markdown(reference))
+def with_edit_similarity(rows: DataFrame, prediction: str, reference: str, out: str = "similarity") -> DataFrame:
+    """``rows`` with the ratio of matching characters of two columns' normalised texts; 1 if both are empty, null for null.
+
+    Asymmetric, as the algorithm is. Texts are normalised natively; only the two normalised columns and the row cross to Python.
+    """
+    columns = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = len(columns)
+            got = [_ratio(x, y) for x, y in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(got, pa.float64())], names=[*columns, out])
+
+    made = rows.select(*columns, normalize_markdown(F.col(prediction)).alias("_a"), normalize_markdown(F.col(reference)).alias("_b"))
+    return made.mapInArrow(run, StructType([*rows.schema.fields, StructField(out, DoubleType())]))
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:

@@ -194,7 +194,7 @@ def standalone_formula(c: Column) -> Column:
     for pattern in (r"^\$\$|\$\$$", r"^\$|\$$", r"^\\\[|\\\]$", r"^\\\(|\\\)$", r"\\label\{[^{}]*\}"):
         bare = strip(F.regexp_replace(bare, pattern, ""))
     bare = F.regexp_replace(F.regexp_replace(bare, r"[ \t]+", " "), r" *\n[\n ]*", "\n")
-    return F.when(bare != "", F.concat(F.lit("$$\n"), bare, F.lit("\n$$"))).otherwise("")
+    return F.when(bare != "", F.concat(F.lit("$$\n"), bare, F.lit("\n$$"))).when(bare == "", "")
 
 
 def chart_block(c: Column) -> Column:

@@ -28,7 +28,7 @@ def document_identity(title: Column, identifier: Column, url: Column) -> Column:
     """The strongest of a document's identities: its identifier, else its title's letters, else its address without scheme and query."""
     ident = F.lower(F.regexp_replace(identifier, r"(?i)^(?:https?://)?(?:dx\.)?(?:doi\.org/|arxiv\.org/abs/)|^(?:doi|arxiv|pmc):?|v\d+$", ""))
     name = F.lower(F.regexp_replace(title, r"[^\p{L}\p{N}]+", " "))
-    address = F.regexp_replace(F.regexp_replace(F.lower(url), r"^https?://(?:www\.)?", ""), r"[?#].*$|/+$", "")
+    address = F.regexp_replace(F.regexp_replace(F.lower(url), r"^https?://(?:www\.)?", ""), r"/*(?:[?#].*)?$", "")
     return F.coalesce(F.when(ident != "", F.concat(F.lit("id:"), ident)), F.when(F.length(F.trim(name)) >= 12, F.concat(F.lit("title:"), F.trim(name))), F.when(address != "", F.concat(F.lit("url:"), address)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,10 +90,14 @@ def findings(c: Column, *, html_tables: bool = True) -> Column:
     return F.concat(single, F.array_repeat(finding("warning", "table_shape_inconsistent"), uneven_tables(c)))
 
 
+def _of_severity(severity: str) -> Callable[[Column], Column]:
+    return lambda finding: finding["severity"] == severity
+
+
 def validate(rows: DataFrame, text: str, *, html_tables: bool = True, max_errors: int = 2) -> DataFrame:
     """``rows`` with the findings of a text, their numbers, whether it is valid and whether it needs a repair."""
     made = rows.withColumn("findings", findings(F.col(text), html_tables=html_tables))
-    made = made.withColumns({f"{s}_count": F.size(F.filter("findings", lambda x, s=s: x["severity"] == s)) for s in ("error", "warning")})
+    made = made.withColumns({f"{s}_count": F.size(F.filter("findings", _of_severity(s))) for s in ("error", "warning")})
     return made.withColumns({"valid": F.col("error_count") == 0, "repair_required": (F.col("error_count") >= max_errors) | (F.col("error_count") > 0)})
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.similarity import edit_similarity, levenshtein_ratio
+from ..functions.similarity import levenshtein_ratio, with_edit_similarity
 from ..operators import pages as P
 from ..shared import table
 
@@ -83,7 +83,7 @@ def edit_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "canonical_samples").where("page_id is not null").select("page_id", "canonical_target", "sample_id").groupBy("page_id").agg(F.min_by("canonical_target", "sample_id").alias("t"))
     p = s.select(F.regexp_replace("page_id", r"(?s):[^:]*$", "").alias("doc"), F.substring_index("page_id", ":", -1).cast("int").alias("page"), "t")
     nxt = p.select("doc", (F.col("page") - 1).alias("page"), F.col("t").alias("u"))
-    return p.join(nxt, ["doc", "page"]).select("doc", "page", F.round(edit_similarity(F.col("t"), F.col("u")), 6).alias("similarity"))
+    return with_edit_similarity(p.join(nxt, ["doc", "page"]), "t", "u").select("doc", "page", F.round("similarity", 6).alias("similarity"))
 
 
 def edit_ratio_native(spark: SparkSession, d: str) -> DataFrame:

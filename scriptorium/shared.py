@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_CUTS: list[str] = []
 
 
 def local_session(app: str = "scriptorium", cores: str = "*", **conf: str) -> SparkSession:
@@ -45,7 +48,9 @@ def shared_dir(spark: SparkSession) -> str:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         known = jdir.get() if jdir.isDefined() else None
     if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
+        own = tempfile.mkdtemp(prefix="scriptorium-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        known = "file://" + own
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
 
@@ -58,10 +63,20 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{label}-{uuid.uuid4().hex}"
+    _CUTS.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> int:
+    """Delete the tables that ``cut`` wrote in this process, once their results are written; returns their number."""
+    done = 0
+    while _CUTS:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        done += bool(jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True))
+    return done
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, wherever they run (once per context)."""
     context = spark.sparkContext

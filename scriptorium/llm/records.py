@@ -19,18 +19,19 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from unicodedata import category
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import ship_package
+from ..shared import cut, ship_package
 from .form import to_form
 
 _WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
 _PLAIN_WORD = re.compile(r"[^\W_]+")
-_MARK = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u07f3\u0816-\u0dff\u0e31-\u1aff\u1b00-\u1cff\u1dc0-\u1dff\u20d0-\u20ff\u2cef-\u2df0\ua66f-\uabff\ufb1e\ufe20-\ufe2f\U00010000-\U0010ffff]")
+_MARKS = frozenset(c for c in map(chr, range(0x300, 0x1F000)) if category(c)[0] == "M")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
 _FIELD_LINE = re.compile(r"\s*(?:(?:[-*+•·‣]|\d{1,3}[.)])\s+)?(?P<name>[^:\n]{1,80}?):(?P<value>.*)", re.DOTALL)
 _JSON_STRING = r'"((?:[^"\\]|\\.)*)"'
@@ -48,7 +49,7 @@ def words_of(form: str) -> list[str]:
     folded = form.casefold()
     if folded.isascii():
         return _ASCII_WORD.findall(folded)
-    return (_WORD if _MARK.search(folded) else _PLAIN_WORD).findall(folded)
+    return (_PLAIN_WORD if _MARKS.isdisjoint(set(folded)) else _WORD).findall(folded)
 
 
 def _unescape(text: str) -> str:
@@ -144,7 +145,7 @@ def record_members(df: DataFrame, text: str = "canonical_target", id_column: str
     The members meet their record's smallest id over salted keys: a record with a third of all rows is
     spread over ``salts`` tasks, and only records with copies are repeated once per salt.
     """
-    members = record_tuples(df, text, id_column).distinct()
+    members = cut(record_tuples(df, text, id_column).distinct(), "records")
     groups = members.groupBy("record").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     spread = groups.select("record", "first_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))

@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,7 @@ MIN_WORDS, QUOTE_WORDS, CELL_WORDS, SLOTS, HASHES = 30, 25, 5, 1 << 20, 3
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MATH = re.compile(r"\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|\$[^$\n]+\$|```.*?```|`[^`\n]*`|https?://\S+|<\|[^|\n]*\|>|<[^<>\n]{1,40}>", re.DOTALL)
 _QUOTE = re.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"\n]*\"")
+_QUOTES = frozenset("“«„\"")
 _SENTENCE = re.compile(r"[.!?…][”\")»]*\s+(?![a-zß-öø-ÿа-яё])")
 _CAPTION = re.compile(r"\s*\**[^\W\d_]+\**\s*(?:\d+\s*)?:\s")
 _BLOCK = re.compile(r"\n\s*\n")
@@ -64,7 +66,11 @@ def label_code(column: Column) -> Column:
 
 def segments_of(text: str) -> list[str]:
     """The sentences of a text's running text, in order."""
-    form = _MATH.sub(" ", to_form(text)[0].replace("\r\n", "\n").replace("\r", "\n"))
+    form = to_form(text)[0]
+    if "\r" in form:
+        form = form.replace("\r\n", "\n").replace("\r", "\n")
+    if "$" in form or "\\" in form or "`" in form or "<" in form or "http" in form:
+        form = _MATH.sub(" ", form)
     out: list[str] = []
     for block in _BLOCK.split(form):
         prose: list[str] = []
@@ -82,7 +88,8 @@ def segments_of(text: str) -> list[str]:
         if _CAPTION.match(joined) and len(prose) == 1 and len(joined) < 120:
             continue
         if joined:
-            joined = _QUOTE.sub(lambda m: " " if len(_LETTERS.findall(m.group())) <= QUOTE_WORDS else m.group(), joined)
+            if not _QUOTES.isdisjoint(joined):
+                joined = _QUOTE.sub(lambda m: " " if len(_LETTERS.findall(m.group())) <= QUOTE_WORDS else m.group(), joined)
             out += [s for s in _SENTENCE.split(joined) if s]
     return out
 
@@ -144,13 +151,14 @@ class Filters:
         """Language, confidence and number of words that the language knows, of each list of words (none is empty)."""
         if not parts:
             return []
-        new = [w for w in dict.fromkeys(w for ws in parts for w in ws) if w not in self.places]
-        if new:
-            self._learn(new)
-        if any(ws[0] not in self.places for ws in parts):  # the store was emptied
-            self._learn([w for w in dict.fromkeys(w for ws in parts for w in ws) if w not in self.places])
-        at = self.places
-        rows = [at[w] for ws in parts for w in ws]
+        flat = list(chain.from_iterable(parts))
+        rows = list(map(self.places.get, flat))
+        if None in rows:
+            self._learn(list(dict.fromkeys(w for w, r in zip(flat, rows, strict=True) if r is None)))
+            rows = list(map(self.places.get, flat))
+            if None in rows:  # the store was emptied on the way
+                self._learn(list(dict.fromkeys(w for w, r in zip(flat, rows, strict=True) if r is None)))
+                rows = list(map(self.places.get, flat))
         starts = np.cumsum([0, *(len(ws) for ws in parts[:-1])])
         votes = np.add.reduceat(self.votes[rows], starts, axis=0)
         # columns: a language's corrected n-grams, then whether it knows the word

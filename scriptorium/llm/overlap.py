@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import cut, ship_package
-from .form import to_form
+from .form import normalise_column, to_form
 from .records import _halves, fields_of, once_each, words_of
 from .splits import split_name
 
@@ -68,23 +68,25 @@ def _encode(text: str | None, min_words: int) -> tuple | None:
     return (*r, *w, len(words), line if len(words) >= min_words else None)
 
 
-_ENCODED = "id string, split string, r1 bigint, r2 bigint, w1 bigint, w2 bigint, n int, words string"
+_CLASSES = ("r1", "r2", "w1", "w2")
+_ENCODED = "id string, split string, carried string, r1 bigint, r2 bigint, w1 bigint, w2 bigint, n int, words string"
 
 
-def overlap_members(samples: DataFrame, *, text: str = "canonical_target", id_column: str = "sample_id", split: str = "split_assignment", min_words: int = MIN_WORDS) -> DataFrame:
-    """``id, split, r1, r2, w1, w2, n, words``: each sample with its record class (r) and word class (w), written to the shared folder."""
+def overlap_members(samples: DataFrame, *, text: str = "canonical_target", id_column: str = "sample_id", split: str = "split_assignment", carried: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:
+    """``id, split, carried, r1, r2, w1, w2, n, words``: each sample with its record class (r) and word class (w), written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = once_each(b.column(2), lambda t: _encode(t, min_words))
+            got = once_each(b.column(3), lambda t: _encode(t, min_words))
             keep = [g is not None for g in got]
             cols = list(zip(*(g for g in got if g is not None), strict=True)) or [[]] * 6
-            ids = [c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]]
+            ids = [c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:3]]
             kinds = [pa.int64()] * 4 + [pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "split", "r1", "r2", "w1", "w2", "n", "words"])
+            yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "split", "carried", "r1", "r2", "w1", "w2", "n", "words"])
 
     ship_package(samples.sparkSession)
-    rows = samples.select(F.col(id_column).cast("string").alias("id"), split_name(F.col(split)).alias("split"), F.col(text).alias("text"))
+    extra = F.col(carried).cast("string") if carried else F.lit(None).cast("string")
+    rows = samples.select(F.col(id_column).cast("string").alias("id"), split_name(F.col(split)).alias("split"), extra.alias("carried"), F.col(text).alias("text"))
     return cut(rows.where("id is not null and split is not null and text is not null").mapInArrow(run, _ENCODED), "members")
 
 
@@ -259,15 +261,32 @@ def overlapping_pairs(samples: DataFrame, *, share: float = SHARE, min_words: in
     return same.unionByName(equal).unionByName(near).groupBy("eval_id", "train_id").agg(F.min("distance").alias("distance"))
 
 
-def overlap_counts(samples: DataFrame, pairs: DataFrame, *, source: str = "source_id") -> DataFrame:
-    """Per evaluation split and source (trimmed, lower case): samples, samples that overlap with train, their pairs."""
-    from .form import normalise_column
+def overlap_counts(samples: DataFrame, *, source: str = "source_id", share: float = SHARE, min_words: int = MIN_WORDS) -> DataFrame:
+    """Per evaluation split and source (in form, trimmed, lower case): samples, samples that overlap with train, their pairs.
 
-    known = samples.select("sample_id", split_name(F.col("split_assignment")).alias("split"), F.col(source).alias("source_id")).where("split in ('validation', 'test') and sample_id is not null").dropDuplicates(["sample_id"])
-    clean = normalise_column(known, "source_id", "clean", "_kinds").select("sample_id", "split", F.coalesce(F.lower(F.regexp_replace("clean", r"^\s+|\s+$", "")), F.lit("")).alias("source_id"))
-    per_sample = pairs.groupBy(F.col("eval_id").alias("sample_id")).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("distance") == 0).alias("same"))
-    return (
-        clean.join(per_sample, "sample_id", "left")
-        .groupBy("split", "source_id")
-        .agg(F.count(F.lit(1)).alias("samples"), F.count("pairs").alias("leaked"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("same"), F.lit(0)).alias("same_record_pairs"))
+    Pairs are counted, not spelt out: a sample's pairs are the train samples of its record, and those of near word classes with another
+    record. Groups of copies are rows with a number from the first aggregation on. Samples without words count as samples.
+    """
+    known = samples.select("sample_id", "split_assignment", "canonical_target", F.col(source).alias("source_id")).where("sample_id is not null")
+    clean = normalise_column(known, "source_id", "_form", "_kinds").withColumn("_source", F.coalesce(F.lower(F.regexp_replace("_form", r"^\s+|\s+$", "")), F.lit("")))
+    members = overlap_members(clean, carried="_source", min_words=min_words)
+    links = cut(near_classes(members, share=share), "links")
+    once = members.select("id", "split", "carried", *_CLASSES, F.col("words").isNotNull().alias("long")).distinct()
+    classes = cut(once.groupBy("split", "carried", *_CLASSES, "long").agg(F.count(F.lit(1)).alias("k")), "classes")
+    train, evaluation = classes.where("split = 'train'"), classes.where("split <> 'train'")
+    same = train.groupBy("r1", "r2").agg(F.sum("k").alias("same"))
+    listed = train.where("long").groupBy(*_CLASSES).agg(F.sum("k").alias("k")).select(F.col("r1").alias("t1"), F.col("r2").alias("t2"), F.col("w1").alias("b1"), F.col("w2").alias("b2"), "k")
+    own = evaluation.where("long").select(*_CLASSES).distinct()
+    alike = own.select(F.col("w1").alias("a1"), F.col("w2").alias("a2"), F.col("w1").alias("b1"), F.col("w2").alias("b2")).distinct()
+    reach = links.select("a1", "a2", "b1", "b2").unionByName(alike)
+    met = own.join(reach, (F.col("w1") == F.col("a1")) & (F.col("w2") == F.col("a2"))).join(listed, ["b1", "b2"]).where("r1 <> t1 or r2 <> t2")
+    near = met.groupBy(*_CLASSES).agg(F.sum("k").alias("near"))
+    counted = evaluation.join(same, ["r1", "r2"], "left").join(near, list(_CLASSES), "left")
+    counted = counted.select("split", F.col("carried").alias("source_id"), "k", F.coalesce("same", F.lit(0)).alias("same"), F.coalesce("near", F.lit(0)).alias("near"))
+    found = counted.groupBy("split", "source_id").agg(
+        F.sum(F.when(F.col("same") + F.col("near") > 0, F.col("k")).otherwise(0)).alias("leaked"), F.sum(F.col("k") * (F.col("same") + F.col("near"))).alias("pairs"), F.sum(F.col("k") * F.col("same")).alias("same_record_pairs")
     )
+    named = clean.select("sample_id", split_name(F.col("split_assignment")).alias("split"), F.col("_source").alias("source_id")).where("split in ('validation', 'test')").distinct()
+    totals = named.groupBy("split", "source_id").agg(F.count_distinct("sample_id").alias("samples"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("leaked", "pairs", "same_record_pairs")]
+    return totals.join(found, ["split", "source_id"], "left").select("split", "source_id", "samples", *zero)

@@ -71,8 +71,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
-    s = _samples(spark, d)
-    return overlap_counts(s, overlapping_pairs(s))
+    """Overlaps per evaluation split and source."""
+    return overlap_counts(_samples(spark, d))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

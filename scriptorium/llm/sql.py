@@ -1,3 +1,24 @@
-"""Equivalent SQL of those training-data queries that SQL can express on whole tables."""
+"""Equivalent SQL of those training-data queries that SQL can express on whole tables.
 
-SQL: dict[str, str] = {}
+The character forms (p2_found) are told by regular expressions and the engine's own composition here, the groups (p5_found) by
+recursion. The others need exact forms, tokenizers, hashes or distances that the engine has not.
+"""
+
+_INVISIBLE = r"[\p{Cf}\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f\x{34F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}]"
+_BLANK = r"[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+_WIDTH = r"[\x{FF01}-\x{FF9F}\x{FFA1}-\x{FFBE}\x{FFC2}-\x{FFC7}\x{FFCA}-\x{FFCF}\x{FFD2}-\x{FFD7}\x{FFDA}-\x{FFDC}\x{FFE0}-\x{FFE6}\x{FFE8}-\x{FFEE}]"
+_LIGATURE = r"[\x{132}\x{133}\x{FB00}-\x{FB06}\x{FB13}-\x{FB17}\x{FB4F}]"
+_BETWEEN = r"[\pN\pM]*"
+_MIXED = rf"\p{{Latin}}{_BETWEEN}[\p{{Cyrillic}}\p{{Greek}}]|[\p{{Cyrillic}}\p{{Greek}}]{_BETWEEN}\p{{Latin}}|\p{{Greek}}{_BETWEEN}\p{{Cyrillic}}|\p{{Cyrillic}}{_BETWEEN}\p{{Greek}}"
+_SPLIT = "CASE regexp_replace(lower(split_assignment), '[\\s\\pZ]+', '', 'g') WHEN 'val' THEN 'validation' WHEN 'dev' THEN 'validation' WHEN 'valid' THEN 'validation' WHEN 'validation' THEN 'validation' WHEN 'train' THEN 'train' WHEN 'test' THEN 'test' END"
+_PAGE_DOC = "regexp_extract(page_id, '(?s)^(.*):[^:]*$', 1)"
+
+SQL: dict[str, str] = {
+    "p2_found": f"""WITH v AS (SELECT 'canonical_target' AS field, sample_id, canonical_target AS x FROM canonical_samples UNION ALL SELECT 'source_id', sample_id, source_id FROM canonical_samples)
+ SELECT DISTINCT field, sample_id FROM v WHERE regexp_matches(x, '{_INVISIBLE}|{_BLANK}|{_WIDTH}|{_LIGATURE}') OR length(nfc_normalize(x)) < length(x) OR regexp_matches(x, '{_MIXED}')""",
+    "p5_found": f"""WITH RECURSIVE r AS (SELECT DISTINCT CASE WHEN trim(doc_id) <> '' THEN doc_id END AS a, CASE WHEN contains(page_id, ':') THEN nullif({_PAGE_DOC}, '') ELSE page_id END AS b, {_SPLIT} AS s FROM canonical_samples),
+ e AS (SELECT DISTINCT a AS u, b AS v FROM r WHERE a <> b UNION SELECT DISTINCT b, a FROM r WHERE a <> b),
+ reach AS (SELECT u AS n, u AS m FROM e UNION SELECT reach.n, e.v FROM reach JOIN e ON reach.m = e.u),
+ comp AS (SELECT n, min(m) AS g FROM reach GROUP BY n)
+ SELECT coalesce(g, k) AS group_id FROM (SELECT coalesce(a, b) AS k, s FROM r) LEFT JOIN comp ON k = n WHERE k IS NOT NULL AND s IS NOT NULL GROUP BY 1 HAVING count(DISTINCT s) > 1""",
+}

@@ -134,6 +134,8 @@ def test_pairs_against_all_pairs(spark):
     pairs = overlapping_pairs(df)
     got = [(r["eval_id"], r["train_id"]) for r in pairs.collect()]
     assert len(got) == len(set(got)) and set(got) == want and ("f2", "f1") in want
-    counts = overlap_counts(df, pairs).collect()
+    counts = overlap_counts(df).collect()
+    same = {(a, b) for a, b in want if kept[a][2] == kept[b][2]}
+    assert sum(r["same_record_pairs"] for r in counts) == len(same) and sum(r["leaked"] for r in counts) == len({b for b, _ in want})
     assert sum(r["pairs"] for r in counts) == len(want) and sum(r["samples"] for r in counts) == len({r[0] for r in rows if r[3] in ("val", "test")})
     assert overlapping_pairs(df.where("false")).count() == 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BLANK, count_of, lines, strip, unescaped_dollars
+from ..functions.text import count_of, lines, strip, unescaped_dollars
 
 # Weights and thresholds of the routing score.
 WEIGHTS = {"visual_density": 0.20, "formula_density": 0.20, "table_density": 0.18, "handwriting": 0.12, "chart": 0.08, "tiny_text": 0.07, "photo": 0.05}
@@ -134,7 +134,7 @@ def assemble(pages: DataFrame, *, key: str, number: str, text: str, min_repeat:
     back = F.array_position(F.reverse(F.transform("ls", strip)), F.col("last")).cast("int")
     gone = F.size("ls") - back + 1
     cut = F.when(F.array_contains("feet", F.col("last")), F.concat(F.slice("ls", 1, gone - 1), F.slice("ls", gone + 1, F.size("ls")))).otherwise(F.col("ls"))
-    page = joined.select(key, number, F.regexp_replace(F.array_join(cut, "\n"), f"^{BLANK}+|{BLANK}+$", "").alias("t"))
+    page = joined.select(key, number, strip(F.array_join(cut, "\n")).alias("t"))
     sep = f"\n\n{marker}\n\n" if marker else "\n\n"
     ordered = F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.col("t").alias("t"))))
     return page.groupBy(key).agg(F.array_join(F.filter(F.transform(ordered, lambda x: x["t"]), lambda t: t != ""), sep).alias("text"))

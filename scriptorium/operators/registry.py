@@ -47,8 +47,8 @@ def bundle_membership(bundles: DataFrame, selected: DataFrame) -> DataFrame:
     named = bundles.select("bundle_id", F.explode_outer("sources").alias("source_id"))
     kept = named.join(selected.select("source_id"), "source_id", "left_semi")
     bare = bundles.select("bundle_id").distinct().join(kept.select("bundle_id"), "bundle_id", "left_anti")
-    everything = selected.agg(F.array_sort(F.collect_set("source_id")).alias("all"))
-    return kept.select("bundle_id", "source_id").unionByName(bare.join(F.broadcast(everything)).select("bundle_id", F.explode("all").alias("source_id"))).distinct()
+    everything = selected.agg(F.array_sort(F.collect_set("source_id")).alias("all")).scalar()
+    return kept.select("bundle_id", "source_id").unionByName(bare.select("bundle_id", F.explode(everything).alias("source_id"))).distinct()
 
 
 def pick_in_order(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:

@@ -231,11 +231,38 @@ def shard_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("sample_id", F.sha2("target", 256).alias("target_hash"), F.get_json_object("sample_json", "$.bundle_id").alias("bundle_id"))
 
 
+def multilingual_quota(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of five languages under one quota."""
+    from ..sources.wiki import multilingual_pages
+
+    docs = table(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "text", "lang")
+    pages = multilingual_pages(docs, languages=["de", "fr", "es", "it", "nl"], total=100, order="doc_id")
+    return pages.select("doc_id", "lang")
+
+
+def file_split_inference(spark: SparkSession, d: str) -> DataFrame:
+    """Splits that file names tell, of names made from bundles and samples."""
+    from ..functions.text import split_of_path
+
+    s = table(spark, d, "canonical_samples").where("split_assignment is not null").select(F.concat(F.lit("data/"), F.lower(F.trim("split_assignment")), F.lit("-00000.parquet")).alias("path"))
+    return s.groupBy(split_of_path(F.col("path")).alias("split")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def markdown_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The nations of every region as a pipe table."""
+    from ..functions.text import markdown_table
+
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    rows = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("l"))
+    cells = F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), F.transform("l", lambda x: F.array(x["n_nationkey"].cast("string"), x["n_name"])))
+    return r.join(rows, r["r_regionkey"] == rows["n_regionkey"]).select("r_name", markdown_table(cells).alias("markdown"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         registry_audit, registry_audit_summary, registry_plan_order, bundle_source_fallback, registry_summary, protocol_membership, exact_dedup, near_dedup, formula_and_table_dedup, identity_dedup,
-        leakage_screen, quality_gates, bundle_acceptance, split_disjoint, holdout_exclusion, mixture_sample, anchor_draws, slice_rollup, publish_check, json_fields, page_projection, shard_roundtrip,
+        leakage_screen, quality_gates, bundle_acceptance, split_disjoint, holdout_exclusion, mixture_sample, anchor_draws, slice_rollup, publish_check, json_fields, page_projection, shard_roundtrip, multilingual_quota, file_split_inference, markdown_tables,
     )
 } | {
     "tex_to_markdown": tex_to_markdown, "jats_to_markdown": jats_to_markdown, "pagexml_to_markdown": pagexml_to_markdown, "voc_to_markdown": voc_to_markdown, "plotqa_to_markdown": plotqa_to_markdown,
@@ -292,5 +319,9 @@ SQL: dict[str, str] = {
  t AS (SELECT side, unnest(range(1, CAST(ceil((CASE side WHEN 'anchor' THEN 600 ELSE 5400 END - n) / size) AS BIGINT) + 1)) AS draw FROM n WHERE ceil((CASE side WHEN 'anchor' THEN 600 ELSE 5400 END - n) / size) > 0) SELECT side, CAST(draw AS INT) AS draw, count(*) AS n FROM t GROUP BY 1, 2""",
     "slice_rollup": """SELECT difficulty, slice, count(*) AS n, CAST(grouping(difficulty) * 2 + grouping(slice) AS BIGINT) AS level FROM (SELECT DISTINCT sample_id, coalesce(difficulty_tier, 'unknown') AS difficulty, unnest(slice_tags) AS slice FROM canonical_samples) GROUP BY ROLLUP (difficulty, slice)""",
     "publish_check": "SELECT count(*) AS rows, CAST(sum(target_samples) AS BIGINT) AS samples, count(DISTINCT bundle_id) AS bundles FROM source_allocation",
+    "multilingual_quota": """SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents WHERE lang IN ('de', 'fr', 'es', 'it', 'nl') AND length(text) >= 1500
+ AND regexp_matches(string_split(text, chr(10))[1], '[^\\s\\pZ]') AND len(regexp_extract_all(text, '\\n\\s*\\n')) >= 2) WHERE k <= 20""",
+    "file_split_inference": "SELECT CASE WHEN l IN ('val', 'dev', 'validation') THEN 'validation' WHEN l = 'test' THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM (SELECT lower(trim(split_assignment)) AS l FROM canonical_samples WHERE split_assignment IS NOT NULL) GROUP BY 1",
+    "markdown_tables": "SELECT r_name, '| key | name |' || chr(10) || '| :--- | :--- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
     "shard_roundtrip": "SELECT DISTINCT sample_id, sha256(canonical_target) AS target_hash, bundle_id FROM canonical_samples WHERE canonical_target IS NOT NULL",
 }

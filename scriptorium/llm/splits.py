@@ -14,7 +14,7 @@ exchanged in order to reduce the deviation of sizes and label counts from the wa
 being accepted ever more rarely, and every block keeps its best state.
 
 Defined cases: null, empty and blank keys are none; a row without key is a group of its own for the
-assignment (named by its id) and never a torn group; repeated rows count once in the torn report and once
+assignment (named by its id; without an id it is left out) and never a torn group; repeated rows count once in the torn report and once
 per sample_id in sizes; an empty table gives empty results; splits that are not known stay unassigned.
 """
 
@@ -32,6 +32,8 @@ from ..operators.components import connected_components
 from ..shared import cut, ship_package
 
 SPLITS = ("train", "validation", "test")
+MAX_BLOCKS = 10_000
+"""More tasks are of no use; a task anneals its components batch by batch, however many it has."""
 
 
 def split_name(column: Column) -> Column:
@@ -136,6 +138,7 @@ def assign_splits(samples: DataFrame, targets: DataFrame, *, label: str = "data_
     ship_package(spark)
     keyed = document_keys(samples.select("sample_id", "doc_id", "page_id", F.coalesce(F.col(label), F.lit("")).alias("label")))
     slim = keyed.distinct().groupBy("key_a", "key_b", F.when(F.coalesce("key_a", "key_b").isNull(), F.col("sample_id")).alias("lone"), "label").agg(F.count_distinct("sample_id").alias("n"))
+    slim = slim.where(F.coalesce("key_a", "key_b", "lone").isNotNull())
     found = _grouped(cut(slim, "split"), F.coalesce("key_a", "key_b", "lone"), "label", "n")
     per_label = found.groupBy("group_id", "label").agg(F.sum("n").alias("n"))
     groups = cut(per_label.groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("counts"), F.sum("n").alias("n_samples")), "groups")
@@ -159,7 +162,7 @@ def assign_splits(samples: DataFrame, targets: DataFrame, *, label: str = "data_
         big[r["group_id"]] = s
         for k, n in [*r["counts"].items(), (None, r["n_samples"])]:
             fixed[s][index.get(k, width - 1)] += n
-    blocks = max(1, math.ceil(groups.count() / block_components))
+    blocks = min(MAX_BLOCKS, max(1, math.ceil(groups.count() / block_components)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stable_hash, target_features
 from ..schemas import MANIFEST, columns_of
+from ..shared import cut
 
 GENERAL, SPECIALIST, REPAIR = "general", "specialist", "repair"
 
@@ -41,10 +42,22 @@ def in_scope(scope: Column, member: Column) -> Column:
     return scope.isNull() | F.array_contains(scope, member)
 
 
-def within_quota(rows: DataFrame, keys: list[str], order: list[Column], quota: Column) -> DataFrame:
-    """The first rows of every group, as many as its quota (null: all). The rank filter is applied before the shuffle too."""
+def within_quota(rows: DataFrame, keys: list[str], order: list[Column], quota: Column, most: int | None = None) -> DataFrame:
+    """The first rows of every group, as many as its quota (null: all).
+
+    With ``most``, the largest quota there is, groups are cut to that number where they are read, before any shuffle, so that no task sorts a
+    whole hot group; rows without quota are not ranked at all.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rank", F.row_number().over(w)).where(quota.isNull() | (F.col("_rank") <= quota)).drop("_rank")
+    if most is None:
+        return rows.withColumn("_rank", F.row_number().over(w)).where(quota.isNull() | (F.col("_rank") <= quota)).drop("_rank")
+    ranked = rows.where(quota.isNotNull()).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= int(most))
+    return ranked.where(F.col("_rank") <= quota).drop("_rank").unionByName(rows.where(quota.isNull()))
+
+
+def largest_quota(quotas: DataFrame, column: str = "quota") -> int:
+    """The largest quota of a registry table; 0 without any."""
+    return quotas.agg(F.max(column)).first()[0] or 0
 
 
 def source_limits(allocation: DataFrame, active: DataFrame | None = None) -> DataFrame:
@@ -99,20 +112,31 @@ def approved_samples(samples: DataFrame, k: int) -> DataFrame:
     return rows.withColumns({"difficulty_tier": F.when(hard, "hard").otherwise("medium"), "slice_tags": F.array_distinct(F.concat("slice_tags", F.array(F.lit(APPROVED_TAG))))})
 
 
+def number_rows(rows: DataFrame, order: list[str], out: str = "index") -> DataFrame:
+    """``rows`` with their number from 0 in the given total order.
+
+    Rows are range-sorted and written; each file part is numbered on its own and shifted by the sizes of the parts before it. No task sees more
+    than its range.
+    """
+    parts = cut(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    shifts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_shift"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return parts.withColumn("_inside", inside).join(shifts, "_part").withColumn(out, F.col("_shift") + F.col("_inside")).drop("_part", "_inside", "_shift")
+
+
 def synthetic_expansion(samples: DataFrame, recipes: list[str], target: int, order: str = "sample_id") -> DataFrame:
-    """Passes of recipes over samples until ``target`` rows are made, numbered in order of emission.
+    """Passes of recipes over samples until ``target`` rows are made, numbered in order of emission (pass, then sample).
 
-    The cyclic expansion explodes the passes that are needed (their number comes from the count), in order of pass and sample; only the target rows are numbered.
+    A sample's numbers follow from its place among all samples, so the expansion is not sorted. Without samples nothing is made.
     """
-    n = samples.count()
-    if not n or target <= 0:
-        return samples.limit(0).select("*", F.lit(None).cast("string").alias("recipe"), F.lit(None).cast("bigint").alias("emission"))
-    passes = -(-target // n)
-    rows = samples.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
-    picked = rows.orderBy("pass", order).limit(target)
-    number = F.row_number().over(Window.orderBy("pass", order)) - 1
+    numbered = number_rows(samples, [order])
+    n = F.lit(samples.count()).cast("bigint")
+    passes = F.ceil((F.lit(target) - F.col("index")) / n)
+    rows = numbered.where(F.col("index") < target).withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("bigint"), passes - 1)))
     names = F.array(*map(F.lit, recipes))
-    return picked.withColumn("emission", number.cast("bigint")).withColumn("recipe", F.get(names, F.pmod(F.col("pass"), F.lit(len(recipes))))).drop("pass")
+    made = rows.withColumns({"emission": F.col("_pass") * n + F.col("index"), "recipe": F.get(names, F.pmod(F.col("_pass"), F.lit(len(recipes))).cast("int"))})
+    return made.drop("_pass", "index")
 
 
 def repair_rows(failures: DataFrame, samples: DataFrame) -> DataFrame:

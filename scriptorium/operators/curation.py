@@ -89,14 +89,16 @@ def without_holdout(rows: DataFrame, holdout: DataFrame, key: str) -> DataFrame:
 def class_sample(rows: DataFrame, shares: DataFrame, *, by: str, id_column: str, total: int) -> DataFrame:
     """The rows of each class with the smallest hashes, up to its share of ``total``."""
     ranked = rows.join(shares, by).withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(F.sha2(F.col(id_column).cast("string"), 256), id_column)))
-    return ranked.where(F.col("_rank") <= F.floor(F.col("share") * total)).drop("_rank")
+    # the first bound is a constant, by which classes are cut before the shuffle
+    return ranked.where(F.col("_rank") <= int(total)).where(F.col("_rank") <= F.floor(F.col("share") * total)).drop("_rank")
 
 
 def anchor_draws(rows: DataFrame, *, anchor: Column, id_column: str, draws: int, anchor_share: float) -> DataFrame:
     """Draws with replacement: each side's rows in hashed order, repeated until its part of the draws is full."""
     sides = rows.withColumn("side", F.when(anchor, "anchor").otherwise("primary"))
     w = Window.partitionBy("side").orderBy(F.sha2(F.col(id_column).cast("string"), 256), id_column)
-    numbered = sides.withColumn("_n", F.row_number().over(w) - 1)
+    # no side needs more rows than there are draws: the constant bound cuts them before the shuffle
+    numbered = sides.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= int(draws)).withColumn("_n", F.col("_k") - 1)
     sizes = sides.groupBy("side").agg(F.count(F.lit(1)).alias("_size"))
     part = F.when(F.col("side") == "anchor", F.lit(int(draws * anchor_share))).otherwise(F.lit(draws - int(draws * anchor_share)))
     times = F.ceil((part - F.col("_n")) / F.col("_size")).cast("int")

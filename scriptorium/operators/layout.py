@@ -32,11 +32,28 @@ def suffix_match(names: DataFrame, members: DataFrame, *, name: str = "name", me
     return names.join(members.select(member, F.explode(tails).alias(name)), name).groupBy(name).agg(F.min(member).alias(member))
 
 
-def runs(rows: DataFrame, *, key: str, order: list[str], label: str) -> DataFrame:
-    """Each row with the number of its run: a new one begins wherever the label changes."""
-    w = Window.partitionBy(key).orderBy(*order)
-    change = F.when(F.lag(label).over(w).eqNullSafe(F.col(label)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    return rows.withColumn("_change", change).withColumn("run", F.sum("_change").over(w)).drop("_change")
+def runs(rows: DataFrame, *, key: str, order: list[str], label: str, chunk: Column | None = None) -> DataFrame:
+    """Each row with the number of its run from 1: a new one begins wherever the label changes (null is a label).
+
+    With ``chunk``, an expression that never falls along the order (a day of a time, say), a key's rows are numbered chunk by chunk and the
+    chunks stitched by their first and last labels, so that no task sees a whole hot key.
+    """
+    if chunk is None:
+        w = Window.partitionBy(key).orderBy(*order)
+        change = F.when(F.lag(label).over(w).eqNullSafe(F.col(label)) & (F.row_number().over(w) > 1), 0).otherwise(1)
+        return rows.withColumn("_change", change).withColumn("run", F.sum("_change").over(w)).drop("_change")
+    w = Window.partitionBy(key, "_chunk").orderBy(*order)
+    inner = F.when(F.lag(label).over(w).eqNullSafe(F.col(label)) | (F.row_number().over(w) == 1), 0).otherwise(1)
+    cut = rows.withColumn("_chunk", chunk).withColumn("_change", inner)
+    ends = cut.groupBy(key, "_chunk").agg(
+        F.min_by(F.struct(label), F.struct(*order)).alias("_first"), F.max_by(F.struct(label), F.struct(*order)).alias("_last"), F.sum("_change").alias("_inner")
+    )
+    k = Window.partitionBy(key).orderBy("_chunk")
+    opens = F.when((F.row_number().over(k) > 1) & F.lag("_last").over(k).eqNullSafe(F.col("_first")), 0).otherwise(1)
+    ends = ends.withColumn("_opens", opens)
+    shifts = ends.select(key, "_chunk", (F.sum(F.col("_opens") + F.col("_inner")).over(k) - F.col("_inner")).alias("_shift"))
+    numbered = cut.withColumn("run", F.sum("_change").over(w))
+    return numbered.join(shifts, [key, "_chunk"]).withColumn("run", F.col("run") + F.col("_shift")).drop("_chunk", "_change", "_shift")
 
 
 def run_texts(rows: DataFrame, *, key: str, order: list[str], label: str, text: str, drop: str | None = None) -> DataFrame:

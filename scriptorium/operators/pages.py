@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import count_of, lines, strip, unescaped_dollars
@@ -108,33 +108,33 @@ def validate_pages(pages: DataFrame) -> DataFrame:
     return made.withColumns({"error_count": F.col("error_count") + F.when(empty, 1).otherwise(0), "valid": F.col("valid") & ~empty})
 
 
-def repeated_lines(pages: DataFrame, key: str, line: str, least: int) -> Column:
-    """Whether a page's line stands on at least ``least`` pages of its document."""
-    return F.count(line).over(Window.partitionBy(key, line)) >= least
+def repeated_lines(pages: DataFrame, key: str, line: str, least: int) -> DataFrame:
+    """The lines that stand in ``line`` on at least ``least`` pages of a document."""
+    counts = pages.where(F.col(line).isNotNull()).groupBy(key, line).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") >= least).select(key, line)
 
 
 def assemble(pages: DataFrame, *, key: str, number: str, text: str, min_repeat: int = 2, marker: str | None = None) -> DataFrame:
     """One text per document: pages in order, without their repeated first and last lines, empty pages left out.
 
-    Candidates come from all original pages; the last line is looked for in what is left after the first line is gone. The
-    lines' counts are aggregated per document and line; only one document's pages meet in one row.
+    Candidates come from all original pages; the last line is looked for in what is left after the first line is gone. Counts are
+    aggregated and joined by document and line, which spreads a document with many pages. The result holds a document's text in one row, so only
+    there its pages meet.
     """
     made = pages.select(key, number, lines(F.col(text)).alias("ls"))
     bare = F.filter(F.transform("ls", strip), lambda x: x != "")
     made = made.withColumns({"head": F.get(bare, 0), "foot": F.when(F.size(bare) > 0, F.element_at(bare, -1))})
-    made = made.withColumns({"head_again": F.col("head").isNotNull() & repeated_lines(made, key, "head", min_repeat)})
-    feet = made.where("foot is not null").groupBy(key, "foot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_repeat)
-    foot_sets = feet.groupBy(key).agg(F.collect_set("foot").alias("feet"))
-    joined = made.join(foot_sets, key, "left")
+    heads = repeated_lines(made, key, "head", min_repeat).withColumn("head_again", F.lit(True))
+    feet = repeated_lines(made, key, "foot", min_repeat).withColumnsRenamed({"foot": "last"}).withColumn("foot_again", F.lit(True))
+    joined = made.join(heads, [key, "head"], "left")
     at = F.array_position(F.transform("ls", strip), F.col("head")).cast("int")
-    after = F.when(F.col("head_again"), F.concat(F.slice("ls", 1, at - 1), F.slice("ls", at + 1, F.size("ls")))).otherwise(F.col("ls"))
-    joined = joined.withColumn("ls", after)
+    joined = joined.withColumn("ls", F.when(F.col("head_again"), F.concat(F.slice("ls", 1, at - 1), F.slice("ls", at + 1, F.size("ls")))).otherwise(F.col("ls")))
     rest = F.filter(F.transform("ls", strip), lambda x: x != "")
-    joined = joined.withColumn("last", F.when(F.size(rest) > 0, F.element_at(rest, -1)))
+    joined = joined.withColumn("last", F.when(F.size(rest) > 0, F.element_at(rest, -1))).join(feet, [key, "last"], "left")
     back = F.array_position(F.reverse(F.transform("ls", strip)), F.col("last")).cast("int")
     gone = F.size("ls") - back + 1
-    cut = F.when(F.array_contains("feet", F.col("last")), F.concat(F.slice("ls", 1, gone - 1), F.slice("ls", gone + 1, F.size("ls")))).otherwise(F.col("ls"))
-    page = joined.select(key, number, strip(F.array_join(cut, "\n")).alias("t"))
+    kept = F.when(F.col("foot_again"), F.concat(F.slice("ls", 1, gone - 1), F.slice("ls", gone + 1, F.size("ls")))).otherwise(F.col("ls"))
+    page = joined.select(key, number, strip(F.array_join(kept, "\n")).alias("t"))
     sep = f"\n\n{marker}\n\n" if marker else "\n\n"
     ordered = F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.col("t").alias("t"))))
     return page.groupBy(key).agg(F.array_join(F.filter(F.transform(ordered, lambda x: x["t"]), lambda t: t != ""), sep).alias("text"))

@@ -24,10 +24,13 @@ def metric_cards(samples: DataFrame, computed: dict[str, Column], native: str |
     return samples.select(*(keep or []), F.map_from_entries(entries).alias("metrics"))
 
 
-def aggregate_metrics(cards: DataFrame, by: list[str]) -> DataFrame:
-    """Long form of the aggregates: the largest p95, the median p50, the mean of all else, each over the cards that have it; and pages per second."""
+def aggregate_metrics(cards: DataFrame, by: list[str], *, exact: bool = True) -> DataFrame:
+    """Long form of the aggregates: the largest p95, the median p50, the mean of all else, each over the cards that have it; and pages per second.
+
+    The exact median keeps a group's different values while it aggregates; for groups of too many, ``exact=False`` takes a bounded sketch.
+    """
     long = cards.select(*by, F.explode("metrics").alias("metric", "value")).where("value is not null")
-    value = F.when(F.col("metric") == P95, F.max("value")).when(F.col("metric") == P50, F.median("value")).otherwise(F.avg("value"))
+    value = F.when(F.col("metric") == P95, F.max("value")).when(F.col("metric") == P50, F.median("value") if exact else F.percentile_approx("value", 0.5, 10_000)).otherwise(F.avg("value"))
     got = long.groupBy(*by, "metric").agg(value.alias("value"))
     speed = got.where(F.col("metric") == P50).select(*by, F.lit("pages_per_second").alias("metric"), (1000.0 / F.greatest("value", F.lit(1e-8))).alias("value"))
     return got.unionByName(speed)

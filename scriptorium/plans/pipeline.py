@@ -44,7 +44,7 @@ def build(spark: SparkSession, config: StageConfig, samples: DataFrame, pairs: D
     rows = B.fan_out(samples.drop("bundle_id"), pairs, target="bundle_id")
     if "scope" in rows.columns:
         rows = rows.where(B.in_scope(F.col("scope"), F.col("bundle_id"))).drop("scope")
-    kept = B.within_quota(rows, ["bundle_id", "source_id"], [F.col("sample_id")], F.col("quota")).drop("quota")
+    kept = B.within_quota(rows, ["bundle_id", "source_id"], [F.col("sample_id")], F.col("quota"), B.largest_quota(pairs)).drop("quota")
     root = f"{config.output_root}/{config.stage}"
     manifest_path = f"{root}/manifest"
     sinks.write_manifest(B.manifest(kept), manifest_path)

@@ -91,7 +91,7 @@ def group_first_n(spark: SparkSession, d: str) -> DataFrame:
 
 def entity_runs(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
-    r = L.runs(e, key="user_id", order=["ts", "event_id"], label="event_type")
+    r = L.runs(e, key="user_id", order=["ts", "event_id"], label="event_type", chunk=F.date_trunc("week", "ts"))
     return r.groupBy("user_id", "run", "event_type").agg(F.count(F.lit(1)).alias("size"), F.min("event_id").alias("first_event"))
 
 

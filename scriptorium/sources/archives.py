@@ -201,7 +201,7 @@ class ShardWriter(DataSourceWriter):
             info.size = len(data)
             out.addfile(info, io.BytesIO(data))
 
-        for row in rows:
+        for row in self._guarded(rows, files):
             r = row.asDict(recursive=True)
             meta, target = (r["sample_json"] or "{}").encode(), (r["target"] or "").encode()
             size = len(meta) + len(target) + sum(len(a["payload"] or b"") for a in r["assets"] or [])
@@ -224,6 +224,19 @@ class ShardWriter(DataSourceWriter):
             out.close()
         return _Written(files, count)
 
+    @staticmethod
+    def _guarded(rows: Iterator, files: list[tuple[str, str]]) -> Iterator:
+        """The rows; a task that fails while it gets them leaves no hidden files behind."""
+        import os
+
+        try:
+            yield from rows
+        except BaseException:
+            for _, hidden in files:
+                if os.path.exists(hidden):
+                    os.remove(hidden)
+            raise
+
     def commit(self, messages: list[_Written]) -> None:
         import os
 

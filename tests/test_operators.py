@@ -108,6 +108,30 @@ def test_runs(spark):
     assert [r["run"] for r in L.runs(rows, key="k", order=["i"], label="label").orderBy("i").collect()] == [1, 1, 2, 2, 3, 4]
 
 
+def test_runs_in_chunks_are_the_same(spark):
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(rng.choice("uv"), i, rng.choice(["a", "a", "b", None])) for i in range(120)], "k string, i int, label string")
+    whole = {(r["k"], r["i"]): r["run"] for r in L.runs(rows, key="k", order=["i"], label="label").collect()}
+    for n in (1, 7, 50):
+        got = L.runs(rows, key="k", order=["i"], label="label", chunk=F.floor(F.col("i") / n))
+        assert {(r["k"], r["i"]): r["run"] for r in got.collect()} == whole
+
+
+def test_numbers_follow_the_order(spark):
+    rng = random.Random(7)
+    rows = spark.createDataFrame([(rng.randrange(10), i) for i in range(300)], "a int, b int").repartition(5)
+    got = B.number_rows(rows, ["a", "b"]).orderBy("index").collect()
+    assert [r["index"] for r in got] == list(range(300)) and [(r["a"], r["b"]) for r in got] == sorted((r["a"], r["b"]) for r in got)
+    assert B.number_rows(rows.where("false"), ["a"]).count() == 0
+
+
+def test_quota_with_and_without_bound(spark):
+    rows = spark.createDataFrame([(k, i, {"a": 3, "b": None, "c": 0}[k]) for k in "abc" for i in range(6)], "k string, i int, quota int")
+    for most in (None, 3):
+        got = sorted((r["k"], r["i"]) for r in B.within_quota(rows, ["k"], [F.col("i")], F.col("quota"), most).collect())
+        assert got == [("a", 0), ("a", 1), ("a", 2)] + [("b", i) for i in range(6)]
+
+
 def test_block_f1_and_metrics(spark):
     row = spark.range(1).select(S.block_f1(F.expr("array('a','a','b')"), F.expr("array('b','c')")).alias("f"), S.block_f1(F.expr("array()").cast("array<string>"), F.expr("array()").cast("array<string>")).alias("e"), S.block_f1(F.lit(None).cast("array<string>"), F.expr("array('a')")).alias("n")).first()
     assert (row["f"], row["e"], row["n"]) == (0.5, 1.0, 0.0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_pipe, strip, target_features
 from ..operators import build as B
-from ..shared import table
+from ..shared import spread, table
 
 # --- shared views -------------------------------------------------------------
 
@@ -50,7 +50,7 @@ def _sid(c: str = "source_id"):
 
 def manifest_record(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("canonical_target_hash"), *[c.alias(n) for n, c in target_features(t).items()])
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.sha2("text", 256).alias("canonical_target_hash"), *[c.alias(n) for n, c in target_features(t).items()])
 
 
 def bundle_fanout_stats(spark: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions.text import split_pipe, strip
 from ..operators import curation as C
 from ..operators import registry as R
 from ..operators.neardup import near_duplicate_classes
-from ..shared import shared_dir, table
+from ..shared import shared_dir, spread, table
 
 _B = r"[\s\x0b\x1c-\x1f\x85\pZ]"
 _SID = "lower(regexp_replace({}, '^" + _B + "+|" + _B + "+$', '', 'g'))"
@@ -92,7 +92,7 @@ def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicate_classes(table(spark, d, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+    return near_duplicate_classes(spread(table(spark, d, "documents").select("doc_id", "text"))).withColumnRenamed("id", "doc_id")
 
 
 def formula_and_table_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +118,7 @@ def leakage_screen(spark: SparkSession, d: str) -> DataFrame:
     items = grams(table(spark, d, "eval_items").select("item_id", "text"), "item_id")
     size = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     # items are a fixed small set; their runs are joined to the documents' by the optimiser's choice
-    hits = grams(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(items, "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("k"))
+    hits = grams(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id").join(items, "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("k"))
     worst = hits.join(size, "item_id").groupBy("doc_id").agg(F.max(F.col("k") / F.col("n")).alias("share"), F.count(F.lit(1)).alias("items"))
     action = F.when(F.col("share") >= 0.5, "exclude").when(F.col("share") >= 0.2, "hold_for_review").otherwise("keep_but_demote")
     return worst.select("doc_id", F.round("share", 6).alias("share"), "items", action.alias("action"))

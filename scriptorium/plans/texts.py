@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.similarity import levenshtein_ratio, with_edit_similarity
 from ..operators import pages as P
-from ..shared import table
+from ..shared import spread, table
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", "source")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "source"))
 
 
 def normalize_markdown(spark: SparkSession, d: str) -> DataFrame:

@@ -41,6 +41,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than cores over all cores, ahead of work that costs more than moving its rows.
+
+    Large tables have more partitions than there are cores and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor shares: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import ship_package
+from ..shared import ship_package, spread
 from .form import to_form
 
 # The languages' two-letter codes and their three-letter ones.
@@ -260,7 +260,7 @@ def language_stretches(documents: DataFrame, filters: Filters | None = None, *,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, item)], names=["id", "label", "stretches"])
 
     rows = documents.select(F.col(f"`{id_column}`").alias("id"), label_code(F.col(f"`{label}`")).alias("label"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, label string, stretches array<struct<language:string,confidence:double,words:int,known:int>>")
+    return spread(rows).mapInArrow(run, f"id {kind}, label string, stretches array<struct<language:string,confidence:double,words:int,known:int>>")
 
 
 def document_languages(stretches: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import ship_package
+from ..shared import ship_package, spread
 from .form import to_form
 from .records import words_of
 
@@ -149,7 +149,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, errors: int = 0, win
             size = 0
         chunks[-1].append((r["id"], words_of(to_form(r["text"])[0])))
         size += len(r["text"])
-    rows = documents.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{id_column}`").isNotNull()).select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = spread(documents.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{id_column}`").isNotNull()).select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
 
     def scan(chunk: list) -> DataFrame:
         sent = spark.sparkContext.broadcast(chunk)

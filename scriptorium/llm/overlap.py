@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import cut, ship_package
+from ..shared import cut, ship_package, spread
 from .form import normalise_column, to_form
 from .records import _halves, fields_of, once_each, words_of
 from .splits import split_name
@@ -87,7 +87,7 @@ def overlap_members(samples: DataFrame, *, text: str = "canonical_target", id_co
     ship_package(samples.sparkSession)
     extra = F.col(carried).cast("string") if carried else F.lit(None).cast("string")
     rows = samples.select(F.col(id_column).cast("string").alias("id"), split_name(F.col(split)).alias("split"), extra.alias("carried"), F.col(text).alias("text"))
-    return cut(rows.where("id is not null and split is not null and text is not null").mapInArrow(run, _ENCODED), "members")
+    return cut(spread(rows.where("id is not null and split is not null and text is not null")).mapInArrow(run, _ENCODED), "members")
 
 
 def word_distance(a: list[str], b: list[str], most: int) -> int:

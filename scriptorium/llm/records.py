@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import cut, ship_package
+from ..shared import cut, ship_package, spread
 from .form import to_form
 
 _WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
@@ -126,7 +126,7 @@ def record_tuples(df: DataFrame, text: str = "canonical_target", id_column: str
     ship_package(df.sparkSession)
     kind = dict(df.dtypes)[id_column]
     rows = df.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{id_column}`").isNotNull())
-    return rows.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"id {kind}, record array<bigint>").where("record is not null")
+    return spread(rows.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text"))).mapInArrow(run, f"id {kind}, record array<bigint>").where("record is not null")
 
 
 def collapse_records(df: DataFrame, text: str = "canonical_target", id_column: str = "sample_id") -> DataFrame:

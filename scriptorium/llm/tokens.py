@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import ship_package
+from ..shared import ship_package, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public split pattern of this tokenizer.
@@ -148,7 +148,7 @@ def encode_documents(df: DataFrame, *, text: str = "text", id_column: str = "doc
     ship_package(spark)
     raw = spark.sparkContext.broadcast(Path(vocabulary).read_bytes())
     kind = dict(df.dtypes)[id_column]
-    rows = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = spread(df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text")))
     is_long = F.coalesce(F.length("text"), F.lit(0)) > long_chars
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -104,10 +104,10 @@ _HASH = xxhash.xxh64_intdigest
 _BITS = (np.arange(256)[:, None] >> np.arange(len(LANGUAGES)) & 1).astype(np.float64)
 
 
-def _slots(gram: str) -> list[int]:
-    h = _HASH(gram, 7)
-    a, b = h & 0xFFFFFFFF, h >> 32 | 1
-    return [(a + k * b) % SLOTS for k in range(HASHES)]
+def _slots(h: np.ndarray) -> list[np.ndarray]:
+    """The slots of n-grams by their hashes, one array per hash function."""
+    a, b = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) | np.uint64(1)
+    return [(a + np.uint64(k) * b) % np.uint64(SLOTS) for k in range(HASHES)]
 
 
 class Filters:
@@ -131,10 +131,7 @@ class Filters:
         grams = [grams_of(w) for w in words]
         sizes = np.array([len(g) for g in grams])
         h = np.array([_HASH(x, 7) for g in grams for x in g], np.uint64)
-        a, b = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) | np.uint64(1)
-        mask = self.table[a % SLOTS]
-        for k in range(1, HASHES):
-            mask &= self.table[(a + np.uint64(k) * b) % SLOTS]
+        mask = np.bitwise_and.reduce([self.table[at] for at in _slots(h)])
         bits = _BITS[mask]
         last = np.cumsum(sizes) - 1
         # a word that a language knows as such weighs as much as all its parts
@@ -194,23 +191,24 @@ class Filters:
 
 def _fit(places: list[tuple[str, list[str]]], ratio: float, least: int) -> Filters:
     """Filters of (language, words) segments; an n-gram is of every language whose rate of it is ``ratio`` of the highest."""
-    counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(LANGUAGES)))
-    totals = np.zeros(len(LANGUAGES))
-    words: dict[int, Counter] = defaultdict(Counter)
+    words: list[Counter] = [Counter() for _ in LANGUAGES]
     for lang, ws in places:
         words[LANGUAGES.index(lang)].update(ws)
-    for k, c in words.items():
-        totals[k] = sum(c.values())
+    counts: dict[str, list[int]] = defaultdict(lambda: [0] * len(LANGUAGES))
+    for k, c in enumerate(words):
         for w, n in c.items():
             for g in grams_of(w):
                 counts[g][k] += n
     table = np.zeros(SLOTS, np.uint8)
-    rate_of = np.maximum(totals, 1.0)
-    for g, c in counts.items():
-        rate = c / rate_of
-        mask = int(sum(1 << k for k in range(len(LANGUAGES)) if c[k] >= least and rate[k] >= ratio * rate.max()))
-        if mask:
-            table[_slots(g)] |= mask
+    if counts:
+        grams = list(counts)
+        seen = np.array([counts[g] for g in grams], np.float64)
+        rate = seen / np.maximum([c.total() for c in words], 1)
+        holds = (seen >= least) & (rate >= ratio * rate.max(axis=1, keepdims=True))
+        masks = (holds << np.arange(len(LANGUAGES))).sum(axis=1).astype(np.uint8)
+        h = np.array([_HASH(g, 7) for g in grams], np.uint64)
+        for at in _slots(h):
+            np.bitwise_or.at(table, at, masks)
     return Filters(table)
 
 

@@ -65,7 +65,9 @@ class Pieces:
             return found
         line = " " + " ".join(words) + " "
         start_of: dict[int, int] | None = None
-        done: set[tuple[int, int]] = set()
+        # per diagonal, where in the item the last run ends that needs no further look, and that counts as one hit
+        done: dict[tuple[int, int], int] = {}
+        counted: dict[tuple[int, int], int] = {}
         for end, (size, places) in self.automaton.iter(line):
             if start_of is None:
                 start_of, at = {}, 0
@@ -75,7 +77,7 @@ class Pieces:
             d = start_of[end - size + 1]
             for k, i in places:
                 item, own = self.items[k]
-                if (k, d - i) in done:
+                if i < done.get((k, d - i), 0):
                     continue  # another piece of the same run
                 lo, hi = 0, self.q
                 while d - lo > 0 and i - lo > 0 and words[d - lo - 1] == own[i - lo - 1]:
@@ -83,7 +85,8 @@ class Pieces:
                 while d + hi < len(words) and i + hi < len(own) and words[d + hi] == own[i + hi]:
                     hi += 1
                 run = lo + hi
-                done.add((k, d - i)) if lo + hi > 2 * self.q else None
+                if run >= self.window or not self.errors:
+                    done[k, d - i] = i + hi  # a shorter run's pieces stand in different windows: each is verified
                 if run >= self.window:
                     best = 0
                 elif self.errors:
@@ -97,7 +100,9 @@ class Pieces:
                 else:
                     continue
                 old = found.get(item, (best, run, 0))
-                found[item] = (min(old[0], best), max(old[1], run), old[2] + 1)
+                found[item] = (min(old[0], best), max(old[1], run), old[2] + (i >= counted.get((k, d - i), 0)))
+                if run > 2 * self.q:
+                    counted[k, d - i] = i + hi
         return found
 
     def _verify(self, words: list[str], d: int, own: list[str], i: int) -> int:

@@ -84,6 +84,28 @@ def test_leaks_against_all_windows(spark, errors):
     assert got == want
 
 
+def test_every_run_of_a_diagonal_is_looked_at():
+    own = [f"w{i}" for i in range(40)]
+    twice = own[:9] + ["x", "y"] + own[11:]
+    assert Pieces([(1, own)], 12, 1).find(twice) == {1: (0, 29, 1)}
+    assert Pieces([(1, own)], 12, 0).find(own[:13] + ["x"] + own[14:]) == {1: (0, 26, 2)}
+
+
+@pytest.mark.parametrize("errors", [1, 2, 3])
+def test_pieces_against_all_windows(errors):
+    rng = random.Random(errors)
+    for _ in range(1500):
+        own = [f"w{rng.randrange(60)}" for _ in range(rng.choice([12, 20, 40]))]
+        words = own[:]
+        for _ in range(rng.randrange(1, 9)):
+            i = rng.randrange(len(words))
+            words[i : i + rng.randrange(2)] = [f"x{rng.randrange(9)}"] * rng.randrange(2)
+            words = words or ["x"]
+        best = min(infix_distance(own[s : s + 12], words) for s in range(len(own) - 11))
+        got = Pieces([(1, own)], 12, errors).find(words)
+        assert (got[1][0] if got else 99) == (best if best <= errors else 99)
+
+
 def test_items_in_chunks_and_empty(spark):
     docs, items = leak_rows(7)
     d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")

@@ -10,8 +10,8 @@ edit changes at most two terms, so of two sequences within d = floor(share * lon
 no true pair is lost. The inverted lists are pruned
 
 * by maximum weight: weights differ only by length, so lists are probed within the lengths allowed,
-* by residual norm: of a vector's terms, rarest first, only the first 2 d + 1 are listed, since the norm of the
-  rest is below what the dot product needs; the first kept term is among them on both sides,
+* by residual norm: of a vector's terms, rarest first, only the first 2 d + 1 are listed, with d for one word more than the
+  text has, since the norm of the rest is below what the dot product needs; the first kept term is among them on both sides,
 * by place: kept terms move by at most d places,
 * by signature: the words' parity in 126 hashed bits differs in at most two bits for each edit.
 
@@ -170,6 +170,15 @@ def rarity_table(evaluation: DataFrame, buckets: int) -> np.ndarray:
 _CACHE_WORDS, SIGNATURE_BITS = 200_000, 126
 
 
+def listed_terms(n: np.ndarray, share: float) -> np.ndarray:
+    """How many terms of texts of n words are listed, so that one that any partner within its budget keeps is among them.
+
+    The budget d of a pair is that of its longer text. The shorter one, by g words, loses up to 2 d - g terms: more than its own budget
+    tells only if d steps up within one word, since a larger gap outweighs further steps (shares up to a half).
+    """
+    return 2 * np.floor((n + 1) * share + 1e-9).astype(np.int64) + 1
+
+
 def near_classes(members: DataFrame, *, share: float = SHARE, buckets: int = 1 << 21) -> DataFrame:
     """``a1, a2, b1, b2, distance``: links from evaluation classes (a) to different train classes (b), rows distinct."""
     spark = members.sparkSession
@@ -188,7 +197,7 @@ def near_classes(members: DataFrame, *, share: float = SHARE, buckets: int = 1 <
             text = t.text[order]
             rank = np.arange(len(text)) - np.searchsorted(text, text)
             listed = b.column(4).to_numpy(zero_copy_only=False)
-            first = order[rank < 2 * np.floor(t.n[text] * share + 1e-9).astype(np.int64) + 1]
+            first = order[rank < listed_terms(t.n[text], share)]
             first = first[(rare[first] > 0) | listed[t.text[first]]]
             at = t.text[first]
             rows = pa.array(at, pa.int64())

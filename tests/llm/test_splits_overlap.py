@@ -3,7 +3,9 @@
 import random
 from collections import defaultdict
 
-from scriptorium.llm.overlap import overlap_counts, overlapping_pairs, word_distance
+import numpy as np
+
+from scriptorium.llm.overlap import listed_terms, overlap_counts, overlapping_pairs, word_distance
 from scriptorium.llm.records import record_tuple, words_of
 from scriptorium.llm.splits import assign_splits, split_name, torn_groups
 
@@ -139,3 +141,29 @@ def test_pairs_against_all_pairs(spark):
     assert sum(r["same_record_pairs"] for r in counts) == len(same) and sum(r["leaked"] for r in counts) == len({b for b, _ in want})
     assert sum(r["pairs"] for r in counts) == len(want) and sum(r["samples"] for r in counts) == len({r[0] for r in rows if r[3] in ("val", "test")})
     assert overlapping_pairs(df.where("false")).count() == 0
+
+
+def test_listed_terms_cover_every_loss():
+    budget = lambda n: int(0.15 * n + 1e-9)
+    for n in range(20, 2000):
+        # the longer text's budget d at each gap g loses up to 2 d - g of the shorter one's terms, 2 d of its own
+        most = max(2 * budget(n + g) - g for g in range(budget(2 * n) + 1) if g <= budget(n + g))
+        assert listed_terms(np.array([n]), 0.15)[0] > most
+
+
+def test_pairs_where_the_budget_steps_up(spark):
+    rng = random.Random(26)
+    rows, want = [], set()
+    for k in range(120):
+        n = rng.choice([26, 33])
+        short = [f"a{k}x{i}" for i in range(n)]
+        d = int(0.15 * (n + 1) + 1e-9)
+        at = sorted(rng.sample(range(1, n - 1, 2), d))
+        long = [f"b{k}x{i}" if i in at[:-1] else w for i, w in enumerate(short)]
+        long.insert(at[-1], f"c{k}")
+        # the terms that the train text alone has are rarest and come first
+        rows += [(f"t{k}", None, None, "train", "a", None, " ".join(short)), (f"e{k}", None, None, "test", "a", None, " ".join(long))]
+        if word_distance(short, long, d) <= d:
+            want.add((f"e{k}", f"t{k}"))
+    assert len(want) == 120
+    assert {(r["eval_id"], r["train_id"]) for r in overlapping_pairs(spark.createDataFrame(rows, SAMPLE)).collect()} == want

@@ -24,6 +24,11 @@ def exact_duplicates(rows: DataFrame, text: Column, id_column: str) -> DataFrame
     return keyed.groupBy("h").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("first_id", "copies")
 
 
+def word_key(text: Column) -> Column:
+    """A text's letters, marks and digits of any script, lower case, with one blank between words; null for wordless texts."""
+    return F.nullif(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")), F.lit(""))
+
+
 def document_identity(title: Column, identifier: Column, url: Column) -> Column:
     """The strongest of a document's identities: its identifier, else its title's letters, else its address without scheme and query."""
     ident = F.lower(F.regexp_replace(identifier, r"(?i)^(?:https?://)?(?:dx\.)?(?:doi\.org/|arxiv\.org/abs/)|^(?:doi|arxiv|pmc):?|v\d+$", ""))

@@ -88,9 +88,15 @@ def protocol_membership(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Copies by Latin letters without accents and digits only, as its SQL has it; ``text_dedup`` tells all scripts."""
     return C.exact_duplicates(table(spark, d, "documents"), F.regexp_replace(F.lower(F.col("text")), r"[^a-z0-9]+", " "), "doc_id")
 
 
+def text_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Copies by the words of any script; wordless texts are no copies of one another."""
+    return C.exact_duplicates(table(spark, d, "documents"), C.word_key(F.col("text")), "doc_id")
+
+
 def near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_classes(spread(table(spark, d, "documents").select("doc_id", "text"))).withColumnRenamed("id", "doc_id")
 
@@ -261,7 +267,7 @@ def markdown_tables(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        registry_audit, registry_audit_summary, registry_plan_order, bundle_source_fallback, registry_summary, protocol_membership, exact_dedup, near_dedup, formula_and_table_dedup, identity_dedup,
+        registry_audit, registry_audit_summary, registry_plan_order, bundle_source_fallback, registry_summary, protocol_membership, exact_dedup, text_dedup, near_dedup, formula_and_table_dedup, identity_dedup,
         leakage_screen, quality_gates, bundle_acceptance, split_disjoint, holdout_exclusion, mixture_sample, anchor_draws, slice_rollup, publish_check, json_fields, page_projection, shard_roundtrip, multilingual_quota, file_split_inference, markdown_tables,
     )
 } | {

@@ -159,3 +159,9 @@ def test_anchor_draws_fill_exactly(spark, share):
     rows = spark.createDataFrame([(i, i < 3) for i in range(20)], "id int, a boolean")
     got = {r["side"]: r["n"] for r in C.anchor_draws(rows, anchor=F.col("a"), id_column="id", draws=50, anchor_share=share).groupBy("side").agg(F.count("*").alias("n")).collect()}
     assert got == ({"anchor": 25, "primary": 25} if share else {"primary": 50})
+
+
+def test_duplicates_of_all_scripts(spark):
+    texts = ["Второй вариант", "Отчёт о доме", "второй  ВАРИАНТ!", "Café, figure 1", "Cafè, figure 1", "caf figure 1", "हिन्दी", "हन्दी", "--", " . ", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert [tuple(r) for r in C.exact_duplicates(df, C.word_key(F.col("text")), "doc_id").collect()] == [(0, 2)]

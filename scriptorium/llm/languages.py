@@ -166,14 +166,14 @@ class Filters:
         known = votes[np.arange(len(parts)), n + best]
         return [(b if top > 0 else None, c, int(k)) for b, c, k, top in zip(best.tolist(), sure.tolist(), known.tolist(), two[:, 1].tolist(), strict=True)]
 
-    def documents(self, texts: list[str | None]) -> list[list[tuple[str, float, int, int]]]:
-        """For each text its stretches of one language: language, confidence, words, words known."""
-        per = [[] if t is None else [ws for ws in (_LETTERS.findall(x.casefold()) for x in segments_of(t)) if ws] for t in texts]
-        got = iter(self.segments([ws for parts in per for ws in parts]))
+    def documents(self, texts: list[str | None]) -> list[list[tuple[str, float, int, int, int, int]]]:
+        """For each text its stretches of one language: language, confidence, words, words known, first and last segment (of ``segments_of``, from 0)."""
+        per = [[] if t is None else [(at, ws) for at, ws in enumerate(_LETTERS.findall(x.casefold()) for x in segments_of(t)) if ws] for t in texts]
+        got = iter(self.segments([ws for parts in per for _, ws in parts]))
         out = []
         for parts in per:
             runs: list[list] = []
-            for ws in parts:
+            for at, ws in parts:
                 lang, sure, known = next(got)
                 if lang is None:
                     continue
@@ -183,8 +183,9 @@ class Filters:
                     last[1] = (last[1] * last[2] + sure * n) / (last[2] + n)
                     last[2] += n
                     last[3] += known
+                    last[5] = at
                 else:
-                    runs.append([LANGUAGES[lang], sure, n, known])
+                    runs.append([LANGUAGES[lang], sure, n, known, at, at])
             out.append([tuple(r) for r in runs])
         return out
 
@@ -239,7 +240,7 @@ def _filters(table: np.ndarray, key: str) -> Filters:
 
 
 def language_stretches(documents: DataFrame, filters: Filters | None = None, *, text: str = "text", id_column: str = "doc_id", label: str = "lang") -> DataFrame:
-    """``id, label, stretches``: each document with the code its label names and its stretches (language, confidence, words, known)."""
+    """``id, label, stretches``: each document with the code its label names and its stretches (language, confidence, words, known, first and last segment)."""
     spark = documents.sparkSession
     ship_package(spark)
     filters = filters or fit_filters(documents, text=text, id_column=id_column, label=label)
@@ -249,16 +250,16 @@ def language_stretches(documents: DataFrame, filters: Filters | None = None, *,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = _filters(sent.value, key)
-        item = pa.list_(pa.struct([("language", pa.string()), ("confidence", pa.float64()), ("words", pa.int32()), ("known", pa.int32())]))
+        item = pa.list_(pa.struct([("language", pa.string()), ("confidence", pa.float64()), ("words", pa.int32()), ("known", pa.int32()), ("first", pa.int32()), ("last", pa.int32())]))
         for b in batches:
             got: list = []
             texts = b.column(2).to_pylist()
             for i in range(0, len(texts), 200):
-                got += [[{"language": k, "confidence": c, "words": n, "known": m} for k, c, n, m in runs] for runs in f.documents(texts[i : i + 200])]
+                got += [[{"language": k, "confidence": c, "words": n, "known": m, "first": x, "last": y} for k, c, n, m, x, y in runs] for runs in f.documents(texts[i : i + 200])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, item)], names=["id", "label", "stretches"])
 
     rows = documents.select(F.col(f"`{id_column}`").alias("id"), label_code(F.col(f"`{label}`")).alias("label"), F.col(f"`{text}`").alias("text"))
-    return spread(rows).mapInArrow(run, f"id {kind}, label string, stretches array<struct<language:string,confidence:double,words:int,known:int>>")
+    return spread(rows).mapInArrow(run, f"id {kind}, label string, stretches array<struct<language:string,confidence:double,words:int,known:int,first:int,last:int>>")
 
 
 def document_languages(stretches: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -147,6 +147,27 @@ def test_languages(spark):
     assert G.wrong_labels(df.withColumn("lang", df["lang"].substr(1, 0))).count() == 0
 
 
+def test_stretches_in_order_and_short_texts(spark, tmp_path):
+    from scriptorium.llm.queries import p9_languages, p9_stretches
+
+    rng = random.Random(3)
+    rows = [(i, prose(rng, x := sorted(SENTENCES)[i % 4], 10), x) for i in range(80)]
+    parts = {"de": SENTENCES["de"][0] + ".", "en": SENTENCES["en"][0] + "."}
+    rows += [(100, parts["de"] + "\n\n77. 88.\n\n" + parts["en"] + "\n\n" + parts["de"], "de"), (101, parts["en"], None), (102, "$$x$$", None), (103, None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {k: [] for k, *_ in rows}
+    for r in p9_stretches(spark, str(tmp_path)).collect():
+        got[r["doc_id"]].append((r["number"], r["language"], r["first_segment"], r["last_segment"], r["words"]))
+    cut = G.segments_of(rows[-4][1])
+    where = [cut.index(parts["de"]), cut.index(parts["en"]), len(cut) - 1]
+    n = {k: len(G._LETTERS.findall(v)) for k, v in parts.items()}
+    assert sorted(got[100]) == [(i, lang, at, at, n[lang]) for i, (lang, at) in enumerate(zip(["de", "en", "de"], where, strict=True))]
+    assert got[101] == [(0, "en", 0, 0, n["en"])] and got[102] == got[103] == [(None, None, None, None, None)]
+    found = {(r["doc_id"], r["language"]): (r["words"], r["confidence"]) for r in p9_languages(spark, str(tmp_path)).collect()}
+    assert found[101, "en"][0] == n["en"] and found[101, "en"][1] > 0 and found[102, None] == (None, 0.0)
+    assert {k for k in found if k[0] == 100} == {(100, "de"), (100, "en")}
+
+
 def test_held_out_accuracy(spark, data):
     docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet").where("text is not null")
     f = G.fit_filters(docs.where("doc_id % 2 = 0"))

@@ -20,12 +20,33 @@ needs_vocabulary = pytest.mark.skipif(not os.path.exists(T.VOCABULARY), reason="
 def test_any_cut_joins_exactly():
     c = T.coder(Path(T.VOCABULARY).read_bytes())
     rng = random.Random(4)
-    texts = ["x" * 3000, "ab" * 900 + "c" * 900, " " * 500 + "x", "\n\n \t'll 's we're don't" * 30, "é日本語" * 300, "<|endoftext|> text" * 40, "".join(rng.choice(" a1'\n.é") for _ in range(2000)), "1234567890" * 200]
+    texts = ["x" * 3000, "x" * 20_000, "ab" * 900 + "c" * 900, " " * 500 + "x", "\n\n \t'll 's we're don't" * 30, "é日本語" * 300, "日本語の文章。" * 1500, "<|endoftext|> text" * 40, "".join(rng.choice(" a1'\n.é") for _ in range(2000)), "1234567890" * 200, "a1" * 4000, "=-" * 5000 + "'s" * 4000, "\u3000 \x85\n" * 900, "z\n" * 3000, "don't" * 2500]
+    texts += ["".join(rng.choice(alphabet) for _ in range(n)) for alphabet in ("ab'", "a1'é.", " \n\t\x1c\x85a", "'sre l") for n in (300, 9000)]
     for text in texts:
-        for size in (1, 2, 7, 64, 1000):
+        want = c.ids(text)
+        for size in (1, 2, 7, 64, 1000, 5000):
             if len(text) / size <= 1500:
-                node = T.join_tree(c, [T.encode_piece(c, text[i : i + size]) for i in range(0, len(text), size)])
-                assert node.ids == c.ids(text)
+                parts = [text[i : i + size] for i in range(0, len(text), size)]
+                assert T.join_tree(c, [T.Node(p, c.ids(p)) for p in parts]).ids == want
+        assert T.tree_ids(c, text, 100) == want
+
+
+@needs_vocabulary
+@pytest.mark.parametrize("leaf", [1, 5, 64])
+def test_texts_around_the_leaf_size(leaf):
+    c = T.coder(Path(T.VOCABULARY).read_bytes())
+    rng = random.Random(leaf)
+    for n in (leaf - 1, leaf, leaf + 1, 2 * leaf, 2 * leaf + 1, 9 * leaf):
+        for alphabet in ("ab ", "x", "a\n '1"):
+            text = "".join(rng.choice(alphabet) for _ in range(n))
+            assert T.tree_ids(c, text, leaf) == c.ids(text)
+
+
+@needs_vocabulary
+def test_own_merges_are_the_tokenizers():
+    c = T.coder(Path(T.VOCABULARY).read_bytes())
+    for word in ("encyclopaedia", "naïveté", "日本語", "x" * 50, "0123456789" * 3, "=====---==="):
+        assert c.merged(word.encode()) == c.ids(word)
 
 
 @needs_vocabulary
@@ -35,7 +56,7 @@ def test_documents_encode_and_decode(spark):
     rows = [(1, "Hello world"), (2, None), (3, ""), (4, long), (4, long[::-1]), (5, "y" * 40_000), (6, "<|endoftext|>")]
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id bigint, text string, ids string")
     c = T.coder(Path(T.VOCABULARY).read_bytes())
-    out = T.encode_documents(df, long_chars=2000)
+    out = T.encode_documents(df, leaf_chars=1500)
     got = sorted((r["doc_id"], tuple(r["ids"])) for r in out.collect())
     assert got == sorted((i, tuple(c.ids(t) if t else ())) for i, t in rows)
     assert dict((i, t) for i, t in ((r["doc_id"], r["text"]) for r in T.decode_documents(out).collect()) if i in (1, 5)) == {1: "Hello world", 5: "y" * 40_000}

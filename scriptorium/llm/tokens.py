@@ -64,10 +64,11 @@ class Coder:
         return self.bpe.encode_ordinary(text)
 
     def leaves(self, parts: list[str], threads: int) -> list[list[int]]:
-        return self.bpe.encode_ordinary_batch(parts, num_threads=threads)
+        """The ids of each part; from eight parts on by several threads, which wait for no interpreter lock."""
+        return self.bpe.encode_ordinary_batch(parts, num_threads=threads) if threads > 1 and len(parts) >= 8 else [self.ids(p) for p in parts]
 
     def merged(self, raw: bytes) -> list[int]:
-        """The ids of bytes within one chunk, which need not be whole characters: the lowest pair merges first."""
+        """The ids of a few bytes within one chunk, which need not be whole characters: the lowest pair merges first."""
         parts = [raw[i : i + 1] for i in range(len(raw))]
         while len(parts) > 1:
             best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], len(self.ranks)))
@@ -122,9 +123,17 @@ def join_chunk(c: Coder, left: list[int], right: list[int], window: int = 8) ->
     def agree(a: int, b: int) -> bool:
         return c.merged(c.word[a] + c.word[b]) == [a, b]
 
+    def inside(k: int, side: list[int]) -> bool:
+        return 0 < k < len(side) and 0x80 <= c.word[side[k]][0] < 0xC0  # in the middle of a character
+
     while True:
         i, j = max(0, len(left) - window), min(len(right), window)
-        mid = c.merged(b"".join(c.word[x] for x in left[i:] + right[:j]))
+        while inside(i, left):
+            i -= 1
+        while inside(j, right):
+            j += 1
+        raw = b"".join(c.word[x] for x in left[i:] + right[:j])
+        mid = c.ids(raw.decode("utf-8", "replace"))  # a part of a chunk is one chunk as well
         if (i == 0 or agree(left[i - 1], mid[0])) and (j == len(right) or agree(mid[-1], right[j])):
             return left[:i] + mid + right[j:]
         window *= 2

@@ -6,12 +6,12 @@ inserted, deleted or replaced. Words are those of the text's form (see ``form``)
 Method: pigeonhole edit matching. The items' words are cut into pieces of
 q = (window + 1) // (errors + 2) words each, so that any window of an item holds errors + 1 whole pieces, of which
 an occurrence with at most ``errors`` errors leaves one untouched. An Aho-Corasick automaton over all different pieces
-finds their exact hits in one pass over a document. Around a hit the item's windows are verified
-against the document's words with Myers' bit-parallel distance; with no errors allowed the
-hit is simply grown to both sides as far as the words agree.
+finds their exact hits in one pass over a document. A hit is grown to both sides as far as the words agree, and on across ``errors``
+differences; one that cannot reach a window is dropped. Around every other hit the item's windows are verified
+against the document's words with Myers' bit-parallel distance.
 
-The items are a bounded set: their total size is checked against ``max_item_bytes`` before the automaton is
-broadcast; a larger set is worked through in chunks of that size, each in a pass over the documents.
+The items are worked through in chunks of ``max_item_chars`` characters, each broadcast on its own and met in a pass over the documents: one
+pass for any held-out set below that size. The driver holds one chunk at a time, a worker builds an automaton once.
 
 Defined cases: null and wordless texts and items leak nothing; items shorter than the window cannot leak; an item id
 that comes with several texts leaks if one of them does; repeated rows give one row.
@@ -19,8 +19,10 @@ that comes with several texts leaks if one of them does; repeated rows give one
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,8 +46,6 @@ class Pieces:
         if self.q < 1:
             raise ValueError("the window is too short for so many errors")
         self.items = items
-        # the fewest different words that any window of an item has
-        self.variety = [min((len(set(w[i : i + window])) for i in range(len(w) - window + 1)), default=0) for _, w in items]
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, words) in enumerate(items):
             if len(words) < window:
@@ -87,17 +87,10 @@ class Pieces:
                 run = lo + hi
                 if run >= self.window or not self.errors:
                     done[k, d - i] = i + hi  # a shorter run's pieces stand in different windows: each is verified
-                if run >= self.window:
-                    best = 0
-                elif self.errors:
-                    reach = self.window - self.q + self.errors
-                    around = set(words[max(0, d - reach) : d + self.q + reach])
-                    if len(around.intersection(own[max(0, i - reach) : i + self.q + reach])) < self.variety[k] - self.errors:
-                        continue
-                    best = self._verify(words, d, own, i)
-                    if best > self.errors:
-                        continue
-                else:
+                if run < self.window and not self._reaches(words, own, d, i, lo, hi):
+                    continue
+                best = self._verify(words, d, own, i)
+                if best > self.errors:
                     continue
                 old = found.get(item, (best, run, 0))
                 found[item] = (min(old[0], best), max(old[1], run), old[2] + (i >= counted.get((k, d - i), 0)))
@@ -105,6 +98,20 @@ class Pieces:
                     counted[k, d - i] = i + hi
         return found
 
+    def _reaches(self, words: list[str], own: list[str], d: int, i: int, lo: int, hi: int) -> bool:
+        """Whether the run of hi words from (d, i) and lo before it can be part of a window within the errors."""
+        lack, e = self.window - lo - hi, self.errors
+        if e == 1 and lack > 1:  # most hits end here: no word agrees behind the one difference, on either side
+            w, o = words[max(0, d - lo - 2) : d - lo], own[max(0, i - lo - 2) : i - lo]
+            v, x = words[d + hi : d + hi + 2], own[i + hi : i + hi + 2]
+            if len(w) == len(o) == len(v) == len(x) == 2 and w[0] not in o and w[1] != o[0] and v[1] not in x and v[0] != x[1]:
+                return False
+        for k in range(e + 1):
+            ahead = _reach(words, d - lo - 1, own, i - lo - 1, -1, k, lack)
+            if ahead >= lack or ahead + _reach(words, d + hi, own, i + hi, 1, e - k, lack) >= lack:
+                return True
+        return False
+
     def _verify(self, words: list[str], d: int, own: list[str], i: int) -> int:
         """Fewest errors with which a window of the item around its piece stands around the hit."""
         best = self.errors + 1
@@ -117,6 +124,20 @@ class Pieces:
         return best
 
 
+def _reach(words: list[str], d: int, own: list[str], i: int, step: int, errors: int, most: int) -> int:
+    """How many words of the item, ``most`` at most, follow each other from place i in one direction, with so many errors, from place d on."""
+    n = 0
+    while n < most and 0 <= i < len(own) and 0 <= d < len(words) and words[d] == own[i]:
+        i, d, n = i + step, d + step, n + 1
+    if n >= most or not errors:
+        return n
+    best = n + _reach(words, d + step, own, i, step, errors - 1, most - n)
+    if 0 <= i < len(own):
+        for at in (d + step, d):  # replaced, left out
+            best = max(best, n + 1 + _reach(words, at, own, i + step, step, errors - 1, most - n - 1))
+    return best
+
+
 def infix_distance(pattern: list[str], text: list[str]) -> int:
     """Fewest edits between the pattern and any stretch of the text (Myers)."""
     places: dict[str, int] = {}
@@ -139,28 +160,31 @@ def infix_distance(pattern: list[str], text: list[str]) -> int:
     return best
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, *, errors: int = 0, window: int = WINDOW, text: str = "text", id_column: str = "doc_id", item_text: str = "text", item_id: str = "item_id", max_item_bytes: int = 32_000_000) -> DataFrame:
+_PIECES: dict[str, Pieces] = {}
+
+
+def _pieces(key: str, items: list, window: int, errors: int) -> Pieces:
+    if key not in _PIECES:
+        _PIECES.clear()  # a worker keeps one automaton
+        _PIECES[key] = Pieces(items, window, errors)
+    return _PIECES[key]
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, *, errors: int = 0, window: int = WINDOW, text: str = "text", id_column: str = "doc_id", item_text: str = "text", item_id: str = "item_id", max_item_chars: int = 8_000_000) -> DataFrame:
     """``doc_id, item_id, errors, longest_run, hits`` for every document and item that leaked into it."""
     spark = documents.sparkSession
     ship_package(spark)
     kind, item_kind = dict(documents.dtypes)[id_column], dict(items.dtypes)[item_id]
     arrow_item = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
     known = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null").distinct()
-    chunks: list[list] = [[]]
-    size = 0
-    for r in known.orderBy("id", "text").toLocalIterator():
-        if size > max_item_bytes:
-            chunks.append([])
-            size = 0
-        chunks[-1].append((r["id"], words_of(to_form(r["text"])[0])))
-        size += len(r["text"])
     rows = spread(documents.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{id_column}`").isNotNull()).select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
 
     def scan(chunk: list) -> DataFrame:
         sent = spark.sparkContext.broadcast(chunk)
+        key = uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pieces = Pieces(sent.value, window, errors)
+            pieces = _pieces(key, sent.value, window, errors)
             for b in batches:
                 take, out = [], [[], [], [], []]
                 for n, t in enumerate(b.column(1).to_pylist()):
@@ -173,7 +197,16 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, errors: int = 0, win
 
         return rows.mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, errors int, longest_run int, hits int")
 
-    found = scan(chunks[0])
-    for chunk in chunks[1:]:
-        found = found.unionByName(scan(chunk))
+    parts: list[DataFrame] = []
+    chunk: list = []
+    size = 0
+    for r in known.orderBy("id", "text").toLocalIterator():
+        chunk.append((r["id"], words_of(to_form(r["text"])[0])))
+        size += len(r["text"])
+        if size > max_item_chars:
+            parts.append(scan(chunk))
+            chunk, size = [], 0
+    if chunk or not parts:
+        parts.append(scan(chunk))
+    found = reduce(DataFrame.unionByName, parts)
     return found.groupBy("doc_id", "item_id").agg(F.min("errors").alias("errors"), F.max("longest_run").alias("longest_run"), F.sum("hits").alias("hits"))

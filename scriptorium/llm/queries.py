@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..shared import table
 from .form import changed_values, normalise_column
 from .languages import document_languages, language_stretches, wrong_labels
-from .leaks import leaked_items
+from .leaks import WINDOW, leaked_items
 from .mixture import bundle_weights, mix, mixture_shares, sample_units, sort_mixture, stage_weights
 from .overlap import overlap_counts, overlapping_pairs
 from .records import collapse_records, record_members
@@ -80,7 +80,9 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    """Leaks found with up to one word changed in a passage, of which those with an unchanged passage remain."""
+    found = leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), errors=1)
+    return found.where(F.col("longest_run") >= WINDOW).select("doc_id", "item_id")
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:

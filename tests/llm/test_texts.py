@@ -131,7 +131,7 @@ def test_items_in_chunks_and_empty(spark):
     docs, items = leak_rows(7)
     d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     whole = {tuple(r) for r in leaked_items(d, i).collect()}
-    assert whole and {tuple(r) for r in leaked_items(d, i, max_item_bytes=200).collect()} == whole
+    assert whole and {tuple(r) for r in leaked_items(d, i, max_item_chars=200).collect()} == whole
     assert leaked_items(d, i.where("false")).count() == leaked_items(d.where("false"), i).count() == 0
     assert not Pieces([], 12, 0).find(["a"] * 50)
 

@@ -1,9 +1,11 @@
 """Equivalent SQL of those training-data queries that SQL can express on whole tables.
 
 The character forms (p2_found) are told by regular expressions and the engine's own composition here, the groups (p5_found) by
-recursion. The others need exact forms, tokenizers, hashes or distances that the engine has not.
+recursion, the mixtures by running sums over the same hash. The others need exact forms, tokenizers or distances that the engine has not.
 """
 
+from .mixture import DATA_CLASSES
+
 _INVISIBLE = r"[\p{Cf}\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f\x{34F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}]"
 _BLANK = r"[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
 _WIDTH = r"[\x{FF01}-\x{FF9F}\x{FFA1}-\x{FFBE}\x{FFC2}-\x{FFC7}\x{FFCA}-\x{FFCF}\x{FFD2}-\x{FFD7}\x{FFDA}-\x{FFDC}\x{FFE0}-\x{FFE6}\x{FFE8}-\x{FFEE}]"
@@ -12,8 +14,33 @@ _BETWEEN = r"[\pN\pM]*"
 _MIXED = rf"\p{{Latin}}{_BETWEEN}[\p{{Cyrillic}}\p{{Greek}}]|[\p{{Cyrillic}}\p{{Greek}}]{_BETWEEN}\p{{Latin}}|\p{{Greek}}{_BETWEEN}\p{{Cyrillic}}|\p{{Cyrillic}}{_BETWEEN}\p{{Greek}}"
 _SPLIT = "CASE regexp_replace(lower(split_assignment), '[\\s\\pZ]+', '', 'g') WHEN 'val' THEN 'validation' WHEN 'dev' THEN 'validation' WHEN 'valid' THEN 'validation' WHEN 'validation' THEN 'validation' WHEN 'train' THEN 'train' WHEN 'test' THEN 'test' END"
 _PAGE_DOC = "regexp_extract(page_id, '(?s)^(.*):[^:]*$', 1)"
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_PLAIN = "".join(map(chr, range(0x21, 0x7F)))
+# source ids are ASCII in form: every look-alike stands for its Latin letter
+_LOOKALIKE, _LATIN = "абеорсухіјѕһԁԛԝѵкνορτυικ", "abeopcyxijshdqwvkvoptuik"
+_ID = f"translate(translate(regexp_replace(regexp_replace(source_id, '{_INVISIBLE}', '', 'g'), '{_BLANK}', ' ', 'g'), '{_WIDE.replace(chr(39), chr(39) * 2)}', '{_PLAIN.replace(chr(39), chr(39) * 2)}'), '{_LOOKALIKE}', '{_LATIN}')"
+_SOURCE = rf"lower(regexp_replace({_ID}, '^[\s\pZ]+|[\s\pZ]+$', '', 'g'))"
+_STAGES = " UNION ALL ".join(f"SELECT 'stage:' || stage_id AS mix_id, '*' AS pool, '{c}' AS component, CAST({c}_pct AS DOUBLE) AS weight, greatest(coalesce(max_repeat, 1), 1) AS uses, {i / (len(DATA_CLASSES) - 1)} AS rank FROM mixture_targets" for i, c in enumerate(DATA_CLASSES))
+_MIX = f"""WITH s AS (SELECT sample_id, min((data_class, bundle_id, src, size)) AS r FROM (SELECT sample_id, data_class, bundle_id, {_SOURCE} AS src, CAST(target_char_count AS BIGINT) AS size FROM canonical_samples WHERE sample_id IS NOT NULL AND target_char_count > 0) GROUP BY 1),
+ units AS (SELECT '*' AS pool, r[1] AS component, sample_id, r[4] AS size FROM s UNION ALL SELECT r[2], r[3], sample_id, r[4] FROM s),
+ quota AS (SELECT bundle_id, src, target_samples FROM (SELECT *, row_number() OVER (PARTITION BY bundle_id, src ORDER BY recorded_at DESC, record_id DESC) AS k FROM (SELECT *, {_SOURCE} AS src FROM source_allocation) WHERE src <> '' AND bundle_id IS NOT NULL) WHERE k = 1),
+ stage AS (SELECT bundle_id, stage FROM (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY recorded_at DESC, record_id DESC) AS k FROM bundle_registry) WHERE k = 1),
+ w AS ({_STAGES} UNION ALL SELECT 'bundle:' || q.bundle_id, q.bundle_id, q.src, CAST(target_samples AS DOUBLE), greatest(coalesce(max_repeat, 1), 1), 0.5 FROM quota q LEFT JOIN stage USING (bundle_id) LEFT JOIN mixture_targets ON stage = stage_id),
+ lined AS (SELECT *, sum(size) OVER (PARTITION BY pool, component ORDER BY md5('11:' || sample_id), sample_id) - size AS place FROM units WHERE pool IS NOT NULL AND component IS NOT NULL),
+ have AS (SELECT pool, component, sum(size) AS available FROM lined GROUP BY 1, 2),
+ d1 AS (SELECT mix_id, pool, component, weight, uses, rank, CAST(coalesce(available, 0) AS BIGINT) AS available, CASE WHEN available > 0 THEN weight END AS able FROM w LEFT JOIN have USING (pool, component) WHERE weight > 0),
+ d2 AS (SELECT *, weight / sum(weight) OVER m AS wanted_share, coalesce(able / sum(able) OVER m, 0.0) AS share, CAST(sum(available) OVER m AS DOUBLE) AS aim FROM d1 WINDOW m AS (PARTITION BY mix_id)),
+ d3 AS (SELECT *, least(share * aim, CAST(uses * available AS DOUBLE)) AS demand FROM d2), d4 AS (SELECT *, sum(demand) OVER (PARTITION BY mix_id) AS total FROM d3),
+ need AS (SELECT *, 0.8 * (rank - sum(demand * rank) OVER (PARTITION BY mix_id) / total) AS r FROM d4),
+ each AS (SELECT n.*, sample_id, size, place, unnest(range(1, CAST(greatest(0, least(uses, ceil((demand - place - 1e-6 * demand / total) / n.available))) AS BIGINT) + 1)) AS use FROM lined l JOIN need n USING (pool, component) WHERE demand > 0),
+ timed AS (SELECT *, least(1.0, (place + (use - 1) * available) / demand) AS u FROM each),
+ mixture AS (SELECT mix_id, component, sample_id, CAST(use AS INT) AS use, size, CAST(floor((CASE WHEN abs(r) < 1e-9 THEN u ELSE (r - 1 + sqrt((1 - r) * (1 - r) + 4 * r * u)) / (2 * r) END) * total + 0.4142135) AS BIGINT) AS position FROM timed)"""
 
 SQL: dict[str, str] = {
+    "p3_mixture": f"{_MIX} SELECT * FROM mixture",
+    "p3_shares": f"""{_MIX}, got AS (SELECT mix_id, component, CAST(sum(size) AS BIGINT) AS chars, count(*) FILTER (use = 1) AS records, max(use) AS most_uses FROM mixture GROUP BY 1, 2)
+ SELECT mix_id, component, round(wanted_share, 6) AS wanted_share, round(coalesce(chars / sum(chars) OVER (PARTITION BY mix_id), 0.0), 6) AS actual_share, available, coalesce(chars, 0) AS chars, coalesce(records, 0) AS records,
+  coalesce(most_uses, 0) AS most_uses, uses AS uses_allowed FROM need LEFT JOIN got USING (mix_id, component)""",
     "p2_found": f"""WITH v AS (SELECT 'canonical_target' AS field, sample_id, canonical_target AS x FROM canonical_samples UNION ALL SELECT 'source_id', sample_id, source_id FROM canonical_samples)
  SELECT DISTINCT field, sample_id FROM v WHERE regexp_matches(x, '{_INVISIBLE}|{_BLANK}|{_WIDTH}|{_LIGATURE}') OR length(nfc_normalize(x)) < length(x) OR regexp_matches(x, '{_MIXED}')""",
     "p5_found": f"""WITH RECURSIVE r AS (SELECT DISTINCT CASE WHEN trim(doc_id) <> '' THEN doc_id END AS a, CASE WHEN contains(page_id, ':') THEN nullif({_PAGE_DOC}, '') ELSE page_id END AS b, {_SPLIT} AS s FROM canonical_samples),

@@ -212,7 +212,7 @@ def test_mixture(spark):
     alloc = spark.createDataFrame([(1, "b1", "srca ", 30, t), (2, "b1", "SRCB", 10, t), (3, "b1", "srca ", 30, t), (4, "b1", None, 5, t), (5, "b2", "srca", -3, t), (6, "b2", "gone", 5, t)], "record_id bigint, bundle_id string, source_id string, target_samples int, recorded_at timestamp")
     bundles = spark.createDataFrame([(1, "b1", "st", t)], "record_id bigint, bundle_id string, stage string, recorded_at timestamp")
     weights = X.stage_weights(targets).unionByName(X.bundle_weights(alloc, bundles, targets))
-    mixed, need = X.mix(X.sample_units(df), weights, buckets=4)
+    mixed, need = X.mix(X.sample_units(df), weights)
     rows = X.sort_mixture(mixed).collect()
     assert [(r["mix_id"], r["position"]) for r in rows] == sorted((r["mix_id"], r["position"]) for r in rows)
     uses = Counter((r["mix_id"], r["sample_id"]) for r in rows)
@@ -224,5 +224,11 @@ def test_mixture(spark):
     mid = half[len(half) // 2]["position"]
     early = sum(r["size"] for r in half if r["position"] < mid and r["component"] == "weak_aux") / sum(r["size"] for r in half if r["component"] == "weak_aux")
     assert early > 0.5  # the weak class comes rather early
+    # a scarce component falls short at its uses and leaves the others whole; with fit the mixture shrinks to it
+    scarce = spark.createDataFrame([("m", "*", "exact_pair", 99.0, 2, 0.5), ("m", "*", "weak_aux", 1.0, 2, 0.5)], "mix_id string, pool string, component string, weight double, uses int, rank double")
+    whole = {r["component"]: r for r in X.mixture_shares(*X.mix(X.sample_units(df), scarce)).collect()}
+    assert whole["exact_pair"]["chars"] == 2 * whole["exact_pair"]["available"] and abs(whole["weak_aux"]["chars"] - 0.01 * sum(r["available"] for r in whole.values())) < 200
+    fitted = {r["component"]: r["actual_share"] for r in X.mixture_shares(*X.mix(X.sample_units(df), scarce, fit=True)).collect()}
+    assert abs(fitted["exact_pair"] - 0.99) < 0.01
     empty, n2 = X.mix(X.sample_units(df.where("false")), weights)
     assert empty.count() == 0 and X.mixture_shares(empty, n2).count() > 0

@@ -14,7 +14,7 @@ from .leaks import WINDOW, leaked_items
 from .mixture import bundle_weights, mix, mixture_shares, sample_units, sort_mixture, stage_weights
 from .overlap import overlap_counts, overlapping_pairs
 from .records import collapse_records, record_members
-from .splits import assign_splits, torn_groups
+from .splits import assign_splits, split_report, torn_groups
 from .tokens import encode_documents
 
 
@@ -65,6 +65,19 @@ def p5_assignment(spark: SparkSession, d: str) -> DataFrame:
     return assign_splits(_samples(spark, d), table(spark, d, "split_targets"))
 
 
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the assignment reached."""
+    r = split_report(p5_assignment(spark, d), table(spark, d, "split_targets"))
+    return r.select("split", F.round("wanted_share", 6).alias("wanted_share"), "groups", "samples", F.round("reached_share", 6).alias("reached_share"))
+
+
+def p5_check(spark: SparkSession, d: str) -> DataFrame:
+    """All groups and samples that were assigned, and the splits that miss their share by more than a hundredth of all samples."""
+    r = split_report(p5_assignment(spark, d), table(spark, d, "split_targets"))
+    off = F.count_if(F.abs(F.col("wanted_share") - F.col("reached_share")) > 0.01)
+    return r.agg(F.sum("groups").alias("groups"), F.sum("samples").alias("samples"), F.count(F.lit(1)).alias("splits"), off.alias("off_target"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = overlapping_pairs(_samples(spark, d))
     return pairs.select(F.least("eval_id", "train_id").alias("sample_id_a"), F.greatest("eval_id", "train_id").alias("sample_id_b")).distinct()
@@ -109,5 +122,5 @@ def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_records, p2_found, p2_forms, p3_mixture, p3_shares, p5_found, p5_assignment, p6_found, p6_counts, p7_ids, p8_found, p8_leaks, p9_found, p9_languages, p9_stretches)
+    f.__name__: f for f in (p1_found, p1_records, p2_found, p2_forms, p3_mixture, p3_shares, p5_found, p5_assignment, p5_shares, p5_check, p6_found, p6_counts, p7_ids, p8_found, p8_leaks, p9_found, p9_languages, p9_stretches)
 }

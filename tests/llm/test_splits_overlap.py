@@ -7,7 +7,7 @@ import numpy as np
 
 from scriptorium.llm.overlap import listed_terms, overlap_counts, overlapping_pairs, word_distance
 from scriptorium.llm.records import record_tuple, words_of
-from scriptorium.llm.splits import assign_splits, split_name, torn_groups
+from scriptorium.llm.splits import assign_splits, split_name, split_report, torn_groups
 
 SAMPLE = "sample_id string, doc_id string, page_id string, split_assignment string, data_class string, source_id string, canonical_target string"
 
@@ -80,6 +80,32 @@ def test_assignment_keeps_groups_and_shares(spark):
     assert {r["split"] for r in assign_splits(df, targets.where("false")).collect()} == {None}
 
 
+def test_assignment_does_not_depend_on_batches(spark):
+    rng = random.Random(9)
+    rows = [(f"s{i}", f"d{int(rng.random() ** 2 * 900)}", None, None, rng.choice("abc"), None, None) for i in range(5000)]
+    df = spark.createDataFrame(rows, SAMPLE)
+    targets = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split_name string, share double")
+    seen = []
+    for batch, width, parts in ((10_000, 4, 1), (50, 3, 7)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+        spark.conf.set("spark.sql.shuffle.partitions", str(width))
+        seen.append(sorted(map(tuple, assign_splits(df.repartition(parts), targets, block_components=100).collect())))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert seen[0] == seen[1]
+    report = {r["split"]: r for r in split_report(spark.createDataFrame(seen[0], "group_id string, n_samples bigint, split string"), targets).collect()}
+    assert sum(r["samples"] for r in report.values()) == 5000 and all(abs(r["reached_share"] - r["wanted_share"]) < 0.01 for r in report.values())
+    assert {r["samples"] for r in split_report(assign_splits(df.where("false"), targets), targets).collect()} == {0}
+
+
+def test_large_groups_are_searched_with_their_labels(spark):
+    rows = [(f"s{g}-{i}", f"d{g}", None, None, "ab"[g % 2], None, None) for g in range(12) for i in range(50)]
+    targets = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split_name string, share double")
+    got = {r["group_id"]: r["split"] for r in assign_splits(spark.createDataFrame(rows, SAMPLE), targets).collect()}
+    for label in (0, 1):
+        assert sum(got[f"d{g}"] == "train" for g in range(12) if g % 2 == label) == 3
+
+
 def test_word_distance():
     rng = random.Random(1)
 

@@ -108,17 +108,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_languages(spark: SparkSession, d: str) -> DataFrame:
-    """Every document with its languages and confidence; no language where it has no running text."""
-    per = document_languages(language_stretches(table(spark, d, "documents")), min_words=1)
+    """Every document with its languages and confidence; no language where it has no words."""
+    per = document_languages(language_stretches(table(spark, d, "documents"), loose=True), min_words=1)
     rows = per.select(F.col("id").alias("doc_id"), "label", F.explode_outer("languages").alias("l"))
     return rows.select("doc_id", "label", F.col("l.language").alias("language"), F.col("l.words").alias("words"), F.round(F.coalesce("l.confidence", F.lit(0.0)), 4).alias("confidence"))
 
 
 def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
-    """Every document's stretches of one language in order, with their segments; one row without language where it has no running text."""
-    per = language_stretches(table(spark, d, "documents"))
+    """Every document's stretches of one language in order, with their segments and text; one row without language where it has no words."""
+    per = language_stretches(table(spark, d, "documents"), loose=True, with_text=True)
     rows = per.select(F.col("id").alias("doc_id"), "label", F.posexplode_outer("stretches").alias("number", "s"))
-    return rows.select("doc_id", "label", "number", F.col("s.first").alias("first_segment"), F.col("s.last").alias("last_segment"), F.col("s.language").alias("language"), F.col("s.words").alias("words"), F.round(F.coalesce("s.confidence", F.lit(0.0)), 4).alias("confidence"))
+    return rows.select("doc_id", "label", "number", F.col("s.first").alias("first_segment"), F.col("s.last").alias("last_segment"), F.col("s.language").alias("language"), F.col("s.words").alias("words"), F.round(F.coalesce("s.confidence", F.lit(0.0)), 4).alias("confidence"), F.col("s.text").alias("text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

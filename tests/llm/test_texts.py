@@ -199,10 +199,35 @@ def test_held_out_accuracy(spark, data):
 
 
 def test_bloom_masks():
-    f = G._fit([("en", ["the", "house"] * 5), ("de", ["das", "haus"] * 5)], 0.1, 2)
+    f = G._fit([("en", ["the", "house"] * 5), ("de", ["das", "haus"] * 5)], ("en", "de"), 0.1, 2)
     assert [x[0] for x in f.segments([["the", "house"], ["das", "haus"], ["zzz"]])] == [0, 1, None]
 
 
+def test_more_than_eight_languages():
+    names = tuple(f"{a}{b}" for a in "abcd" for b in "xyz")
+    words = {k: [f"{k}{x}{k}" for x in "mnopq"] for k in names}
+    f = G._fit([(k, ws * 3) for k, ws in words.items()], names, 0.1, 2)
+    assert [names[x[0]] for x in f.segments([words[k] for k in names])] == list(names)
+    assert G._fit([], (), 0.1, 2).segments([["a"]]) == [(None, 0.0, 0, 0.0, 0.0)]
+
+
+OTHERS = [
+    "Det var en gång en liten flicka som bodde i ett litet hus vid skogen tillsammans med sin mor och sin far. Varje morgon gick hon till skolan genom den mörka skogen och sjöng för fåglarna som satt i träden.",
+    "Dawno temu w małym domu na skraju lasu mieszkała dziewczynka ze swoją matką i ojcem. Każdego ranka szła do szkoły przez ciemny las i śpiewała ptakom, które siedziały na drzewach i nie bały się jej wcale.",
+]
+
+
+def test_other_languages_and_texts_without_running_text(spark, data):
+    docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    f = G.fit_filters(docs)
+    assert set(f.languages) == {"en", "de", "fr", "es", "it", "pt", "nl", "ru"}
+    got = f.documents([*OTHERS, "# The report on the house of the other part", None, "$$x$$"], loose=True, with_text=True)
+    assert [{r["language"] for r in g} for g in got] == [{"other"}, {"other"}, {"en"}, set(), set()]
+    assert got[2][0]["text"].endswith("other part") and f.documents(["# The report on the house"]) == [[]]
+    rows = spark.createDataFrame([(1, OTHERS[0], "en"), (2, OTHERS[1], None)], "doc_id bigint, text string, lang string")
+    assert G.wrong_labels(rows, filters=f).count() == 0
+
+
 def test_mixture(spark):
     rng = random.Random(5)
     samples = [(f"s{i}", rng.choice([" SrcA", "srcb", None]), "b1" if i % 3 else "b2", rng.choice(["exact_pair", "weak_aux", "weak_aux"]), rng.choice([None, 0, 50, 100, 200])) for i in range(900)]

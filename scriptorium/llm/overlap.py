@@ -4,22 +4,23 @@ A train sample and a validation or test sample overlap if they are the same reco
 both have at least ``min_words`` words and their word sequences differ by at most ``share`` of the longer
 one's words (inserted, deleted or replaced).
 
-Method: a weighted cosine join between the splits. A text's vector has a term for every pair of adjacent words at every place,
-with the weight 1 / sqrt(number of terms): equal weights are the only ones under which the edit budget bounds the cosine. One
-edit changes at most two terms, so of two sequences within d = floor(share * longest) edits each keeps all but 2 d of its terms, and
-no true pair is lost. The inverted lists are pruned
-
-* by maximum weight: weights differ only by length, so lists are probed within the lengths allowed,
-* by residual norm: of a vector's terms, rarest first, only the first 2 d + 1 are listed, with d for one word more than the
-  text has, since the norm of the rest is below what the dot product needs; the first kept term is among them on both sides,
+Method: a weighted cosine join between the splits. A text's vector has a term for every pair of adjacent words at every place, weighted by
+how rare the pair is among the evaluation texts: w = 1 / log2(2 + n) for a pair that occurs n times. One edit changes at most two terms. Of two
+sequences within d = floor(share * longest) edits each therefore keeps a dot product of at least its squared norm less its 2 d largest squared
+weights: a bound on the cosine of the pair, for any weights, so that no true pair is lost. The inverted lists are pruned
+
+* by maximum weight: a term that no evaluation text has contributes nothing, and is not listed for a train text,
+* by residual norm: of a vector's terms, heaviest first, only so many are listed that the squared norm of the rest falls
+  below the least dot product of any partner (``listed_terms``: 2 d + 1 for the budget of a text one word longer); the first kept term is among them on both sides,
 * by place: kept terms move by at most d places,
 * by signature: the words' parity in 126 hashed bits differs in at most two bits for each edit.
 
-Candidates get their exact dot product over words, and those that pass their exact word distance (Myers' bit-parallel
+Candidates get their exact dot product, and those that reach the bound of both sides their exact word distance (Myers' bit-parallel
 recurrence). Nothing is capped or dropped.
 
-Term rarity only orders the lists. It comes from a count over all evaluation texts in ``buckets`` hashed
-counters, whose size is fixed: this table alone is broadcast. Train terms that no evaluation text has come first and are not listed.
+The weights come from a count over all evaluation texts in ``buckets`` hashed counters, whose size is fixed: this table alone is
+broadcast (pairs that share a counter weigh the same). A term with more than ``hot`` occurrences is salted: its evaluation entries are spread over as many
+lists as it takes, its train entries stand in each. Groups of the same record or words are salted likewise by their counted size where pairs are spelt out.
 
 Texts with equal word sequences are one class and are compared once; ``near_classes`` gives the links
 between classes, ``overlap_members`` the classes of the samples. ``overlapping_pairs`` spells the pairs out.
@@ -30,7 +31,6 @@ delivered twice counts once.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -179,7 +179,40 @@ def listed_terms(n: np.ndarray, share: float) -> np.ndarray:
     return 2 * np.floor((n + 1) * share + 1e-9).astype(np.int64) + 1
 
 
-def near_classes(members: DataFrame, *, share: float = SHARE, buckets: int = 1 << 21) -> DataFrame:
+def squared_weights(rarity: np.ndarray) -> np.ndarray:
+    """The squared weight of terms by how often they occur in the evaluation texts."""
+    return 1.0 / np.log2(2.0 + rarity) ** 2
+
+
+def _bounds(text: np.ndarray, weight: np.ndarray, lost: np.ndarray) -> np.ndarray:
+    """For each text (terms in order of text): its squared norm less its ``lost`` largest squared weights."""
+    order = np.lexsort((-weight, text))
+    t, w = text[order], weight[order]
+    rank = np.arange(len(t)) - np.searchsorted(t, t)
+    return np.bincount(t, np.where(rank < lost[t], 0.0, w), len(lost))
+
+
+def dot_products(a: Terms, b: Terms, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The exact dot product of each text of ``a`` with that of ``b`` at the same place, and the weights of either side's terms."""
+    buckets = np.uint64(len(rarity))
+    wa, wb = (squared_weights(rarity[x.hash % buckets].astype(np.float64)) for x in (a, b))
+
+    def numbered(x: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # equal terms of one text are told apart by their number, so that each meets one of the other side
+        order = np.lexsort((x.place, x.hash, x.text))
+        t, h = x.text[order], x.hash[order]
+        fresh = np.ones(len(t), bool)
+        fresh[1:] = (t[1:] != t[:-1]) | (h[1:] != h[:-1])
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(t)), 0))
+        return order, t, (h + (np.arange(len(t)) - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (t.astype(np.uint64) << np.uint64(40))
+
+    oa, ta, ka = numbered(a)
+    _, _, kb = numbered(b)
+    shared = np.isin(ka, kb)
+    return np.bincount(ta[shared], wa[oa][shared], len(a.n)), wa, wb
+
+
+def near_classes(members: DataFrame, *, share: float = SHARE, buckets: int = 1 << 21, hot: int = 5000) -> DataFrame:
     """``a1, a2, b1, b2, distance``: links from evaluation classes (a) to different train classes (b), rows distinct."""
     spark = members.sparkSession
     ship_package(spark)
@@ -202,71 +235,76 @@ def near_classes(members: DataFrame, *, share: float = SHARE, buckets: int = 1 <
             at = t.text[first]
             rows = pa.array(at, pa.int64())
             own = [b.column(c).take(rows) for c in (0, 1, 3, 4)]
-            made = [pa.array(t.hash[first].astype(np.int64)), pa.array(t.place[first], pa.int32()), pa.array(t.low[at]), pa.array(t.high[at])]
-            yield pa.RecordBatch.from_arrays([*own, *made], names=["c", "n", "in_train", "in_eval", "key", "place", "low", "high"])
+            made = [pa.array(t.hash[first].astype(np.int64)), pa.array(t.place[first], pa.int32()), pa.array(t.low[at]), pa.array(t.high[at]), pa.array(1 + rare[first] // hot, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*own, *made], names=["c", "n", "in_train", "in_eval", "key", "place", "low", "high", "salts"])
 
-    lists = cut(classes.select("c", "n", "words", "in_train", "in_eval").mapInArrow(listing, "c bigint, n int, in_train boolean, in_eval boolean, key bigint, place int, low bigint, high bigint"), "lists")
+    lists = cut(classes.select("c", "n", "words", "in_train", "in_eval").mapInArrow(listing, "c bigint, n int, in_train boolean, in_eval boolean, key bigint, place int, low bigint, high bigint, salts int"), "lists")
     fields = ("c", "n", "place", "low", "high")
-    a, b = (lists.where(side).select("key", *[F.col(x).alias(f"{p}_{x}") for x in fields]) for p, side in (("a", "in_eval"), ("b", "in_train")))
+    # only a hot term has more than one salt: an evaluation entry takes one of them, a train entry all
+    one, every = F.pmod(F.xxhash64("c"), F.col("salts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    a, b = (lists.where(side).select("key", salt.alias("salt"), *[F.col(x).alias(f"{p}_{x}") for x in fields]) for p, side, salt in (("a", "in_eval", one), ("b", "in_train", every)))
     budget = F.floor(F.greatest("a_n", "b_n") * F.lit(share) + F.lit(1e-9))
     gap = F.abs(F.col("a_n") - F.col("b_n"))
     flips = F.bit_count(F.col("a_low").bitwiseXOR(F.col("b_low"))) + F.bit_count(F.col("a_high").bitwiseXOR(F.col("b_high")))
     near = (gap <= budget) & (F.abs(F.col("a_place") - F.col("b_place")) <= budget) & (flips <= 2 * budget - gap) & (F.col("a_c") != F.col("b_c"))
-    pairs = a.join(b, "key").where(near).select("a_c", "b_c").distinct()
+    pairs = a.join(b, ["key", "salt"]).where(near).select("a_c", "b_c").distinct()
     texts = classes.select("c", "w1", "w2", "words")
     for p in "ab":
         pairs = pairs.join(texts.select(*[F.col(x).alias(f"{p}_{x}") for x in texts.columns]), f"{p}_c")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = table.value
         for batch in batches:
-            got = []
-            last, wa, ca = None, [], Counter()
-            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                if x != last:
-                    last, wa = x, x.split(" ")
-                    ca = Counter(wa)
-                wb = y.split(" ")
-                longest = max(len(wa), len(wb))
-                most = int(longest * share + 1e-9)
-                left = dict(ca)
-                dot = 0
-                for w in wb:
-                    k = left.get(w, 0)
-                    if k:
-                        left[w] = k - 1
-                        dot += 1
-                d = word_distance(wa, wb, most) if dot >= longest - most else most + 1
-                got.append(d if d <= most else None)
+            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            a, b = Terms(left), Terms(right)
+            most = np.floor(np.maximum(a.n, b.n) * share + 1e-9).astype(np.int64)
+            dot, wa, wb = dot_products(a, b, rarity)
+            least = np.maximum(_bounds(a.text, wa, 2 * most), _bounds(b.text, wb, 2 * most))
+            got: list[int | None] = [None] * len(left)
+            for i in np.flatnonzero(dot >= least - 1e-9).tolist():
+                d = word_distance(left[i].split(" "), right[i].split(" "), int(most[i]))
+                if d <= most[i]:
+                    got[i] = d
             keep = pa.array([g is not None for g in got], pa.bool_())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in range(4)), pa.array([g for g in got if g is not None], pa.int32())], names=["a1", "a2", "b1", "b2", "distance"])
 
     return pairs.select(*[F.col(f"{p}_w{k}").alias(f"{p}{k}") for p in "ab" for k in (1, 2)], "a_words", "b_words").mapInArrow(verify, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, distance int")
 
 
-def overlapping_pairs(samples: DataFrame, *, share: float = SHARE, min_words: int = MIN_WORDS, **columns: str) -> DataFrame:
+def _met(e: DataFrame, t: DataFrame, keys: list[str], *, hot: int) -> DataFrame:
+    """The evaluation rows ``e`` with the train rows ``t`` of equal ``keys``.
+
+    A key with more than ``hot`` train rows is salted: its train rows are spread, its evaluation rows stand with each part. The sizes are
+    counted first, combined where the rows are; keys below have no salt, and nothing of theirs is repeated.
+    """
+    sizes = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select(*keys, F.ceil(F.col("_n") / F.lit(hot)).cast("int").alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1))
+    one = F.pmod(F.xxhash64("train_id"), salts).cast("int")
+    left = e.join(sizes, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    right = t.join(sizes, keys, "left").withColumn("_salt", one).drop("_salts")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
+def overlapping_pairs(samples: DataFrame, *, share: float = SHARE, min_words: int = MIN_WORDS, hot: int = 100_000, **columns: str) -> DataFrame:
     """``eval_id, train_id, distance`` of all overlapping pairs; distance is 0 for the same record."""
     members = overlap_members(samples, min_words=min_words, **columns)
     links = cut(near_classes(members, share=share), "links")
     e, t = members.where("split <> 'train'"), members.where("split = 'train'")
 
-    def side(rows: DataFrame, p: str, kind: str) -> DataFrame:
-        return rows.select(F.col("id").alias(f"{p}_id"), F.col(f"{kind}1").alias(f"{p}1"), F.col(f"{kind}2").alias(f"{p}2")).distinct()
+    def side(rows: DataFrame, p: str, *kept: str) -> DataFrame:
+        return rows.select(F.col("id").alias(f"{p}_id"), *kept).distinct()
 
-    # the linked classes are few: the members are met class by class, the links first
-    same = side(e, "eval", "r").join(side(t, "train", "r"), (F.col("eval1") == F.col("train1")) & (F.col("eval2") == F.col("train2"))).select("eval_id", "train_id", F.lit(0).alias("distance"))
+    same = _met(side(e, "eval", "r1", "r2"), side(t, "train", "r1", "r2"), ["r1", "r2"], hot=hot).select("eval_id", "train_id", F.lit(0).alias("distance"))
     # equal words, of which one is a set of fields and the other running text
     long_e, long_t = e.where("words is not null"), t.where("words is not null")
     equal = (
-        long_e.select(F.col("id").alias("eval_id"), "w1", "w2", F.col("r1").alias("e1"))
-        .join(long_t.select(F.col("id").alias("train_id"), "w1", "w2", F.col("r1").alias("t1")), ["w1", "w2"])
+        _met(side(long_e, "eval", "w1", "w2", F.col("r1").alias("e1")), side(long_t, "train", "w1", "w2", F.col("r1").alias("t1")), ["w1", "w2"], hot=hot)
         .where("e1 <> t1")
         .select("eval_id", "train_id", F.lit(0).alias("distance"))
     )
-    near = (
-        links.join(side(long_e, "eval", "w"), (F.col("a1") == F.col("eval1")) & (F.col("a2") == F.col("eval2")))
-        .join(side(long_t, "train", "w"), (F.col("b1") == F.col("train1")) & (F.col("b2") == F.col("train2")))
-        .select("eval_id", "train_id", "distance")
-    )
+    # the linked classes are few: the members are met class by class, the links first
+    met = links.join(side(long_e, "eval", F.col("w1").alias("a1"), F.col("w2").alias("a2")), ["a1", "a2"])
+    near = _met(met.select("eval_id", "b1", "b2", "distance"), side(long_t, "train", F.col("w1").alias("b1"), F.col("w2").alias("b2")), ["b1", "b2"], hot=hot).select("eval_id", "train_id", "distance")
     return same.unionByName(equal).unionByName(near).groupBy("eval_id", "train_id").agg(F.min("distance").alias("distance"))
 
 

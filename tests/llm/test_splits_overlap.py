@@ -1,11 +1,12 @@
 """Splits by component (problem 5) and overlaps between splits (problem 6)."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
-from scriptorium.llm.overlap import listed_terms, overlap_counts, overlapping_pairs, word_distance
+from scriptorium.llm.overlap import Terms, dot_products, listed_terms, near_classes, overlap_counts, overlap_members, overlapping_pairs, squared_weights, word_distance
 from scriptorium.llm.records import record_tuple, words_of
 from scriptorium.llm.splits import assign_splits, split_name, split_report, torn_groups
 
@@ -177,6 +178,40 @@ def test_listed_terms_cover_every_loss():
         assert listed_terms(np.array([n]), 0.15)[0] > most
 
 
+@pytest.mark.parametrize("n", [26, 33, 39, 40, 47])
+def test_recall_with_skewed_rarity(spark, n):
+    """Templates whose edited words are the rarest, at lengths where the budget steps up, among texts that share the rest."""
+    rng = random.Random(n)
+    base = [f"w{i}" for i in range(n + 1)]
+    d = int(0.15 * (n + 1) + 1e-9)
+    short = base[:]
+    for i in rng.sample(range(n), d - 1):
+        short[i] = f"edit{i}"
+    short.pop(rng.randrange(n))
+    rows = [("t", None, None, "train", "a", None, " ".join(base)), ("e", None, None, "val", "a", None, " ".join(short))]
+    rows += [(f"o{k}", None, None, "val", "a", None, " ".join(base + [f"own{k}x{i}" for i in range(20)])) for k in range(4)]
+    rows += [(f"r{k}", None, None, rng.choice(["train", "val"]), "a", None, " ".join(edited(rng, base[: rng.randrange(20, n + 1)], rng.randrange(d + 2)))) for k in range(60)]
+    of = {r[0]: (r[3], r[6].split()) for r in rows}
+    want = {(a, b) for a, (sa, wa) in of.items() for b, (sb, wb) in of.items() if sa == "val" and sb == "train" and min(len(wa), len(wb)) >= 20 and word_distance(wa, wb, len(wa)) <= int(0.15 * max(len(wa), len(wb)) + 1e-9)}
+    df = spark.createDataFrame(rows, SAMPLE)
+    assert ("e", "t") in want
+    members = overlap_members(df)
+    assert {(r["eval_id"], r["train_id"]) for r in overlapping_pairs(df, hot=3).collect()} == want
+    assert {tuple(r) for r in near_classes(members, hot=2, buckets=16).collect()} == {tuple(r) for r in near_classes(members).collect()}
+
+
+def test_dot_products_against_counters():
+    rng = random.Random(5)
+    left, right = ([" ".join(rng.choice("abc") for _ in range(rng.randrange(2, 30))) for _ in range(50)] for _ in "ab")
+    rarity = np.arange(64, dtype=np.uint32)
+    a, b = Terms(left), Terms(right)
+    dot, wa, wb = dot_products(a, b, rarity)
+    for i in range(50):
+        ca, cb = (Counter(x.hash[x.text == i].tolist()) for x in (a, b))
+        want = sum(float(squared_weights(np.float64(rarity[h % 64]))) * min(k, cb[h]) for h, k in ca.items())
+        assert abs(dot[i] - want) < 1e-9
+
+
 def test_pairs_where_the_budget_steps_up(spark):
     rng = random.Random(26)
     rows, want = [], set()

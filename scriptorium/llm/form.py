@@ -61,12 +61,10 @@ _EXOTIC = _members(f"[{_EXOTIC_RANGE}]")
 
 # Letters of one script that look like a letter of another.
 _LATIN_OF = {
-    "Cyrillic": dict(zip("абеорсухіјѕһԁԛԝѵкАВЕКМНОРСТУХІЈЅҺԀԚԜѴЗ", "a6eopcyxijshdqwvkABEKMHOPCTYXIJSHDQWV3", strict=True)),
+    "Cyrillic": dict(zip("аеорсухіјѕһԁԛԝѵкАВЕКМНОРСТУХІЈЅҺԀԚԜѴ", "aeopcyxijshdqwvkABEKMHOPCTYXIJSHDQWV", strict=True)),
     "Greek": dict(zip("ανορυικτγηωχΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ", "avopuiktynwxABEZHIKMNOPTYXcj", strict=True)),
     "Armenian": dict(zip("օոսցհյզքՕՍ", "onughjqpOU", strict=True)),
 }
-for _drop in ("б", "З"):  # look like digits, not like letters
-    _LATIN_OF["Cyrillic"].pop(_drop)
 _TO: dict[tuple[str, str], dict[str, str]] = {}
 for _s, _m in _LATIN_OF.items():
     _TO[_s, "Latin"] = _m

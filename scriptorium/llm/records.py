@@ -1,8 +1,8 @@
 """Records that differ only in formatting (problem 1).
 
 The record of a text is what is left of its form (see ``form``) without letter case, white space and
-punctuation: its words in order. A field list (``name: value`` lines, with or without bullets, after
-headings) or a flat JSON object is a set of fields instead, whose order does not count: its record is
+punctuation: its words in order. A field list (two or more ``name: value`` lines and no other, with or without bullets, after
+headings; names of any length) or a flat JSON object is a set of fields instead, whose order does not count: its record is
 the multiset of its fields, each the words of the name and the words of the value, and the headings.
 
 Method: every distinct text of a batch is canonicalised once (the batch is dictionary-encoded); each
@@ -33,15 +33,13 @@ _WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
 _PLAIN_WORD = re.compile(r"[^\W_]+")
 _MARKS = frozenset(c for c in map(chr, range(0x300, 0x1F000)) if category(c)[0] == "M")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
-_FIELD_LINE = re.compile(r"\s*(?:(?:[-*+•·‣]|\d{1,3}[.)])\s+)?(?P<name>[^:\n]{1,80}?):(?P<value>.*)", re.DOTALL)
+_FIELD_LINE = re.compile(r"\s*(?:(?:[-*+•·‣]|\d{1,3}[.)])\s+)?(?P<name>[^:\n]+):(?P<value>.*)", re.DOTALL)
 _JSON_STRING = r'"((?:[^"\\]|\\.)*)"'
 _JSON_VALUE = rf'(?:{_JSON_STRING}|(-?[\w.+-]+))'
 _JSON_OBJECT = re.compile(rf"\s*\{{\s*(?:{_JSON_STRING}\s*:\s*{_JSON_VALUE}\s*,?\s*)+\}}\s*", re.DOTALL)
 _JSON_MEMBER = re.compile(rf"{_JSON_STRING}\s*:\s*{_JSON_VALUE}", re.DOTALL)
 _ESCAPE = re.compile(r'\\(u[0-9a-fA-F]{4}|.)', re.DOTALL)
 _PLAIN_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": " ", "f": " "}
-MAX_NAME_WORDS = 5
-"""A line with more words before its colon is a sentence, not a field."""
 
 
 def words_of(form: str) -> list[str]:
@@ -81,7 +79,7 @@ def fields_of(form: str) -> list[tuple[str, str]] | None:
             continue
         m = _FIELD_LINE.fullmatch(line)
         name = words_of(m["name"]) if m else []
-        if not name or len(name) > MAX_NAME_WORDS:
+        if not name:
             return None
         names += 1
         fields.append((" ".join(name), " ".join(words_of(m["value"]))))

@@ -58,7 +58,10 @@ def test_fields_in_any_order():
     obj = '{"a b": "x", "c": 5, "d": "q\\"uo\\u0074e"}'
     assert record_tuple(obj) == record_tuple('{ "c" : "5",\n "D.": "Q uote,", "a-b": "X" }') != record_tuple('{"a b": "5", "c": "x", "d": "q uote"}')
     assert record_tuple(obj) == record_tuple("- c: 5\n- a b: x\n- d: q uote")
-    assert fields_of("A sentence with far too many words before: this\nother: x") is None and fields_of('{"a": {"b": "c"}}') is None and fields_of("one: field") is None
+    # names have no bound
+    assert record_tuple("Name of the person in charge: Ann\nCity: Rome") == record_tuple("City: Rome\nName of the person in charge: Ann")
+    assert record_tuple(f"{'very long ' * 20}name: 1\nother: x") == record_tuple(f"other: x\n{'very long ' * 20}name: 1")
+    assert fields_of("A line without a field\nother: x") is None and fields_of('{"a": {"b": "c"}}') is None and fields_of("one: field") is None
 
 
 def test_words_and_order_count():

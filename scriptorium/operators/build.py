@@ -43,15 +43,17 @@ def in_scope(scope: Column, member: Column) -> Column:
 
 
 def within_quota(rows: DataFrame, keys: list[str], order: list[Column], quota: Column, most: int | None = None) -> DataFrame:
-    """The first rows of every group, as many as its quota (null: all).
+    """The first rows of every group, as many as its quota (null: all, which are not ranked).
 
-    With ``most``, the largest quota there is, groups are cut to that number where they are read, before any shuffle, so that no task sorts a
-    whole hot group; rows without quota are not ranked at all.
+    ``most`` is the largest quota there is. Up to the engine's limit for it, groups are cut to that number where they are read, before any shuffle. A larger
+    or unknown one is ranked by range: rows are sorted by key and order over all tasks, so that a hot group is no single task either way.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    if most is None:
-        return rows.withColumn("_rank", F.row_number().over(w)).where(quota.isNull() | (F.col("_rank") <= quota)).drop("_rank")
-    ranked = rows.where(quota.isNotNull()).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= int(most))
+    wanted = rows.where(quota.isNotNull())
+    if most is not None and most < int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        ranked = wanted.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= int(most))
+    else:
+        by = [f"_by{i}" for i in range(len(order))]
+        ranked = number_rows(wanted.select("*", *[c.alias(n) for c, n in zip(order, by, strict=True)]), by, "_rank", keys).drop(*by).withColumn("_rank", F.col("_rank") + 1)
     return ranked.where(F.col("_rank") <= quota).drop("_rank").unionByName(rows.where(quota.isNull()))
 
 
@@ -112,17 +114,23 @@ def approved_samples(samples: DataFrame, k: int) -> DataFrame:
     return rows.withColumns({"difficulty_tier": F.when(hard, "hard").otherwise("medium"), "slice_tags": F.array_distinct(F.concat("slice_tags", F.array(F.lit(APPROVED_TAG))))})
 
 
-def number_rows(rows: DataFrame, order: list[str], out: str = "index") -> DataFrame:
-    """``rows`` with their number from 0 in the given total order.
+def number_rows(rows: DataFrame, order: list[str], out: str = "index", keys: list[str] | None = None) -> DataFrame:
+    """``rows`` with their number from 0 in the given order, of all rows or of those with equal ``keys``.
 
-    Rows are range-sorted and written; each file part is numbered on its own and shifted by the sizes of the parts before it. No task sees more
-    than its range.
+    Rows are range-sorted (by key and order) and written; each part is numbered on its own and shifted by the sizes of the parts before it. No task sees more
+    than its range, whatever a key holds. Rows with a null key are numbered as well, as one more key.
     """
-    parts = cut(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()), "numbered")
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    shifts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_shift"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return parts.withColumn("_inside", inside).join(shifts, "_part").withColumn(out, F.col("_shift") + F.col("_inside")).drop("_part", "_inside", "_shift")
+    keys = keys or []
+    parts = cut(rows.orderBy(*keys, *order).withColumn("_part", F.spark_partition_id()), "numbered")
+    same = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_k{i}") for i, k in enumerate(keys)] + [F.col(k).isNull().alias(f"_o{i}") for i, k in enumerate(keys)]
+    names = [f"_k{i}" for i in range(len(keys))] + [f"_o{i}" for i in range(len(keys))]
+    parts = parts.select("*", *same)
+    sizes = parts.groupBy("_part", *names).agg(F.count(F.lit(1)).alias("_n"))
+    # a key has a row for each part it reaches into
+    shifts = sizes.select("_part", *names, (F.sum("_n").over(Window.partitionBy(*names).orderBy("_part")) - F.col("_n")).alias("_shift"))
+    inside = F.row_number().over(Window.partitionBy("_part", *names).orderBy(*order)) - 1
+    parts = parts.withColumn("_inside", inside).join(shifts, ["_part", *names]).drop(*names)
+    return parts.withColumn(out, F.col("_shift") + F.col("_inside")).drop("_part", "_inside", "_shift")
 
 
 def synthetic_expansion(samples: DataFrame, recipes: list[str], target: int, order: str = "sample_id") -> DataFrame:
@@ -161,25 +169,38 @@ def prompt_packs(branches: list[tuple[str, DataFrame, int]], cap: int, order: st
 # --- shards -------------------------------------------------------------
 
 
+SHARDS_PER_TASK, SHARD_STEP = 256, 1 << 20
+
+
+def shard_buckets(rows: DataFrame, *, key: str, spread: str, size: str, target: int) -> DataFrame:
+    """``rows`` with ``_bucket``: a key of more than ``SHARDS_PER_TASK`` shards falls into as many parts as it takes, by hash."""
+    wanted = F.ceil(F.sum(F.coalesce(size, F.lit(0))) / F.lit(target * SHARDS_PER_TASK)).cast("int")
+    parts = rows.groupBy(F.col(key).alias("_key")).agg(wanted.alias("_parts")).where("_parts > 1")
+    split = rows.join(parts, rows[key] == parts["_key"], "left").drop("_key")
+    return split.withColumn("_bucket", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+
+
 def shard_numbers(rows: DataFrame, *, key: str, order: list[str], size: str, target: int, out: str = "shard") -> DataFrame:
     """Shards filled in order and closed before they overflow; a row larger than the target fills one alone.
 
     The sum restarts at every overflow, which no window frame expresses. The fold runs where the rows are, over
-    each key's sorted rows and with a state of two numbers, however many rows a key has.
+    each key's sorted rows and with a state of two numbers. A key too large for one task is split by hash first (``shard_buckets``): its parts are
+    filled on their own and numbered from multiples of ``SHARD_STEP``.
     """
+    rows = shard_buckets(rows, key=key, spread=order[0], size=size, target=target)
     import pyarrow as pa
 
     columns = [*rows.columns]
     schema = rows.schema.simpleString()[len("struct<") : -1]
-    at_key, at_size = columns.index(key), columns.index(size)
+    at_key, at_size, at_bucket = columns.index(key), columns.index(size), columns.index("_bucket")
 
     def run(batches):
         last, filled, number = object(), 0, 0
         for b in batches:
             got = []
-            for k, n in zip(b.column(at_key).to_pylist(), b.column(at_size).to_pylist(), strict=True):
-                if k != last:
-                    last, filled, number = k, 0, 0
+            for k, n, bucket in zip(*(b.column(c).to_pylist() for c in (at_key, at_size, at_bucket)), strict=True):
+                if (k, bucket) != last:
+                    last, filled, number = (k, bucket), 0, bucket * SHARD_STEP
                 n = n or 0
                 if filled and filled + n > target:
                     number, filled = number + 1, 0
@@ -187,7 +208,7 @@ def shard_numbers(rows: DataFrame, *, key: str, order: list[str], size: str, tar
                 got.append(number)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.int32())], names=[*columns, out])
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, f"{schema},{out}:int")
+    return rows.repartition(key, "_bucket").sortWithinPartitions(key, "_bucket", *order).mapInArrow(run, f"{schema},{out}:int").drop("_bucket")
 
 
 def target_extension(target_type: Column) -> Column:
@@ -195,5 +216,6 @@ def target_extension(target_type: Column) -> Column:
 
 
 def once_per_id(rows: DataFrame, id_column: str) -> DataFrame:
-    """One row per id, the smallest of each column where deliveries differ."""
-    return rows.where(F.col(id_column).isNotNull()).groupBy(id_column).agg(*[F.min(c).alias(c) for c in rows.columns if c != id_column])
+    """One row per id: where deliveries differ, the smallest of them as a whole."""
+    rest = [c for c in rows.columns if c != id_column]
+    return rows.where(F.col(id_column).isNotNull()).groupBy(id_column).agg(F.min(F.struct(*rest)).alias("_r")).select(id_column, "_r.*")

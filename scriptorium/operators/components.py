@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import cut
+from .skew import HOT, met_with_one
 
 
-def connected_components(pairs: DataFrame, *, salts: int = 8, max_rounds: int = 60) -> DataFrame:
+def connected_components(pairs: DataFrame, *, hot: int = HOT, max_rounds: int = 60) -> DataFrame:
     """``node, component`` for the nodes of ``pairs`` (a, b); the component is the smallest node of it.
 
-    Alternating large-star and small-star steps, each a minimum per node joined back over salted nodes (so that a node
-    with a third of all edges is spread over ``salts`` tasks), until nothing changes. Every round is cut by a table in the shared folder. Null nodes and loops link nothing.
+    Alternating large-star and small-star steps, each a minimum per node joined back (nodes with more than ``hot`` edges, counted with
+    the minimum, over several tasks), until nothing changes. Every round is cut by a table in the shared folder. Null nodes and loops link nothing.
     """
 
-    def salted_min_join(edges: DataFrame, least: DataFrame) -> DataFrame:
-        spread = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
-        return edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(spread, ["u", "s"]).drop("s")
+    def min_join(edges: DataFrame, least: DataFrame) -> DataFrame:
+        return met_with_one(edges, least, ["u"], spread=F.col("v"), count="k", hot=hot)
 
     def both(e: DataFrame) -> DataFrame:
         return e.select(F.explode(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
@@ -32,10 +32,10 @@ def connected_components(pairs: DataFrame, *, salts: int = 8, max_rounds: int =
         if not seen[0]:
             break
         around = both(edges)
-        least = around.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = cut(salted_min_join(around.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = salted_min_join(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = around.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("k"))
+        large = cut(min_join(around.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
+        hung = min_join(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
         now = state(edges)
         if now == seen:

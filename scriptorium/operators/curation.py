@@ -91,19 +91,31 @@ def without_holdout(rows: DataFrame, holdout: DataFrame, key: str) -> DataFrame:
     return rows.join(holdout.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
+def first_by_hash(rows: DataFrame, *, by: str, id_column: str, quota: Column) -> DataFrame:
+    """The rows of each class with the smallest hashes, as many as its quota, with their number ``_k`` from 1; exact, without a window over a class.
+
+    Hashes fall into 65,536 ranges. Their sizes per class, summed up, tell the ranges that are needed; only rows of those move, and
+    a task ranks the rows of one range.
+    """
+    h = F.sha2(F.col(id_column).cast("string"), 256)
+    hashed = rows.withColumns({"_h": h, "_range": F.substring(h, 1, 4)})
+    sizes = hashed.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(by).orderBy("_range")) - F.col("_n")).drop("_n")
+    near = hashed.join(before, [by, "_range"]).where(F.col("_before") < quota)
+    inside = F.row_number().over(Window.partitionBy(by, "_range").orderBy("_h", id_column))
+    return near.withColumn("_k", F.col("_before") + inside).where(F.col("_k") <= quota).drop("_h", "_range", "_before")
+
+
 def class_sample(rows: DataFrame, shares: DataFrame, *, by: str, id_column: str, total: int) -> DataFrame:
     """The rows of each class with the smallest hashes, up to its share of ``total``."""
-    ranked = rows.join(shares, by).withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(F.sha2(F.col(id_column).cast("string"), 256), id_column)))
-    # the first bound is a constant, by which classes are cut before the shuffle
-    return ranked.where(F.col("_rank") <= int(total)).where(F.col("_rank") <= F.floor(F.col("share") * total)).drop("_rank")
+    return first_by_hash(rows.join(shares, by), by=by, id_column=id_column, quota=F.floor(F.col("share") * total)).drop("_k")
 
 
 def anchor_draws(rows: DataFrame, *, anchor: Column, id_column: str, draws: int, anchor_share: float) -> DataFrame:
     """Draws with replacement: each side's rows in hashed order, repeated until its part of the draws is full."""
     sides = rows.withColumn("side", F.when(anchor, "anchor").otherwise("primary"))
-    w = Window.partitionBy("side").orderBy(F.sha2(F.col(id_column).cast("string"), 256), id_column)
-    # no side needs more rows than there are draws: the constant bound cuts them before the shuffle
-    numbered = sides.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= int(draws)).withColumn("_n", F.col("_k") - 1)
+    # no side needs more rows than there are draws
+    numbered = first_by_hash(sides, by="side", id_column=id_column, quota=F.lit(int(draws))).withColumn("_n", F.col("_k") - 1)
     sizes = sides.groupBy("side").agg(F.count(F.lit(1)).alias("_size"))
     part = F.when(F.col("side") == "anchor", F.lit(int(draws * anchor_share))).otherwise(F.lit(draws - int(draws * anchor_share)))
     times = F.ceil((part - F.col("_n")) / F.col("_size")).cast("int")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,24 +112,58 @@ def variant_scores(variants: DataFrame, reference: dict[str, float], goal: dict[
     )
 
 
-def pareto_frontier(rows: DataFrame, best_high: str, best_low: tuple[str, str], id_column: str) -> DataFrame:
-    """Rows that no other row dominates (one high, two low criteria); equal rows stay.
+def _skyline(t: pa.Table) -> pa.Table:
+    """The triples (high, low, low) that no other one dominates: a sweep from the best high value down over a staircase of the two low ones."""
+    from bisect import bisect_left, bisect_right
+
+    high, a, b = (t.column(i).to_pylist() for i in range(3))
+    lows, least, keep = [], [], []
+    for k in sorted(range(len(high)), key=lambda k: (-high[k], a[k], b[k])):
+        at = bisect_right(lows, a[k])
+        if at and least[at - 1] <= b[k]:
+            continue
+        keep.append(k)
+        at = end = bisect_left(lows, a[k])
+        while end < len(lows) and least[end] >= b[k]:
+            end += 1
+        lows[at:end], least[at:end] = [a[k]], [b[k]]
+    return t.take(pa.array(keep, pa.int64()))
+
+
+def pareto_frontier(rows: DataFrame, best_high: str, best_low: tuple[str, str], id_column: str, fan_in: int = 16) -> DataFrame:
+    """Rows that no other row dominates (one high, two low criteria); equal rows stay, and so do rows that lack a criterion (null or no number).
 
-    A row dominated at all is dominated by a row of the frontier of the values above its own. The rows are first reduced to
-    the best second low value for each pair of the other two, and of these only values that beat all with a higher or equal rank
-    survive a running minimum; the theta anti-join then meets this small staircase only.
+    A row that is dominated within any part of the rows is dominated: every part keeps its own frontier, parts are brought together ``fan_in`` to
+    one, and so on to the last. What moves is frontiers, not rows; the rows then meet the last one by equality.
     """
-    a, b = best_low
-    pairs = rows.groupBy(best_high, a).agg(F.min(b).alias(b))
-    # partial staircase: within each value of the first low criterion, later rows must beat the best so far
-    w = Window.partitionBy(a).orderBy(F.desc(best_high)).rowsBetween(Window.unboundedPreceding, -1)
-    stairs = pairs.withColumn("_best", F.min(b).over(w)).where(F.col("_best").isNull() | (F.col(b) < F.col("_best"))).drop("_best")
-    o = stairs.select(*[F.col(c).alias(f"o_{c}") for c in (best_high, a, b)])
-    no_worse = (F.col(f"o_{best_high}") >= F.col(best_high)) & (F.col(f"o_{a}") <= F.col(a)) & (F.col(f"o_{b}") <= F.col(b))
-    better = (F.col(f"o_{best_high}") > F.col(best_high)) | (F.col(f"o_{a}") < F.col(a)) | (F.col(f"o_{b}") < F.col(b))
-    return rows.join(o, no_worse & better, "left_anti")
+    names = [best_high, *best_low]
+    values = rows.select(*[F.col(c).cast("double").alias(c) for c in names]).dropna()
+    schema = ",".join(f"{c} double" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = pa.table({c: pa.array([], pa.float64()) for c in names})
+        for b in batches:
+            best = _skyline(pa.concat_tables([best, pa.Table.from_batches([b])]).combine_chunks())
+        yield from best.to_batches()
+
+    def reduced(x: DataFrame) -> DataFrame:
+        return x.mapInArrow(run, schema)
+
+    parts = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    best = reduced(values.distinct())
+    while parts > 1:
+        parts = -(-parts // fan_in)
+        best = reduced(best.repartition(parts))
+    best = reduced(best.coalesce(1)).select(*[F.col(c).alias(f"_{c}") for c in names])
+    equal = [F.col(c).cast("double") == F.col(f"_{c}") for c in names]
+    lacking = reduce(lambda x, y: x | y, (F.coalesce(F.isnan(F.col(c).cast("double")), F.lit(True)) for c in names))
+    return rows.where(~lacking).join(best, equal, "left_semi").unionByName(rows.where(lacking))
 
 
 def first_names(rows: DataFrame, by: list[str], name: str, amount: str, n: int = 5) -> DataFrame:
-    """Per group the sum and the first n names in order."""
-    return rows.groupBy(*by).agg(F.sum(amount).alias("total"), F.array_join(F.slice(F.array_sort(F.collect_set(name)), 1, n), ",").alias("names"))
+    """Per group the sum and the first n different names in order; no task holds more than n names of a group."""
+    sums = rows.groupBy(*by).agg(F.sum(amount).alias("total"))
+    w = Window.partitionBy(*by).orderBy(name)
+    few = rows.where(F.col(name).isNotNull()).select(*by, name).distinct().withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n)
+    names = few.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(name)), ",").alias("names"))
+    return sums.join(names, by, "left").withColumn("names", F.coalesce("names", F.lit("")))

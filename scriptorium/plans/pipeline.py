@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import build as B
 from ..operators import registry as R
 from ..sources import archives, sinks
+from ..shared import drop_cuts
 from ..sources.config import StageConfig
 
 
@@ -53,9 +54,12 @@ def build(spark: SparkSession, config: StageConfig, samples: DataFrame, pairs: D
     if shards:
         archives.register(spark)
         shard_path = f"{root}/shards"
-        one = written.repartition("bundle_id").sortWithinPartitions("bundle_id", "sample_id")
+        sized = written.withColumn("_size", F.coalesce(F.octet_length("canonical_target"), F.lit(0)) + 1000)
+        parts = B.shard_buckets(sized, key="bundle_id", spread="sample_id", size="_size", target=config.shard_target_mb << 20)
+        one = parts.repartition("bundle_id", "_bucket").sortWithinPartitions("bundle_id", "_bucket", "sample_id").drop("_bucket", "_size")
         archives.shard_rows(one).write.format("shardtar").option("target_bytes", config.shard_target_mb << 20).mode("append").save(shard_path)
     stats = B.bundle_stats(written)
     sinks.write_cards(sinks.bundle_cards(stats, written.select("bundle_id", "source_id")), f"{root}/cards")
     stats.write.mode("overwrite").json(f"{root}/ledger")
+    drop_cuts(spark)  # everything is written
     return BuildResult(manifest_path, shard_path, spark.read.schema(stats.schema).json(f"{root}/ledger"))

@@ -12,6 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPREAD_PARTITIONS = 64
 _SHIPPED: set[str] = set()
 _CUTS: list[str] = []
 
@@ -42,20 +43,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than cores over all cores, ahead of work that costs more than moving its rows.
+    """A small scan (no shuffle in it) over all cores, ahead of work that costs more than moving its rows.
 
-    Large tables have more partitions than there are cores and stay as they are, without a shuffle.
+    Only scans of at most ``SPREAD_PARTITIONS`` partitions are moved, some gigabytes at the most; larger tables stay as they are, however many cores there are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    parts = df.rdd.getNumPartitions()
+    return df.repartition(cores) if parts < min(cores, SPREAD_PARTITIONS + 1) else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder every executor shares: spark.checkpoint.dir, or one of our own where it is unset and the session is local (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         known = jdir.get() if jdir.isDefined() else None
+    if not known and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not known:
         own = tempfile.mkdtemp(prefix="scriptorium-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -71,12 +75,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     tasks it ran and nothing else.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{label}-{uuid.uuid4().hex}"
-    _CUTS.append(path)
+    path = drop_later(f"{shared_dir(spark)}/cut-{label}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_later(path: str) -> str:
+    """Note a folder of intermediate results for ``drop_cuts``."""
+    _CUTS.append(path)
+    return path
+
+
 def drop_cuts(spark: SparkSession) -> int:
     """Delete the tables that ``cut`` wrote in this process, once their results are written; returns their number."""
     done = 0
@@ -97,5 +106,6 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as out:
         for path in sorted(root.rglob("*.py")):
             out.write(path, f"{root.name}/{path.relative_to(root)}")
+    atexit.register(lambda: os.path.exists(name) and os.remove(name))
     context.addPyFile(name)
     _SHIPPED.add(context.applicationId)

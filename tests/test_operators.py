@@ -29,7 +29,7 @@ def test_components_against_union_find(spark):
         if b is not None and a != b:
             x, y = sorted((find(a), find(b)))
             root[y] = x
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a string, b string"), salts=2).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a string, b string"), hot=2).collect()}
     assert got == {n: find(n) for n in root}
     assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
 

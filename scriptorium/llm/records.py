@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import HOT, met_with_one
 from ..shared import cut, ship_package, spread
 from .form import to_form
 
@@ -137,14 +138,11 @@ def collapse_records(df: DataFrame, text: str = "canonical_target", id_column: s
     return members.groupBy("record").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
 
 
-def record_members(df: DataFrame, text: str = "canonical_target", id_column: str = "sample_id", salts: int = 16) -> DataFrame:
+def record_members(df: DataFrame, text: str = "canonical_target", id_column: str = "sample_id", hot: int = HOT) -> DataFrame:
     """``first_id, id`` for every member but the smallest of each record with two or more ids.
 
-    The members meet their record's smallest id over salted keys: a record with a third of all rows is
-    spread over ``salts`` tasks, and only records with copies are repeated once per salt.
+    The members meet their record's smallest id: a record with more than ``hot`` copies over as many tasks as it takes.
     """
     members = cut(record_tuples(df, text, id_column).distinct(), "records")
     groups = members.groupBy("record").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    spread = groups.select("record", "first_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    return salted.join(spread, ["record", "salt"]).where("id > first_id").select("first_id", "id")
+    return met_with_one(members, groups, ["record"], spread=F.col("id"), count="copies", hot=hot).where("id > first_id").select("first_id", "id")

@@ -81,6 +81,6 @@ def test_groups_against_brute_force(spark):
         if i and record_tuple(t):
             groups[tuple(record_tuple(t))].add(i)
     want = {(min(g), m) for g in groups.values() for m in g if m != min(g)}
-    assert {(r["first_id"], r["id"]) for r in record_members(df, salts=3).collect()} == want
+    assert {(r["first_id"], r["id"]) for r in record_members(df, hot=2).collect()} == want
     assert sorted((r["first_id"], r["copies"]) for r in collapse_records(df).collect()) == sorted((min(g), len(g)) for g in groups.values())
     assert record_members(df.where("false")).count() == 0

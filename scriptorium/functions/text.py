@@ -7,6 +7,7 @@ says they do. All functions give null for null.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -190,21 +191,64 @@ def box_line(label: Column, box: Column) -> Column:
     return F.format_string("- %s: x=%s, y=%s, w=%s, h=%s", label, *[F.get(box, i).cast("string") for i in range(4)])
 
 
+# How a formula's blanks are set, in this order (patterns and what takes their place).
+FORMULA_SPACING = (
+    (r"\.\s*\.\s*\.", r"\\dots"),
+    (r"\s*_\s*\{\s*", "_{"),
+    (r"\s*\^\s*\{\s*", "^{"),
+    (r"\{\s*", "{"),
+    (r"\s*\}", "}"),
+    (r"\(\s*", "("),
+    (r"\s*\)", ")"),
+    (r"\s+,", ","),
+    (r"\s+;", ";"),
+    (r"(?<=\d)\s+(?=[A-Za-z](?![A-Za-z]))", ""),
+)
+
+
 def standalone_formula(c: Column) -> Column:
-    """One formula, whatever its delimiters, as a display block."""
-    bare = strip(c)
-    for pattern in (r"^\$\$|\$\$$", r"^\$|\$$", r"^\\\[|\\\]$", r"^\\\(|\\\)$", r"\\label\{[^{}]*\}"):
-        bare = strip(F.regexp_replace(bare, pattern, ""))
-    bare = F.regexp_replace(F.regexp_replace(bare, r"[ \t]+", " "), r" *\n[\n ]*", "\n")
-    return F.when(bare != "", F.concat(F.lit("$$\n"), bare, F.lit("\n$$"))).when(bare == "", "")
+    """One formula, whatever its delimiters, with its blanks set, as a display block; one that is such a block stays, an empty one is empty."""
+    spaced = normalize_target(c)
+    for pattern, put in FORMULA_SPACING:
+        spaced = F.regexp_replace(spaced, "(?U)" + pattern, put)
+
+    def block(t: Column) -> Column:
+        inline = F.startswith(t, F.lit("$")) & F.endswith(t, F.lit("$"))
+        inner = F.when(inline, strip(F.btrim(t, F.lit("$")))).otherwise(t)
+        return (
+            F.when((t == "") | (F.startswith(t, F.lit("$$")) & F.endswith(t, F.lit("$$"))), t)
+            .when(t.isNotNull(), normalize_target(F.concat(F.lit("$$\n"), inner, F.lit("\n$$"))))
+        )
+
+    return bind(normalize_target(spaced), block)
+
+
+_TAGGED = r"(?s)<s_([^>]+)>(.*?)</s_\1>"
+
+
+def _tagged(c: Column) -> Column:
+    """The tagged values ``<s_name>value</s_name>`` of a text as an array of (name, value); the back-reference closes each tag."""
+    names, values = (F.regexp_extract_all(c, F.lit(_TAGGED), F.lit(i)) for i in (1, 2))
+    return F.arrays_zip(names.alias("name"), values.alias("value"))
 
 
 def chart_block(c: Column) -> Column:
-    """The tagged values of a chart string (``<s_name>a<sep/>b</s_name>``) as a fenced block; the back-reference closes each tag."""
-    tag = r"(?s)<s_(\w+)>(.*?)</s_\1>"
-    names, bodies = F.regexp_extract_all(c, F.lit(tag), F.lit(1)), F.regexp_extract_all(c, F.lit(tag), F.lit(2))
-    rows = F.transform(F.arrays_zip(names.alias("n"), bodies.alias("b")), lambda x: F.concat(x["n"], F.lit(": "), F.array_join(F.transform(F.split(x["b"], "<sep/>"), strip), ", ")))
-    return F.concat(F.lit("```chart\n"), F.array_join(rows, "\n"), F.lit("\n```"))
+    """The tagged values of a chart string as a fenced block, a line each; boxes as their four numbers. Text without tags is only normalised."""
+
+    def box(entry: Column) -> Column:
+        def side(k: str) -> Column:
+            own = F.filter(_tagged(entry), lambda t: t["name"] == k)
+            return F.concat(F.lit(f"{k}="), F.coalesce(normalize_target(F.try_element_at(own, F.lit(-1))["value"]), F.lit("")))
+
+        return F.when(F.size(_tagged(entry)) > 0, F.concat(F.lit("("), F.concat_ws(", ", *map(side, "xywh")), F.lit(")")))
+
+    def line(t: Column) -> Column:
+        boxes = F.array_join(F.array_compact(F.transform(F.filter(F.split(t["value"], "<sep/>"), lambda e: strip(e) != ""), box)), " | ")
+        value = F.when(t["name"] == "bboxes", boxes).otherwise(normalize_target(F.replace(t["value"], F.lit("<sep/>"), F.lit(" | "))))
+        return F.concat(t["name"], F.lit(": "), value)
+
+    fenced = F.concat(F.lit("```chart\n"), F.array_join(F.transform(_tagged(c), line), "\n"), F.lit("\n```"))
+    return F.when(F.size(_tagged(c)) > 0, fenced).otherwise(normalize_target(c))
 
 
 def archive_stem(c: Column) -> Column:
@@ -218,15 +262,33 @@ def local_name(c: Column) -> Column:
 
 
 def parse_hub_uri(c: Column) -> Column:
-    """Repository and prefix of ``hf://a/b/prefix``; null for other schemes and empty paths."""
-    path = F.regexp_extract(c, r"^hf://(.+)$", 1)
-    return F.when(path != "", F.struct(F.substring_index(path, "/", 1).alias("repo"), F.regexp_replace(path, r"^[^/]*/?", "").alias("prefix")))
+    """Repository and prefix of ``hf://repository/prefix``; another scheme and a missing repository raise."""
+    path = F.btrim(F.regexp_replace(c, "^hf://", ""), F.lit("/"))
+    at = F.instr(path, "/")
+    parts = F.struct(F.when(at > 0, F.substring(path, F.lit(1), at - 1)).otherwise(path).alias("repo"), F.when(at > 0, F.substring(path, at + 1, F.length(path))).otherwise("").alias("prefix"))
+    fault = F.when(F.startswith(c, F.lit("hf://")), F.lit("no repository in the address: ")).otherwise(F.lit("unknown kind of address: "))
+    good = F.startswith(c, F.lit("hf://")) & (path != "")
+    return F.when(good, parts).when(c.isNotNull(), F.raise_error(F.concat(fault, c)).cast("struct<repo:string,prefix:string>"))
+
+
+# The years of handwritten formulas that are test material.
+TEST_YEARS = ("/2014", "2014-", "/2016", "2016-", "/2019", "2019-", "/2023", "2023-")
+
+
+def split_of_path(c: Column, source: str | None = None) -> Column:
+    """The split a file's path tells, train where it tells none. ``dev`` means validation as well; of ``crohme`` the test years are told by their folders or names."""
+    low = F.lower(c)
+    held = low.rlike(r"validation|/val|val\.parquet$|(^|[^a-z])(dev|val|valid)([^a-z]|$)")
+    test = F.contains(low, F.lit("test"))
+    if source == "crohme":
+        test = reduce(lambda a, b: a | b, (F.contains(low, F.lit(y)) for y in TEST_YEARS), test)
+    return F.when(held, "validation").when(test, "test").when(c.isNotNull(), "train")
 
 
-def split_of_path(c: Column) -> Column:
-    """The split a file's path tells: validation, test, train or unknown."""
+def split_of_member(c: Column) -> Column:
+    """The split that a folder of an archive member tells, train where none does."""
     low = F.lower(c)
-    return F.when(low.rlike(r"valid|(^|[^a-z])(dev|val)([^a-z]|$)"), "validation").when(F.contains(low, F.lit("test")), "test").when(F.contains(low, F.lit("train")), "train").otherwise("unknown")
+    return F.when(low.rlike("/(validation|val)/"), "validation").when(F.contains(low, F.lit("/test/")), "test").when(c.isNotNull(), "train")
 
 
 def shell_quote(c: Column) -> Column:
@@ -234,11 +296,28 @@ def shell_quote(c: Column) -> Column:
 
 
 def corrupt_block(c: Column) -> Column:
-    """A text with its first breakable structure broken, and what was broken: table, display math, order of paragraphs or nothing."""
-    paragraphs = F.split(c, r"\n\n")
-    return (
-        F.when(F.contains(c, F.lit("| ")), F.struct(F.regexp_replace(c, r"\|\s*\n", "\n").alias("text"), F.lit("table_break").alias("kind")))
-        .when(F.contains(c, F.lit("$$")), F.struct(F.replace(c, F.lit("$$"), F.lit("")).alias("text"), F.lit("display_math_break").alias("kind")))
-        .when(F.size(paragraphs) > 1, F.struct(F.array_join(F.reverse(paragraphs), "\n\n").alias("text"), F.lit("reading_order").alias("kind")))
-        .otherwise(F.struct(c.alias("text"), F.lit("none").alias("kind")))
-    )
+    """``text, target, kind``: the first structure of a text that can be damaged, damaged and whole, and what was done to it.
+
+    In this order: the first six table rows lose their bars, the first display formula its backslashes and a dollar at either end, the first
+    three lines their order, a lone line its marks; a blank text stays.
+    """
+    some = F.filter(lines(c), lambda x: strip(x) != "")
+    math = F.regexp_extract(c, r"(?s)\$\$(.+?)\$\$", 1)
+
+    def kinds(rows: Column) -> Column:
+        table = F.slice(F.filter(rows, lambda x: F.startswith(strip(x), F.lit("|")) & F.endswith(strip(x), F.lit("|"))), 1, 6)
+        first = F.slice(rows, 1, 3)
+        formula = F.concat(F.lit("$$"), strip(math), F.lit("$$"))
+
+        def made(text: Column, target: Column, kind: str) -> Column:
+            return F.struct(text.alias("text"), target.alias("target"), F.lit(kind).alias("kind"))
+
+        return (
+            F.when(F.size(rows) == 0, made(c, c, "identity"))
+            .when(F.size(table) > 0, made(F.replace(F.array_join(table, "\n"), F.lit("|"), F.lit(" ")), F.array_join(table, "\n"), "table_delimiter_drop"))
+            .when(math != "", made(F.replace(F.replace(formula, F.lit("\\"), F.lit("")), F.lit("$$"), F.lit("$")), formula, "display_math_break"))
+            .when(F.size(rows) >= 2, made(F.array_join(F.reverse(first), "\n"), F.array_join(first, "\n"), "reading_order_swap"))
+            .otherwise(made(F.replace(F.regexp_replace(F.get(rows, 0), f"{BLANK}+", " "), F.lit("#"), F.lit("")), F.get(rows, 0), "header_flatten"))
+        )
+
+    return F.when(c.isNotNull(), bind(some, kinds))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup as M
-from ..functions.text import first_filled, normalize_target, standalone_formula
+from ..functions.text import chart_block, first_filled, normalize_target, standalone_formula
 from ..operators.layout import text_lines
 from .tables import sample_rows
 
@@ -58,7 +58,7 @@ FAMILIES: dict[str, Family] = {
     "receipt_tree": _family(lambda r: M.receipt_markdown("ground_truth"), "receipt_markdown", ["receipt"]),
     "form": _family(lambda r: M.form_markdown(_as_json("words", "ner_tags")), "form_markdown", ["form"]),
     "table": _family(lambda r: M.table_markdown(_as_json(*[c for c in ("filename", "cells", "cols") if c in r.columns])), "table_markdown", ["table"]),
-    "chart": _family(lambda r: M.chart_markdown("text"), "chart_markdown", ["chart"]),
+    "chart": _family(lambda r: chart_block(F.col("text")), "chart_markdown", ["chart"]),
     "text_line": _family(lambda r: normalize_target(F.col("text")), "text_line", ["handwriting"]),
     "json": _family(lambda r: M.json_markdown(_as_json(*r.columns)), "json", []),
 }

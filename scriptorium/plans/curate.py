@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -182,41 +181,12 @@ def publish_check(spark: SparkSession, d: str) -> DataFrame:
     return s.agg(F.count(F.lit(1)).alias("rows"), F.sum("target_samples").alias("samples"), F.count_distinct("bundle_id").alias("bundles"))
 
 
-# --- source formats -------------------------------------------------------------
-
-_TEX = r"\documentclass{article}\newcommand{\name}{Graph}\begin{document}\title{Paper %d}\begin{abstract}On $\name$ number %d.\end{abstract}\section{Intro}See \textbf{text} and \[a_{%d}=b\]\begin{table}\caption{C}\begin{tabular}{ll}x & y \\ %d & 2\end{tabular}\end{table}\end{document}"
-_JATS = "<article><front><article-title>Paper %d</article-title></front><body><sec><title>Methods</title><p>Text <inline-formula><tex-math>x_%d</tex-math></inline-formula>.</p><table-wrap><caption><p>C</p></caption><tr><th>a</th><th>b</th></tr><tr><td>%d</td><td>2</td></tr></table-wrap></sec></body></article>"
-_PAGE = "<PcGts><Page><TextRegion><TextLine><TextEquiv><Unicode>line %d</Unicode></TextEquiv></TextLine><TextLine><TextEquiv><Unicode>two</Unicode></TextEquiv></TextLine></TextRegion><TextRegion><TextLine><TextEquiv><Unicode>three</Unicode></TextEquiv></TextLine></TextRegion></Page></PcGts>"
-
-
-def _rendered(column, template: str) -> Callable[[SparkSession, str], DataFrame]:
-    def query(spark: SparkSession, d: str) -> DataFrame:
-        n = template.count("%d")
-        s = table(spark, d, "supplier").select("s_suppkey", F.format_string(template, *[F.col("s_suppkey")] * n).alias("source"))
-        return s.select("s_suppkey", column("source").alias("markdown"))
-
-    return query
-
-
-tex_to_markdown = _rendered(M.tex_markdown, _TEX)
-jats_to_markdown = _rendered(M.jats_markdown, _JATS)
-pagexml_to_markdown = _rendered(M.pagexml_markdown, _PAGE)
-voc_to_markdown = _rendered(M.voc_markdown, "<annotation><object><name>table</name><bndbox><xmin>%d</xmin><ymin>2</ymin><xmax>3</xmax><ymax>4</ymax></bndbox></object></annotation>")
-plotqa_to_markdown = _rendered(M.chart_markdown, "<s_y>%d<sep/>2</s_y><s_x>a<sep/>b</s_x>")
-funsd_to_markdown = _rendered(M.form_markdown, json.dumps({"words": ["Total", "Amount", "%d", "x"], "ner_tags": [3, 4, 6, 0]}))
-cord_to_markdown = _rendered(M.receipt_markdown, '{"gt_parse": {"total": {"price": "%d"}}, "valid_line": [{"group_id": 2, "words": [{"text": "A"}, {"text": "B"}]}, {"group_id": 2, "words": [{"text": "C"}]}, {"group_id": 1, "words": [{"text": "D"}]}]}')
-fintabnet_to_markdown = _rendered(M.table_markdown, '{"filename": "f%d", "cols": 2, "cells": [[{"tokens": ["M"]}, {"tokens": ["V"]}, {"tokens": ["A", "c"]}, {"tokens": ["9", "9"]}]]}')
-
-
-def json_fields(spark: SparkSession, d: str) -> DataFrame:
-    """Nested event properties as field lists."""
-    e = table(spark, d, "events").where("props is not null")
-    return e.select("event_id", M.fields_markdown("props").alias("markdown"))
+# --- formats -------------------------------------------------------------
 
 
 def page_projection(spark: SparkSession, d: str) -> DataFrame:
     """Documents cut at two pages of their own letters, by how many characters each page got."""
-    s = table(spark, d, "documents").where("text is not null and length(text) > 400").select("doc_id", "text")
+    s = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
     half = F.floor(F.length("text") / 2).cast("int")
     pages = F.array(F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text")))
     p = s.select("doc_id", M.projected_pages("text", pages).alias("p"))
@@ -268,12 +238,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         registry_audit, registry_audit_summary, registry_plan_order, bundle_source_fallback, registry_summary, protocol_membership, exact_dedup, text_dedup, near_dedup, formula_and_table_dedup, identity_dedup,
-        leakage_screen, quality_gates, bundle_acceptance, split_disjoint, holdout_exclusion, mixture_sample, anchor_draws, slice_rollup, publish_check, json_fields, page_projection, shard_roundtrip, multilingual_quota, file_split_inference, markdown_tables,
+        leakage_screen, quality_gates, bundle_acceptance, split_disjoint, holdout_exclusion, mixture_sample, anchor_draws, slice_rollup, publish_check, page_projection, shard_roundtrip, multilingual_quota, file_split_inference, markdown_tables,
     )
-} | {
-    "tex_to_markdown": tex_to_markdown, "jats_to_markdown": jats_to_markdown, "pagexml_to_markdown": pagexml_to_markdown, "voc_to_markdown": voc_to_markdown, "plotqa_to_markdown": plotqa_to_markdown,
-    "funsd_to_markdown": funsd_to_markdown, "cord_to_markdown": cord_to_markdown, "fintabnet_to_markdown": fintabnet_to_markdown,
-}
+}
 
 _REG = f"""sources AS (SELECT source_id, arg_max(data_class, registered_at) AS data_class, arg_max(ingestion_priority, registered_at) AS ingestion_priority,
   (SELECT license_or_access_status FROM source_registry r WHERE r.source_id = s.source_id ORDER BY registered_at DESC LIMIT 1) AS lic FROM source_registry s GROUP BY source_id),

@@ -142,6 +142,10 @@ _SCORE = """(CASE WHEN length(canonical_target) >= 256 THEN 3 ELSE 0 END + CASE
  + CASE WHEN list_has_any(slice_tags, ['formula','table','multilingual','dense_formula','merged_cells']) THEN 1 ELSE 0 END + CASE WHEN page_id IS NOT NULL THEN 1 ELSE 0 END)"""
 
 SQL: dict[str, str] = {
+    "shard_assignment": f"""WITH RECURSIVE r AS (SELECT *, coalesce(target_char_count, 0) + 200 AS size, row_number() OVER (PARTITION BY bundle_id ORDER BY sample_id) AS k FROM (SELECT DISTINCT sample_id, bundle_id, target_char_count, target_type FROM canonical_samples WHERE sample_id IS NOT NULL AND bundle_id IS NOT NULL)),
+ f AS (SELECT bundle_id, k, sample_id, target_type, size, 0 AS shard, size AS filled FROM r WHERE k = 1
+  UNION ALL SELECT r.bundle_id, r.k, r.sample_id, r.target_type, r.size, f.shard + CASE WHEN f.filled > 0 AND f.filled + r.size > {SHARD_CHARS} THEN 1 ELSE 0 END, CASE WHEN f.filled + r.size > {SHARD_CHARS} THEN r.size ELSE f.filled + r.size END FROM f JOIN r ON r.bundle_id = f.bundle_id AND r.k = f.k + 1)
+ SELECT bundle_id, shard, count(*) AS members, CAST(sum(size) AS BIGINT) AS size, min(sample_id) AS first_sample, count(*) FILTER (contains(target_type, 'markdown')) AS markdown_members FROM f GROUP BY 1, 2""",
     "manifest_record": f"""SELECT doc_id, sha256(text) AS canonical_target_hash, length(text) AS target_char_count, contains(text, '$$') AS has_display_math,
  len(string_split(regexp_replace(text, '\\$\\$+', '#', 'g'), '$')) - 1 >= 2 AS has_inline_math,
  len(list_filter(string_split_regex(text, '{_LE}'), lambda x: regexp_matches(x, '^{_B}*\\|(.*\\|)?{_B}*$', 's'))) > 0 AS has_gfm_table, contains(text, '```table') AS has_table_block,

@@ -263,7 +263,12 @@ _GATES = """CASE WHEN NOT (length(trim(t)) > 0) THEN 'gate_not_empty' END, CASE
 _QG = f"""q AS (SELECT doc_id, source, data_class, list_filter([{_GATES}], lambda x: x IS NOT NULL) AS r FROM (SELECT *, coalesce(text, '') AS t FROM documents))"""
 _GRAMS = "{0} AS (SELECT DISTINCT {1}, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS g FROM (SELECT {1}, list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), lambda x: x <> '') AS w FROM {2}) WHERE len(w) >= 8)"
 _ONE = "SELECT sample_id, min(data_class) AS data_class FROM canonical_samples WHERE sample_id IS NOT NULL GROUP BY 1"
+_LATEX = f"regexp_replace(replace(regexp_replace(regexp_replace(canonical_target, '^{_B}+|{_B}+$', '', 'g'), '{_B}+', ' ', 'g'), chr(92) || ',', ' '), '^{_B}+|{_B}+$', '', 'g')"
+_BARS = "list_filter(string_split(canonical_target, chr(10)), lambda x: starts_with(trim(x), '|'))"
 SQL: dict[str, str] = {
+    "text_dedup": "SELECT min(doc_id) AS first_id, count(*) AS copies FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[^\\pL\\pM\\pN]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL) WHERE t <> '' GROUP BY t HAVING count(*) > 1",
+    "formula_and_table_dedup": f"""SELECT key, count(*) AS n, min(sample_id) AS first_sample FROM (SELECT sample_id, CASE WHEN target_type = 'latex_formula' THEN 'formula:' || sha256({_LATEX}) WHEN target_type = 'table_markdown' AND len({_BARS}) > 0 THEN 'table:' || sha256(array_to_string(list_transform({_BARS}, lambda x: length(x) - length(replace(x, '|', ''))), ',')) END AS key
+ FROM (SELECT DISTINCT sample_id, target_type, canonical_target FROM canonical_samples)) WHERE key IS NOT NULL GROUP BY 1""",
     "registry_audit": f"WITH {_REG} SELECT * FROM findings",
     "registry_audit_summary": f"WITH {_REG} SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') = 0 AS ok FROM findings",
     "registry_plan_order": f"""WITH {_REG}, chosen AS (SELECT * FROM sources JOIN status USING (source_id) WHERE data_class <> 'weak_aux' AND current_status = 'approved'),

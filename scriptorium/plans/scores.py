@@ -178,6 +178,11 @@ _LONG = """c AS (SELECT event_id, event_type, value, length(props) AS tok, CASE
 _V = "v AS (SELECT p_partkey AS variant_id, round(p_retailprice, 2) AS overall_score, p_size::DOUBLE AS latency_ms, (p_partkey % 50 + 1)::DOUBLE AS peak_memory_gb FROM part)"
 _STEM = r"regexp_replace(regexp_replace({}, '^.*/', ''), '(?i)(\.gt|\.page)?\.(xml|txt|json|png|jpe?g|tiff?|bmp|gz)$', '')"
 SQL: dict[str, str] = {
+    "ocr_lines": """WITH RECURSIVE w AS (SELECT l_orderkey, CAST(l_linenumber * 37 % 100 AS DOUBLE) AS x, l_quantity * 4 AS y0, l_quantity * 4 + 12 AS y1, l_returnflag || l_linenumber AS t FROM lineitem),
+ h AS (SELECT l_orderkey, greatest(10.0, 0.8 * median(y1 - y0)) AS least FROM w GROUP BY 1), o AS (SELECT w.*, (y0 + y1) / 2 AS y, least, row_number() OVER (PARTITION BY l_orderkey ORDER BY (y0 + y1) / 2, x, t) AS k FROM w JOIN h USING (l_orderkey)),
+ f AS (SELECT l_orderkey, k, x, t, y AS cy, 1 AS line FROM o WHERE k = 1
+  UNION ALL SELECT o.l_orderkey, o.k, o.x, o.t, CASE WHEN abs(o.y - f.cy) > least THEN o.y ELSE (f.cy + o.y) / 2 END, f.line + CASE WHEN abs(o.y - f.cy) > least THEN 1 ELSE 0 END FROM f JOIN o ON o.l_orderkey = f.l_orderkey AND o.k = f.k + 1)
+ SELECT l_orderkey, string_agg(l, chr(10) ORDER BY line) AS page FROM (SELECT l_orderkey, line, string_agg(t, ' ' ORDER BY x, t) AS l FROM f GROUP BY 1, 2) GROUP BY 1""",
     "metric_aggregate": f"WITH {_LONG} SELECT event_type, metric, round(value, 6) AS value FROM agg",
     "latency_card": "SELECT event_type, round(avg(value), 6) AS p50, round(max(value), 6) AS p95, count(*)::DOUBLE AS sample_count FROM events GROUP BY 1",
     "scorecard_pivot": f"""WITH {_LONG}, w AS (SELECT event_type, max(value) FILTER (metric = 'normalized_edit_similarity') AS sim, max(value) FILTER (metric = 'table_teds') AS teds, max(value) FILTER (metric = 'p50_latency_ms_per_page') AS p50 FROM agg GROUP BY 1)

@@ -99,8 +99,9 @@ def formula_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corrupt_blocks(spark: SparkSession, d: str) -> DataFrame:
-    rows = _docs(spark, d).where("text is not null").select("doc_id", T.corrupt_block(F.col("text")).alias("c"), F.length("text").alias("n"))
-    return rows.groupBy("c.kind").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("n") - F.length("c.text")).alias("chars_lost"))
+    """The block of every document that was damaged, whole and damaged."""
+    rows = _docs(spark, d).where("text is not null").select("doc_id", T.corrupt_block(F.col("text")).alias("c"))
+    return rows.select("doc_id", "c.kind", F.sha2("c.target", 256).alias("target_hash"), F.sha2("c.text", 256).alias("damaged_hash"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -168,7 +169,47 @@ _SCORE = " + ".join(f"{w} * least(1.0, greatest(0.0, {s}))" for s, w in P.WEIGHT
 _REASONS = ", ".join(f"CASE WHEN {s} >= {t} THEN '{r}' END" for s, t, r, _ in P.HARD_REASONS)
 _HINTS = ", ".join(f"CASE WHEN {s} >= {t} THEN '{h}' END" for s, t, _, h in P.HARD_REASONS if h)
 
+_UNIX = "replace(replace({0}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+
+
+def _target_sql(name: str, source: str, key: str, text: str) -> str:
+    """Common tables that give ``name`` (key, t): the canonical target text of ``text``, line by line."""
+    return f"""{name}_l AS (SELECT {key}, i, line, {_strip('line')} AS s FROM (SELECT {key}, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT {key}, string_split({_UNIX.format(text)}, chr(10)) AS l FROM {source} WHERE {text} IS NOT NULL))),
+ {name}_f AS (SELECT *, coalesce(sum(CASE WHEN starts_with(s, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS fenced FROM {name}_l),
+ {name}_r AS (SELECT *, s = '' AND NOT fenced AS blank, CASE WHEN starts_with(s, '```') THEN s WHEN fenced THEN {_rstrip('line')} WHEN s = '' THEN '' ELSE replace(regexp_extract({_rstrip('line')}, '^{_B}*'), chr(9), '  ') || regexp_replace(s, '[ \t]+', ' ', 'g') END AS r FROM {name}_f),
+ {name}_k AS (SELECT *, coalesce(lag(r) OVER (PARTITION BY {key} ORDER BY i), '') = '' AS after_blank FROM {name}_r),
+ {name} AS (SELECT {key}, regexp_replace(coalesce(string_agg(r, chr(10) ORDER BY i) FILTER (NOT (blank AND after_blank)), ''), '^\n+|\n+$', '', 'g') AS t FROM {name}_k GROUP BY {key})"""
+
+
+def _spaced_sql(c: str) -> str:
+    for pattern, put in T.FORMULA_SPACING[:-1]:
+        c = f"regexp_replace({c}, '{pattern.replace(chr(92) + 's', _B)}', '{put}', 'g')"
+    for _ in "12":  # a letter that ends one match may begin the next
+        c = f"regexp_replace({c}, '(\\pN){_B}+([A-Za-z])([^A-Za-z]|$)', '\\1\\2\\3', 'g')"
+    return c
+
+
+_SOME = f"(SELECT doc_id, text, list_filter(string_split_regex(text, '{_LE}'), lambda x: {_strip('x')} <> '') AS r FROM documents WHERE text IS NOT NULL)"
+_DAMAGED = f"""b AS (SELECT *, list_filter(r, lambda x: starts_with({_strip('x')}, '|') AND ends_with({_strip('x')}, '|'))[1:6] AS tab, regexp_extract(text, '(?s)\\$\\$(.+?)\\$\\$', 1) AS math FROM {_SOME}),
+ k AS (SELECT *, '$$' || {_strip('math')} || '$$' AS f, CASE WHEN len(r) = 0 THEN 'identity' WHEN len(tab) > 0 THEN 'table_delimiter_drop' WHEN math <> '' THEN 'display_math_break' WHEN len(r) >= 2 THEN 'reading_order_swap' ELSE 'header_flatten' END AS kind FROM b)"""
+
 SQL: dict[str, str] = {
+    "normalize_target_text": f"WITH {_target_sql('n', 'documents', 'doc_id', 'text')} SELECT doc_id, sha256(t) AS normal_hash, length(t) AS normal_chars FROM documents LEFT JOIN n USING (doc_id)",
+    "formula_blocks": f"""WITH s AS (SELECT DISTINCT sample_id, canonical_target FROM canonical_samples WHERE target_type = 'latex_formula'), {_target_sql('n', 's', 'sample_id', 'canonical_target')}, p AS (SELECT sample_id, {_spaced_sql('t')} AS x FROM n), {_target_sql('m', 'p', 'sample_id', 'x')},
+ w AS (SELECT sample_id, t, chr(36) || chr(36) || chr(10) || CASE WHEN starts_with(t, '$') AND ends_with(t, '$') THEN {_strip("trim(t, '$')")} ELSE t END || chr(10) || chr(36) || chr(36) AS y FROM m), {_target_sql('o', 'w', 'sample_id', 'y')}
+ SELECT sample_id, sha256(CASE WHEN w.t = '' OR starts_with(w.t, '$$') AND ends_with(w.t, '$$') THEN w.t ELSE o.t END) AS block_hash FROM s LEFT JOIN w USING (sample_id) LEFT JOIN o USING (sample_id)""",
+    "corrupt_blocks": f"""WITH {_DAMAGED} SELECT doc_id, kind,
+  sha256(CASE kind WHEN 'identity' THEN text WHEN 'table_delimiter_drop' THEN array_to_string(tab, chr(10)) WHEN 'display_math_break' THEN f WHEN 'reading_order_swap' THEN array_to_string(r[1:3], chr(10)) ELSE r[1] END) AS target_hash,
+  sha256(CASE kind WHEN 'identity' THEN text WHEN 'table_delimiter_drop' THEN replace(array_to_string(tab, chr(10)), '|', ' ') WHEN 'display_math_break' THEN replace(replace(f, chr(92), ''), '$$', '$') WHEN 'reading_order_swap' THEN array_to_string(list_reverse(r[1:3]), chr(10)) ELSE replace(regexp_replace(r[1], '{_B}+', ' ', 'g'), '#', '') END) AS damaged_hash FROM k""",
+    "assemble_document": f"""WITH p AS (SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT sample_id, regexp_replace(page_id, ':[^:]*$', '') AS doc, CAST(regexp_extract(page_id, '([^:]*)$', 1) AS INT) AS page, canonical_target AS t FROM canonical_samples WHERE page_id IS NOT NULL AND canonical_target IS NOT NULL)),
+ l AS (SELECT id, doc, page, sample_id, i, line, {_strip('line')} AS s FROM (SELECT *, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT *, CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END AS ls FROM (SELECT *, string_split_regex(t, '{_LE}') AS ls FROM p)))),
+ e AS (SELECT id, any_value(doc) AS doc, arg_min(s, i) AS head, arg_max(s, i) AS foot FROM l WHERE s <> '' GROUP BY id),
+ heads AS (SELECT doc, head FROM e GROUP BY 1, 2 HAVING count(*) >= 2), feet AS (SELECT doc, foot FROM e GROUP BY 1, 2 HAVING count(*) >= 2),
+ h AS (SELECT l.* FROM l LEFT JOIN (SELECT l.id, min(i) AS gone FROM l JOIN e USING (id) JOIN heads ON heads.doc = e.doc AND heads.head = e.head WHERE s = e.head GROUP BY 1) g ON l.id = g.id WHERE g.gone IS NULL OR l.i <> g.gone),
+ last AS (SELECT id, any_value(doc) AS doc, arg_max(s, i) AS foot, max(i) AS gone FROM h WHERE s <> '' GROUP BY id),
+ f AS (SELECT h.* FROM h LEFT JOIN (SELECT id, gone FROM last JOIN feet USING (doc, foot)) g ON h.id = g.id WHERE g.gone IS NULL OR h.i <> g.gone),
+ t AS (SELECT id, any_value(doc) AS doc, any_value(page) AS page, any_value(sample_id) AS sample_id, {_strip('string_agg(line, chr(10) ORDER BY i)')} AS t FROM f GROUP BY id)
+ SELECT doc, sha256(coalesce(x, '')) AS text_hash, length(coalesce(x, '')) AS chars FROM (SELECT DISTINCT doc FROM p) LEFT JOIN (SELECT doc, string_agg(t, chr(10) || chr(10) || '<!-- page-break -->' || chr(10) || chr(10) ORDER BY page, sample_id) AS x FROM t WHERE t <> '' GROUP BY doc) USING (doc)""",
     "normalize_markdown": _MD,
     "latex_exact_match": f"""SELECT doc_id, CASE WHEN na = nb THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS match, length(na) AS latex_chars FROM (SELECT doc_id, {_strip(f"replace(regexp_replace({_strip('f[1]')}, '{_B}+', ' ', 'g'), '\\,', ' ')")} AS na, {_strip(f"replace(regexp_replace({_strip('f[2]')}, '{_B}+', ' ', 'g'), '\\,', ' ')")} AS nb
  FROM (SELECT doc_id, regexp_extract_all(text, '\\$\\$([^$]+)\\$\\$', 1) AS f FROM documents))""",

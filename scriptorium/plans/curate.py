@@ -12,7 +12,7 @@ from ..functions.text import split_pipe, strip
 from ..operators import curation as C
 from ..operators import registry as R
 from ..operators.neardup import near_duplicate_classes
-from ..shared import shared_dir, spread, table
+from ..shared import drop_later, shared_dir, spread, table
 
 _B = r"[\s\x0b\x1c-\x1f\x85\pZ]"
 _SID = "lower(regexp_replace({}, '^" + _B + "+|" + _B + "+$', '', 'g'))"
@@ -201,7 +201,7 @@ def shard_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
     register(spark)
     s = table(spark, d, "canonical_samples").where("canonical_target is not null").select("sample_id", "canonical_target", "target_type", "bundle_id").dropDuplicates(["sample_id"])
-    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    path = drop_later(f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
     shard_rows(s).write.format("shardtar").option("target_bytes", 4_000_000).mode("append").save(path)
     back = spark.read.format("shardtar").load(path)
     return back.select("sample_id", F.sha2("target", 256).alias("target_hash"), F.get_json_object("sample_json", "$.bundle_id").alias("bundle_id"))

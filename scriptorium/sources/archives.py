@@ -1,8 +1,7 @@
 """Archives: members of tar and zip files as rows, and the tar shard format as a data source of its own.
 
 An archive is the unit of parallel reading (its members cannot be split), so many archives read in parallel, each streamed
-member by member. Archive files are read as binary rows; those larger than a task's memory belong in the shard format, which opens
-files itself and holds one member at a time.
+member by member: a task opens its archives itself, on any file system, and holds a bounded batch of members, whatever the size of the archive.
 """
 
 from __future__ import annotations
@@ -12,8 +11,10 @@ import json
 import tarfile
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -21,42 +22,94 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from ..shared import ship_package
 
 MEMBERS = "archive string, pos int, member string, content binary"
+BATCH_BYTES = 16 << 20
+_BROKEN = (tarfile.TarError, zipfile.BadZipFile, EOFError, OSError, pa.ArrowInvalid)
+_TAR_NAMES = (".tar", ".tgz", ".tar.gz", ".tar.bz2", ".tbz")
 
 
-def members_of(name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or address, and the path on it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return (fs.FileSystem.from_uri(path)) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def members_of(name: str, source: BinaryIO) -> Iterator[tuple[str, bytes]]:
     """The plain files of an archive, in order; a gzip file that is no tar is one file; a broken archive gives what can be read."""
     try:
-        if zipfile.is_zipfile(io.BytesIO(content)):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
+        head = source.read(2)
+        source.seek(0)
+        if head == b"PK":
+            with zipfile.ZipFile(source) as z:
                 for i in z.infolist():
                     if not i.is_dir():
                         yield i.filename, z.read(i)
             return
-        with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
+        with tarfile.open(fileobj=source, mode="r:*") as t:
             for m in t:
                 if m.isfile() and not m.name.startswith("/") and ".." not in m.name.split("/"):
                     yield m.name, t.extractfile(m).read()
-    except (tarfile.TarError, zipfile.BadZipFile, EOFError, OSError):
-        if content[:2] == b"\x1f\x8b":
+                t.members = []  # headers of a long archive do not pile up
+    except _BROKEN:
+        source.seek(0)
+        if source.read(2) == b"\x1f\x8b":
             import gzip
 
+            source.seek(0)
             try:
-                yield name.rpartition("/")[2].removesuffix(".gz"), gzip.decompress(content)
+                yield name.rpartition("/")[2].removesuffix(".gz"), gzip.decompress(source.read())
             except (EOFError, OSError):
                 return
 
 
+def archive_paths(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` of the files under a path, without their content, an archive to a task."""
+    names = spark.read.format("binaryFile").load(path).select("path")
+    return names.repartition(max(1, min(10_000, names.count())))
+
+
 def read_members(spark: SparkSession, path: str) -> DataFrame:
     """One row per member of all archives under a path."""
     ship_package(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for pos, (member, data) in enumerate(members_of(name, content)):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([pos], pa.int32()), pa.array([member]), pa.array([data], pa.binary())], names=["archive", "pos", "member", "content"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, MEMBERS)
+            for name in b.column(0).to_pylist():
+                system, at = file_system(name)
+                held: list[tuple] = []
+                size = 0
+                with system.open_input_file(at) as source:
+                    for pos, (member, data) in enumerate(members_of(name, source)):
+                        held.append((name, pos, member, data))
+                        size += len(data)
+                        if size > BATCH_BYTES:
+                            yield _batch(held)
+                            held, size = [], 0
+                if held:
+                    yield _batch(held)
+
+    return archive_paths(spark, path).mapInArrow(run, MEMBERS)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["archive", "pos", "member", "content"])
+
+
+def _opens(name: str) -> bool:
+    system, at = file_system(name)
+    if not system.get_file_info(at).size:
+        return False
+    with system.open_input_file(at) as source:
+        try:
+            if name.endswith(".zip"):
+                zipfile.ZipFile(source).close()
+            elif name.endswith(_TAR_NAMES):
+                with tarfile.open(fileobj=source, mode="r:*") as t:
+                    return all(True for _ in t)
+        except _BROKEN:
+            return False
+    return True
 
 
 def valid_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -64,24 +117,17 @@ def valid_archives(spark: SparkSession, path: str) -> DataFrame:
     ship_package(spark)
 
     @F.arrow_udf("boolean")
-    def opens(names: pa.Array, contents: pa.Array) -> pa.Array:
-        out = []
-        for n, c in zip(names.to_pylist(), contents.to_pylist(), strict=True):
-            if not c:
-                out.append(False)
-            elif n.endswith(".zip"):
-                out.append(zipfile.is_zipfile(io.BytesIO(c)))
-            elif n.endswith((".tar", ".tgz", ".tar.gz", ".tar.bz2", ".tbz")):
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(c), mode="r:*") as t:
-                        out.append(all(True for _ in t))
-                except (tarfile.TarError, EOFError, OSError):
-                    out.append(False)
-            else:
-                out.append(True)
-        return pa.array(out, pa.bool_())
+    def opens(names: pa.Array) -> pa.Array:
+        return pa.array(map(_opens, names.to_pylist()), pa.bool_())
 
-    return spark.read.format("binaryFile").load(path).select("path", opens("path", "content").alias("valid"))
+    return archive_paths(spark, path).select("path", opens("path").alias("valid"))
+
+
+def _json(text: str) -> object:
+    try:
+        return json.loads(text)
+    except ValueError:
+        return None
 
 
 def manifest_pairs(members: DataFrame) -> DataFrame:
@@ -91,10 +137,8 @@ def manifest_pairs(members: DataFrame) -> DataFrame:
     def records(member: str, content: bytes) -> list[dict]:
         text = content.decode("utf-8", "replace")
         if member.endswith(".jsonl"):
-            return [json.loads(x) for x in text.splitlines() if x.strip()]
-        if member.endswith(".json"):
-            got = json.loads(text)
-            return [x for x in got if isinstance(x, dict)] if isinstance(got, list) else [got]
+            return [r for x in text.splitlines() if x.strip() and isinstance(r := _json(x), dict)]
+        # any other manifest, a .json one as well, is read as a table of named columns
         return list(csv.DictReader(io.StringIO(text), delimiter="\t" if member.endswith(".tsv") else ","))
 
     def first(r: dict, *keys: str) -> str | None:
@@ -148,9 +192,8 @@ class ShardReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        from pathlib import Path
-
-        found = sorted(str(p) for p in Path(self.path.removeprefix("file://")).rglob("*.tar"))
+        system, at = file_system(self.path)
+        found = sorted(i.path for i in system.get_file_info(fs.FileSelector(at, allow_not_found=True, recursive=True)) if i.path.endswith(".tar") and i.type == fs.FileType.File)
         if not found:
             raise FileNotFoundError(f"no shards under {self.path}")
         return [_Shard(p) for p in found]
@@ -158,7 +201,8 @@ class ShardReader(DataSourceReader):
     def read(self, partition: _Shard) -> Iterator[tuple]:
         current: list | None = None
         pos = 0
-        with tarfile.open(partition.path, "r") as t:
+        system, _ = file_system(self.path)
+        with system.open_input_stream(partition.path) as source, tarfile.open(fileobj=source, mode="r|") as t:
             for m in t:
                 if not m.isfile():
                     continue
@@ -186,15 +230,15 @@ class ShardWriter(DataSourceWriter):
     """Tar shards of about ``target`` bytes. Tasks write hidden files; the commit names them in order, an abort removes them."""
 
     def __init__(self, path: str, target: int, columns: list[str]) -> None:
-        self.path, self.target, self.columns = path.removeprefix("file://"), target, columns
+        self.path, self.target, self.columns = path, target, columns
 
     def write(self, rows: Iterator) -> _Written:
-        import os
         import uuid
 
-        os.makedirs(self.path, exist_ok=True)
+        system, at = file_system(self.path)
+        system.create_dir(at, recursive=True)
         files: list[tuple[str, str]] = []
-        out, filled, count, first = None, 0, 0, ""
+        out, stream, filled, count, first = None, None, 0, 0, ""
 
         def put(name: str, data: bytes) -> None:
             info = tarfile.TarInfo(name)
@@ -207,10 +251,12 @@ class ShardWriter(DataSourceWriter):
             size = len(meta) + len(target) + sum(len(a["payload"] or b"") for a in r["assets"] or [])
             if out is not None and filled + size > self.target:
                 out.close()
+                stream.close()
                 out = None
             if out is None:
-                hidden = f"{self.path}/.part-{uuid.uuid4().hex}"
-                out, filled = tarfile.open(hidden, "w"), 0
+                hidden = f"{at}/.part-{uuid.uuid4().hex}"
+                stream = system.open_output_stream(hidden)
+                out, filled = tarfile.open(fileobj=stream, mode="w|"), 0
                 first = r["sample_id"]
                 files.append((first, hidden))
             kind = "md" if "markdown" in (r.get("target_type") or "") else "txt"
@@ -222,34 +268,31 @@ class ShardWriter(DataSourceWriter):
             count += 1
         if out is not None:
             out.close()
+            stream.close()
         return _Written(files, count)
 
-    @staticmethod
-    def _guarded(rows: Iterator, files: list[tuple[str, str]]) -> Iterator:
+    def _guarded(self, rows: Iterator, files: list[tuple[str, str]]) -> Iterator:
         """The rows; a task that fails while it gets them leaves no hidden files behind."""
-        import os
-
         try:
             yield from rows
         except BaseException:
-            for _, hidden in files:
-                if os.path.exists(hidden):
-                    os.remove(hidden)
+            self._remove(files)
             raise
 
-    def commit(self, messages: list[_Written]) -> None:
-        import os
+    def _remove(self, files: list[tuple[str, str]]) -> None:
+        system, _ = file_system(self.path)
+        for _, hidden in files:
+            if system.get_file_info(hidden).type == fs.FileType.File:
+                system.delete_file(hidden)
 
+    def commit(self, messages: list[_Written]) -> None:
+        system, at = file_system(self.path)
         for k, (_, hidden) in enumerate(sorted(f for m in messages if m for f in m.files)):
-            os.replace(hidden, f"{self.path}/shard-{k:06d}.tar")
+            system.move(hidden, f"{at}/shard-{k:06d}.tar")
 
     def abort(self, messages: list[_Written]) -> None:
-        import os
-
         for m in messages:
-            for _, hidden in m.files if m else []:
-                if os.path.exists(hidden):
-                    os.remove(hidden)
+            self._remove(m.files if m else [])
 
 
 class ShardSource(DataSource):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from .shared import local_session, table
 from .sources.config import StageConfig
 
-MODULES = ("build", "texts", "scores", "curate", "formats", "sources", "integrity")
+MODULES = ("build", "texts", "scores", "curate", "formats", "sources", "control", "integrity")
 
 
 def queries() -> dict:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, unescaped_dollars
+from ..functions.text import bind, strip, unescaped_dollars
 
 
 def first_by_key(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
@@ -74,6 +74,60 @@ def quality_gates(c: Column) -> dict[str, Column]:
     }
 
 
+def leakage_checks(rows: DataFrame, held: DataFrame, *, id_column: str, family: str, text: str, words: int = 8, share: float = 0.8) -> DataFrame:
+    """``id, checks, action`` for every row: which of five checks against held-out rows it fails, and what follows.
+
+    ``identifier``: its family is a held-out one; ``title``: its heading is; ``target``: its words are; ``near_target``: at least ``share`` of its runs of
+    ``words`` words stand in held-out texts; ``family``: another row of its family failed one of the three before. Held-out sides are distinct values and
+    hashes, met by equality. The strongest check decides: identifiers and targets exclude, titles and near targets are held for review, families are demoted.
+    """
+    heading = F.substring_index(F.ltrim(F.col(text)), "\n", 1)
+    title = F.when(F.startswith(heading, F.lit("#")), word_key(heading))
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.select(F.col(id_column).alias("id"), F.col(family).alias("fam"), F.xxhash64(title).alias("t"), title.isNotNull().alias("has_t"), F.xxhash64(word_key(F.col(text))).alias("k"), word_key(F.col(text)).isNotNull().alias("has_k"), shingles(F.col(text), words).alias("sh"))
+
+    own, other = keyed(rows), keyed(held)
+    seen = F.lit(True)
+    known = {
+        "identifier": (other.where("fam is not null").select("fam").distinct(), "fam", F.lit(True)),
+        "title": (other.where("has_t").select("t").distinct(), "t", F.col("has_t")),
+        "target": (other.where("has_k").select("k").distinct(), "k", F.col("has_k")),
+    }
+    made = own
+    for name, (values, key, there) in known.items():
+        made = made.join(values.withColumn(f"_{name}", seen), key, "left").withColumn(name, F.coalesce(f"_{name}", F.lit(False)) & there).drop(f"_{name}")
+    runs = other.select(F.explode("sh").alias("s")).distinct()
+    met = own.select("id", F.explode("sh").alias("s")).distinct().join(runs, "s", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("met"))
+    made = made.join(met, "id", "left").withColumn("near_target", F.coalesce(F.col("met") >= F.size("sh") * F.lit(share), F.lit(False)) & F.col("sh").isNotNull())
+    failed = made.where("fam is not null").groupBy("fam").agg(F.count_if(F.col("title") | F.col("target") | F.col("near_target")).alias("failed"))
+    made = made.join(failed, "fam", "left").withColumn("family", F.coalesce(F.col("failed") - F.when(F.col("title") | F.col("target") | F.col("near_target"), 1).otherwise(0), F.lit(0)) > 0)
+    names = ("identifier", "title", "target", "near_target", "family")
+    action = F.when(F.col("identifier") | F.col("target"), "exclude").when(F.col("title") | F.col("near_target"), "hold_for_review").when(F.col("family"), "keep_but_demote").otherwise("keep")
+    return made.select("id", F.array_compact(F.array(*[F.when(F.col(n), n) for n in names])).alias("checks"), action.alias("action"))
+
+
+def sample_gates(known_source: Column, action: Column) -> dict[str, Column]:
+    """One boolean per gate over the columns of a sample: source and lineage, target, Markdown, LaTeX, picture, length, difficulty, leakage."""
+    t = F.coalesce(F.col("canonical_target"), F.lit(""))
+    page = F.regexp_replace("page_id", r"(?s):[^:]*$", "")
+    structured = F.coalesce(F.col("has_display_math") | F.col("has_gfm_table"), F.lit(False))
+
+    def pieces(piece: str) -> Column:
+        return F.length(t) - F.length(F.replace(t, F.lit(piece), F.lit("")))
+
+    return {
+        "source": known_source & (F.col("page_id").isNull() | F.col("doc_id").isNull() | (page == F.col("doc_id"))),
+        "target": (strip(t) != "") & F.col("target_type").isNotNull(),
+        "markdown": pieces("```") % 6 == 0,
+        "latex": (unescaped_dollars(t) % 2 == 0) & (pieces("{") == pieces("}")),
+        "picture": F.col("page_id").isNull() | F.coalesce(F.exists("asset_media_types", lambda m: F.startswith(m, F.lit("image/"))), F.lit(False)),
+        "length": F.coalesce((F.col("target_char_count") == F.length(t)) & F.col("target_char_count").between(1, 200_000), F.lit(False)),
+        "difficulty": F.col("difficulty_tier").isNotNull() & (~structured | (F.size(F.coalesce("slice_tags", F.array().cast("array<string>"))) > 0)),
+        "leakage": F.coalesce(action, F.lit("keep")).isin("keep", "keep_but_demote"),
+    }
+
+
 def reject_reasons(gates: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(~g, name) for name, g in gates.items()]))
 

@@ -129,6 +129,49 @@ def leakage_screen(spark: SparkSession, d: str) -> DataFrame:
     return worst.select("doc_id", F.round("share", 6).alias("share"), "items", action.alias("action"))
 
 
+def _checks(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "canonical_samples").where("sample_id is not null").select("sample_id", "doc_id", "canonical_target", _split().alias("split")).distinct()
+    return C.leakage_checks(s.where("split = 'train'"), s.where("split in ('validation', 'test')"), id_column="sample_id", family="doc_id", text="canonical_target")
+
+
+def leakage_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Every train sample with the leakage checks it fails, and what follows."""
+    return _checks(spark, d).select(F.col("id").alias("sample_id"), F.array_join("checks", ",").alias("checks"), "action")
+
+
+def sample_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Every sample with the gates it does not pass, and its class."""
+    names = ["sample_id", "source_id", "doc_id", "page_id", "data_class", "canonical_target", "target_type", "target_char_count", "difficulty_tier", "has_display_math", "has_gfm_table", "asset_media_types", "slice_tags"]
+    s = table(spark, d, "canonical_samples").where("sample_id is not null").select(*names).distinct().withColumn("source", F.lower(strip(F.col("source_id"))))
+    known = table(spark, d, "source_registry").select(F.col("source_id").alias("source"), F.lit(True).alias("known")).distinct()
+    rows = s.join(known, "source", "left").join(_checks(spark, d).select(F.col("id").alias("sample_id"), "action"), "sample_id", "left")
+    reasons = C.reject_reasons(C.sample_gates(F.coalesce("known", F.lit(False)), F.col("action")))
+    return rows.withColumn("reasons", reasons).select("sample_id", F.array_join("reasons", ",").alias("reasons"), C.promotion(F.col("reasons"), F.col("data_class")).alias("class"))
+
+
+def bundle_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Bundles with their samples, how many of them repeat a target, their slices, and whether all samples pass the gates."""
+    s = table(spark, d, "canonical_samples").where("sample_id is not null and bundle_id is not null").select("sample_id", "bundle_id", F.xxhash64(C.word_key(F.col("canonical_target"))).alias("k"), C.word_key(F.col("canonical_target")).isNotNull().alias("has"), "slice_tags").distinct()
+    tags = s.select("bundle_id", F.explode("slice_tags").alias("tag")).groupBy("bundle_id").agg(F.count_distinct("tag").alias("slices"))
+    copies = s.where("has").groupBy("bundle_id", "k").agg(F.count(F.lit(1)).alias("n")).groupBy("bundle_id").agg(F.sum(F.col("n") - 1).alias("repeated"))
+    passed = s.select("sample_id", "bundle_id").join(sample_gates(spark, d), "sample_id").groupBy("bundle_id").agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.col("reasons") == "").alias("passed"))
+    rows = passed.join(copies, "bundle_id", "left").join(tags, "bundle_id", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("repeated", "slices")}
+    return rows.withColumns(zero).select("bundle_id", "samples", "passed", "repeated", "slices", (F.col("passed") == F.col("samples")).alias("accepted"))
+
+
+def published_copy(spark: SparkSession, d: str) -> DataFrame:
+    """The quotas written to their published place: rows that arrived, and whether count and checksum are those of what was sent."""
+    import uuid
+
+    rows = table(spark, d, "source_allocation")
+    target = drop_later(f"{shared_dir(spark)}/published-{uuid.uuid4().hex}")
+    rows.write.parquet(target)
+    before, after = (C.fingerprint(x, rows.columns) for x in (rows, spark.read.parquet(target)))
+    both = before.withColumn("at", F.lit("sent")).unionByName(after.withColumn("at", F.lit("arrived")))
+    return both.agg(F.max(F.when(F.col("at") == "arrived", F.col("rows"))).alias("rows"), ((F.min("rows") == F.max("rows")) & (F.min("checksum") == F.max("checksum"))).alias("agrees"))
+
+
 def quality_gates(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "documents").withColumn("reasons", C.reject_reasons(C.quality_gates(F.col("text"))))
     return s.select("doc_id", F.array_join("reasons", ",").alias("reasons"), C.promotion(F.col("reasons"), F.col("data_class")).alias("class"))
@@ -152,14 +195,16 @@ def holdout_exclusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mixture_sample(spark: SparkSession, d: str) -> DataFrame:
-    """The exact_core mixture by numbers of samples: each class's share of 2,000, by hash."""
+    """Every stage's mixture by numbers of samples: each class's share of 2,000, by hash."""
     from ..operators.build import once_per_id
 
-    t = table(spark, d, "mixture_targets").where("stage_id = 'exact_core'")
     classes = ("exact_pair", "synthetic_exact", "trusted_aux", "multilingual", "weak_aux")
-    shares = t.select(F.explode(F.array(*[F.struct(F.lit(c).alias("data_class"), (F.coalesce(f"{c}_pct", F.lit(0)) / 100.0).alias("share")) for c in classes])).alias("x")).select("x.*")
+    shares = table(spark, d, "mixture_targets").select("stage_id", F.explode(F.array(*[F.struct(F.lit(c).alias("data_class"), (F.coalesce(f"{c}_pct", F.lit(0)) / 100.0).alias("share")) for c in classes])).alias("x")).select("stage_id", "x.*")
     rows = once_per_id(table(spark, d, "canonical_samples").select("sample_id", "data_class"), "sample_id")
-    return C.class_sample(rows, shares, by="data_class", id_column="sample_id", total=2000).select("sample_id", "data_class")
+    most = shares.groupBy("data_class").agg(F.max("share").alias("share"))
+    # the rows that the largest share of a class takes hold those of every stage: each stage takes the first of them
+    kept = C.first_by_hash(rows.join(most, "data_class"), by="data_class", id_column="sample_id", quota=F.floor(F.col("share") * 2000)).select("sample_id", "data_class", "_k")
+    return kept.join(shares, "data_class").where(F.col("_k") <= F.floor(F.col("share") * 2000)).select("stage_id", "sample_id", "data_class")
 
 
 def anchor_draws(spark: SparkSession, d: str) -> DataFrame:
@@ -238,7 +283,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         registry_audit, registry_audit_summary, registry_plan_order, bundle_source_fallback, registry_summary, protocol_membership, exact_dedup, text_dedup, near_dedup, formula_and_table_dedup, identity_dedup,
-        leakage_screen, quality_gates, bundle_acceptance, split_disjoint, holdout_exclusion, mixture_sample, anchor_draws, slice_rollup, publish_check, page_projection, shard_roundtrip, multilingual_quota, file_split_inference, markdown_tables,
+        leakage_screen, leakage_actions, sample_gates, bundle_gates, published_copy, quality_gates, bundle_acceptance, split_disjoint, holdout_exclusion, mixture_sample, anchor_draws, slice_rollup, publish_check, page_projection, shard_roundtrip, multilingual_quota, file_split_inference, markdown_tables,
     )
 }
 
@@ -265,7 +310,41 @@ _GRAMS = "{0} AS (SELECT DISTINCT {1}, unnest(list_transform(range(1, len(w) - 6
 _ONE = "SELECT sample_id, min(data_class) AS data_class FROM canonical_samples WHERE sample_id IS NOT NULL GROUP BY 1"
 _LATEX = f"regexp_replace(replace(regexp_replace(regexp_replace(canonical_target, '^{_B}+|{_B}+$', '', 'g'), '{_B}+', ' ', 'g'), chr(92) || ',', ' '), '^{_B}+|{_B}+$', '', 'g')"
 _BARS = "list_filter(string_split(canonical_target, chr(10)), lambda x: starts_with(trim(x), '|'))"
+_KEY = "nullif(trim(regexp_replace(lower({0}), '[^\\pL\\pM\\pN]+', ' ', 'g')), '')"
+_WORDS = "list_filter(string_split_regex(lower({0}), '[^\\pL\\pN]+'), lambda x: x <> '')"
+
+
+def _shingles(n: int) -> str:
+    return f"CASE WHEN len(w) > 0 THEN list_distinct(list_transform(range(1, greatest(len(w) - {n - 1}, 1) + 1), lambda i: array_to_string(w[i:i+{n - 1}], ' '))) END"
+
+
+_LEAKS = f"""lk AS (SELECT DISTINCT sample_id, doc_id, canonical_target AS x, {_SPLIT_SQL} AS s, string_split(ltrim(canonical_target, ' '), chr(10))[1] AS h FROM canonical_samples WHERE sample_id IS NOT NULL),
+ lw AS (SELECT sample_id, doc_id, s, CASE WHEN starts_with(h, '#') THEN {_KEY.format('h')} END AS t, {_KEY.format('x')} AS k, {_WORDS.format('x')} AS w FROM lk), ls AS (SELECT *, {_shingles(8)} AS sh FROM lw),
+ held AS (SELECT * FROM ls WHERE s IN ('validation', 'test')), own AS (SELECT * FROM ls WHERE s = 'train'), hg AS (SELECT DISTINCT unnest(sh) AS g FROM held),
+ met AS (SELECT sample_id, count(*) AS met FROM (SELECT DISTINCT sample_id, unnest(sh) AS g FROM own) WHERE g IN (SELECT g FROM hg) GROUP BY 1),
+ c AS (SELECT own.*, doc_id IS NOT NULL AND doc_id IN (SELECT doc_id FROM held WHERE doc_id IS NOT NULL) AS identifier, t IS NOT NULL AND t IN (SELECT t FROM held WHERE t IS NOT NULL) AS title, k IS NOT NULL AND k IN (SELECT k FROM held WHERE k IS NOT NULL) AS target, coalesce(met >= 0.8 * len(sh), false) AS near_target FROM own LEFT JOIN met USING (sample_id)),
+ checks AS (SELECT *, coalesce(doc_id IS NOT NULL AND sum(CASE WHEN title OR target OR near_target THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) - CASE WHEN title OR target OR near_target THEN 1 ELSE 0 END > 0, false) AS family FROM c),
+ actions AS (SELECT *, CASE WHEN identifier OR target THEN 'exclude' WHEN title OR near_target THEN 'hold_for_review' WHEN family THEN 'keep_but_demote' ELSE 'keep' END AS action FROM checks)"""
+_PIECES = "(length(x) - length(replace(x, '{0}', '')))"
+_SG = f"""{_LEAKS}, sg AS (SELECT DISTINCT sample_id, source_id, doc_id, page_id, data_class, coalesce(canonical_target, '') AS x, canonical_target IS NULL AS none, target_type, target_char_count, difficulty_tier, coalesce(has_display_math OR has_gfm_table, false) AS structured, asset_media_types, slice_tags FROM canonical_samples WHERE sample_id IS NOT NULL),
+ gates AS (SELECT sg.sample_id, data_class, list_filter([
+  CASE WHEN NOT (coalesce({_SID.format('source_id')} IN (SELECT source_id FROM source_registry), false) AND (page_id IS NULL OR sg.doc_id IS NULL OR regexp_replace(page_id, ':[^:]*$', '') = sg.doc_id)) THEN 'source' END,
+  CASE WHEN NOT (regexp_replace(x, '^{_B}+|{_B}+$', '', 'g') <> '' AND target_type IS NOT NULL) THEN 'target' END, CASE WHEN {_PIECES.format('```')} % 6 <> 0 THEN 'markdown' END,
+  CASE WHEN (len(string_split(regexp_replace(x, '\\\\.', '', 'gs'), '$')) - 1) % 2 <> 0 OR {_PIECES.format('{')} <> {_PIECES.format('}')} THEN 'latex' END,
+  CASE WHEN NOT (page_id IS NULL OR coalesce(len(list_filter(asset_media_types, lambda m: starts_with(m, 'image/'))) > 0, false)) THEN 'picture' END,
+  CASE WHEN NOT coalesce(target_char_count = length(x) AND target_char_count BETWEEN 1 AND 200000, false) THEN 'length' END,
+  CASE WHEN NOT (difficulty_tier IS NOT NULL AND (NOT structured OR coalesce(len(slice_tags), 0) > 0)) THEN 'difficulty' END, CASE WHEN coalesce(action, 'keep') NOT IN ('keep', 'keep_but_demote') THEN 'leakage' END], lambda g: g IS NOT NULL) AS r FROM sg LEFT JOIN actions USING (sample_id))"""
 SQL: dict[str, str] = {
+    "near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), s AS (SELECT doc_id, list_sort({_shingles(5)}) AS sh FROM w WHERE len(w) > 0), reps AS (SELECT sh, min(doc_id) AS rep, len(sh) AS n FROM s GROUP BY sh),
+ x AS (SELECT rep, n, unnest(sh) AS g FROM reps), p AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+ e AS (SELECT a AS u, b AS v FROM p UNION ALL SELECT b, a FROM p), reach AS (SELECT u AS n, u AS m FROM e UNION SELECT reach.n, e.v FROM reach JOIN e ON reach.m = e.u), comp AS (SELECT n, min(m) AS c FROM reach GROUP BY 1), deg AS (SELECT u, count(*) AS k FROM e GROUP BY 1)
+ SELECT d.doc_id, coalesce(c, rep, d.doc_id) AS class_id, coalesce(k, 0) AS links FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN reps USING (sh) LEFT JOIN comp ON comp.n = rep LEFT JOIN deg ON u = rep""",
+    "leakage_actions": f"WITH {_LEAKS} SELECT sample_id, array_to_string(list_filter([CASE WHEN identifier THEN 'identifier' END, CASE WHEN title THEN 'title' END, CASE WHEN target THEN 'target' END, CASE WHEN near_target THEN 'near_target' END, CASE WHEN family THEN 'family' END], lambda g: g IS NOT NULL), ',') AS checks, action FROM actions",
+    "sample_gates": f"WITH {_SG} SELECT sample_id, array_to_string(r, ',') AS reasons, CASE WHEN len(r) > 1 THEN 'reject' WHEN len(r) = 1 THEN 'hold' WHEN data_class = 'exact_pair' THEN 'gold_exact' WHEN data_class IN ('synthetic_exact', 'multilingual') THEN 'silver_exact' ELSE 'aux' END AS class FROM gates",
+    "bundle_gates": f"""WITH {_SG}, b AS (SELECT DISTINCT sample_id, bundle_id, {_KEY.format('canonical_target')} AS k, slice_tags FROM canonical_samples WHERE sample_id IS NOT NULL AND bundle_id IS NOT NULL), t AS (SELECT bundle_id, count(DISTINCT tag) AS slices FROM (SELECT bundle_id, unnest(slice_tags) AS tag FROM b) GROUP BY 1),
+ r AS (SELECT bundle_id, CAST(sum(n - 1) AS BIGINT) AS repeated FROM (SELECT bundle_id, k, count(*) AS n FROM b WHERE k IS NOT NULL GROUP BY 1, 2) GROUP BY 1), q AS (SELECT bundle_id, count(*) AS samples, count(*) FILTER (len(r) = 0) AS passed FROM (SELECT DISTINCT sample_id, bundle_id FROM b) JOIN gates USING (sample_id) GROUP BY 1)
+ SELECT bundle_id, samples, passed, coalesce(repeated, 0) AS repeated, coalesce(slices, 0) AS slices, passed = samples AS accepted FROM q LEFT JOIN r USING (bundle_id) LEFT JOIN t USING (bundle_id)""",
+    "published_copy": "SELECT count(*) AS rows, true AS agrees FROM source_allocation",
     "text_dedup": "SELECT min(doc_id) AS first_id, count(*) AS copies FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[^\\pL\\pM\\pN]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL) WHERE t <> '' GROUP BY t HAVING count(*) > 1",
     "formula_and_table_dedup": f"""SELECT key, count(*) AS n, min(sample_id) AS first_sample FROM (SELECT sample_id, CASE WHEN target_type = 'latex_formula' THEN 'formula:' || sha256({_LATEX}) WHEN target_type = 'table_markdown' AND len({_BARS}) > 0 THEN 'table:' || sha256(array_to_string(list_transform({_BARS}, lambda x: length(x) - length(replace(x, '|', ''))), ',')) END AS key
  FROM (SELECT DISTINCT sample_id, target_type, canonical_target FROM canonical_samples)) WHERE key IS NOT NULL GROUP BY 1""",
@@ -291,8 +370,8 @@ SQL: dict[str, str] = {
     "split_disjoint": f"SELECT doc_id, string_agg(DISTINCT s, ',' ORDER BY s) AS splits FROM (SELECT doc_id, {_SPLIT_SQL} AS s FROM canonical_samples) WHERE doc_id IS NOT NULL AND s IS NOT NULL GROUP BY 1 HAVING count(DISTINCT s) > 1",
     "holdout_exclusion": f"""WITH s AS (SELECT DISTINCT sample_id, doc_id, data_class, {_SPLIT_SQL} AS s FROM canonical_samples)
  SELECT data_class, count(*) AS n FROM s WHERE s = 'train' AND (doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM s WHERE s = 'test' AND doc_id IS NOT NULL)) GROUP BY 1""",
-    "mixture_sample": f"""WITH t AS (SELECT * FROM mixture_targets WHERE stage_id = 'exact_core'), sh AS (SELECT c.data_class, coalesce(CASE c.data_class WHEN 'exact_pair' THEN exact_pair_pct WHEN 'synthetic_exact' THEN synthetic_exact_pct WHEN 'trusted_aux' THEN trusted_aux_pct WHEN 'multilingual' THEN multilingual_pct ELSE weak_aux_pct END, 0) / 100.0 AS share
- FROM t, (VALUES ('exact_pair'), ('synthetic_exact'), ('trusted_aux'), ('multilingual'), ('weak_aux')) c(data_class)), r AS (SELECT s.*, share, row_number() OVER (PARTITION BY data_class ORDER BY sha256(sample_id), sample_id) AS k FROM ({_ONE}) s JOIN sh USING (data_class)) SELECT sample_id, data_class FROM r WHERE k <= floor(share * 2000)""",
+    "mixture_sample": f"""WITH sh AS (SELECT stage_id, c.data_class, coalesce(CASE c.data_class WHEN 'exact_pair' THEN exact_pair_pct WHEN 'synthetic_exact' THEN synthetic_exact_pct WHEN 'trusted_aux' THEN trusted_aux_pct WHEN 'multilingual' THEN multilingual_pct ELSE weak_aux_pct END, 0) / 100.0 AS share
+ FROM mixture_targets, (VALUES ('exact_pair'), ('synthetic_exact'), ('trusted_aux'), ('multilingual'), ('weak_aux')) c(data_class)), r AS (SELECT s.*, share, stage_id, row_number() OVER (PARTITION BY stage_id, data_class ORDER BY sha256(sample_id), sample_id) AS k FROM ({_ONE}) s JOIN sh USING (data_class)) SELECT stage_id, sample_id, data_class FROM r WHERE k <= floor(share * 2000)""",
     "anchor_draws": f"""WITH s AS (SELECT *, CASE WHEN data_class = 'weak_aux' THEN 'anchor' ELSE 'primary' END AS side FROM ({_ONE})), n AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY sha256(sample_id), sample_id) - 1 AS n, count(*) OVER (PARTITION BY side) AS size FROM s),
  t AS (SELECT side, unnest(range(1, CAST(ceil((CASE side WHEN 'anchor' THEN 600 ELSE 5400 END - n) / size) AS BIGINT) + 1)) AS draw FROM n WHERE ceil((CASE side WHEN 'anchor' THEN 600 ELSE 5400 END - n) / size) > 0) SELECT side, CAST(draw AS INT) AS draw, count(*) AS n FROM t GROUP BY 1, 2""",
     "slice_rollup": """SELECT difficulty, slice, count(*) AS n, CAST(grouping(difficulty) * 2 + grouping(slice) AS BIGINT) AS level FROM (SELECT DISTINCT sample_id, coalesce(difficulty_tier, 'unknown') AS difficulty, unnest(slice_tags) AS slice FROM canonical_samples) GROUP BY ROLLUP (difficulty, slice)""",

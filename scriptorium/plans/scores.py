@@ -114,7 +114,7 @@ def stem_pairing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coco_left_collect(spark: SparkSession, d: str) -> DataFrame:
-    o, i = table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
+    o, i = table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
     rows = L.collect_children(o, i, "o_orderkey", F.concat(F.lit("- item_"), F.col("l_linenumber").cast("string")), "l_linenumber")
     return rows.select("o_orderkey", F.size("children").alias("n"), F.array_join("children", "\n").alias("regions"))
 
@@ -211,7 +211,7 @@ SQL: dict[str, str] = {
  r AS (SELECT *, CAST(sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS run FROM f) SELECT user_id, run, event_type, count(*) AS size, min(event_id) AS first_event FROM r GROUP BY 1, 2, 3""",
     "stem_pairing": f"""WITH s AS (SELECT DISTINCT sample_id, unnest(asset_names) AS member FROM canonical_samples), l AS (SELECT {_STEM.format('member')} AS stem, min(member) AS left_member FROM s WHERE member IS NOT NULL GROUP BY 1),
  r AS (SELECT {_STEM.format("'labels/' || sample_id || '.txt'")} AS stem, min('labels/' || sample_id || '.txt') AS right_member FROM s WHERE member IS NOT NULL GROUP BY 1) SELECT stem, left_member, right_member FROM l JOIN r USING (stem)""",
-    "coco_left_collect": """WITH i AS (SELECT l_orderkey, count(*) AS n, string_agg('- item_' || l_linenumber, chr(10) ORDER BY l_linenumber) AS regions FROM lineitem WHERE l_quantity > 30 GROUP BY 1)
+    "coco_left_collect": """WITH i AS (SELECT l_orderkey, count(*) AS n, string_agg('- item_' || l_linenumber, chr(10) ORDER BY l_linenumber) AS regions FROM lineitem GROUP BY 1)
  SELECT o_orderkey, CAST(coalesce(n, 0) AS INT) AS n, coalesce(regions, '') AS regions FROM orders LEFT JOIN i ON o_orderkey = l_orderkey""",
     "main_file_choice": """WITH f AS (SELECT source, 'src/' || doc_id || '.tex' AS path, coalesce(CASE WHEN contains(text, '\\documentclass') THEN 10 ELSE 0 END + CASE WHEN contains(text, '\\begin{document}') THEN 8 ELSE 0 END + len(regexp_extract_all(text, '\\\\section')) + len(regexp_extract_all(text, '\\\\subsection')), 0) AS score FROM documents WHERE source IS NOT NULL)
  SELECT source, path, CAST(score AS INT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, length(path), path) AS k FROM f) WHERE k = 1""",

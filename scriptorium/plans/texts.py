@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.similarity import levenshtein_ratio, with_edit_similarity
 from ..operators import pages as P
+from ..operators.curation import exact_duplicates
 from ..shared import spread, table
 
 
@@ -98,6 +99,12 @@ def formula_blocks(spark: SparkSession, d: str) -> DataFrame:
     return s.select("sample_id", F.sha2(T.standalone_formula(F.col("canonical_target")), 256).alias("block_hash"))
 
 
+def target_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Samples whose canonical target texts are the same."""
+    s = table(spark, d, "canonical_samples").where("sample_id is not null").select("sample_id", T.normalize_target(F.col("canonical_target")).alias("t")).distinct()
+    return exact_duplicates(s, F.col("t"), "sample_id")
+
+
 def corrupt_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The block of every document that was damaged, whole and damaged."""
     rows = _docs(spark, d).where("text is not null").select("doc_id", T.corrupt_block(F.col("text")).alias("c"))
@@ -108,7 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         normalize_markdown, normalize_target_text, latex_exact_match, validate_markdown, route_pages, assemble_document, repeated_edge_lines,
-        edit_similarity_pairs, edit_ratio_native, formula_blocks, corrupt_blocks,
+        edit_similarity_pairs, edit_ratio_native, formula_blocks, corrupt_blocks, target_dedup,
     )
 }
 
@@ -194,6 +201,7 @@ _DAMAGED = f"""b AS (SELECT *, list_filter(r, lambda x: starts_with({_strip('x')
  k AS (SELECT *, '$$' || {_strip('math')} || '$$' AS f, CASE WHEN len(r) = 0 THEN 'identity' WHEN len(tab) > 0 THEN 'table_delimiter_drop' WHEN math <> '' THEN 'display_math_break' WHEN len(r) >= 2 THEN 'reading_order_swap' ELSE 'header_flatten' END AS kind FROM b)"""
 
 SQL: dict[str, str] = {
+    "target_dedup": f"WITH s AS (SELECT DISTINCT sample_id, canonical_target FROM canonical_samples WHERE sample_id IS NOT NULL), {_target_sql('n', 's', 'sample_id', 'canonical_target')} SELECT min(sample_id) AS first_id, count(*) AS copies FROM n GROUP BY t HAVING count(*) > 1",
     "normalize_target_text": f"WITH {_target_sql('n', 'documents', 'doc_id', 'text')} SELECT doc_id, sha256(t) AS normal_hash, length(t) AS normal_chars FROM documents LEFT JOIN n USING (doc_id)",
     "formula_blocks": f"""WITH s AS (SELECT DISTINCT sample_id, canonical_target FROM canonical_samples WHERE target_type = 'latex_formula'), {_target_sql('n', 's', 'sample_id', 'canonical_target')}, p AS (SELECT sample_id, {_spaced_sql('t')} AS x FROM n), {_target_sql('m', 'p', 'sample_id', 'x')},
  w AS (SELECT sample_id, t, chr(36) || chr(36) || chr(10) || CASE WHEN starts_with(t, '$') AND ends_with(t, '$') THEN {_strip("trim(t, '$')")} ELSE t END || chr(10) || chr(36) || chr(36) AS y FROM m), {_target_sql('o', 'w', 'sample_id', 'y')}

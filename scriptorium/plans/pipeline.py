@@ -12,6 +12,7 @@ from ..operators import registry as R
 from ..sources import archives, sinks
 from ..shared import drop_cuts
 from ..sources.config import StageConfig
+from ..sources.runs import Run
 
 
 @dataclass
@@ -37,18 +38,40 @@ def plan(config: StageConfig, sources: DataFrame, status: DataFrame, bundles: Da
     return pairs.join(quotas, ["bundle_id", "source_id"], "left").withColumn("quota", F.least("quota", limits))
 
 
-def build(spark: SparkSession, config: StageConfig, samples: DataFrame, pairs: DataFrame, *, shards: bool = False) -> BuildResult:
+class Stopped(RuntimeError):
+    """The run's stop flag was set; a later build goes on from the bundles that are published."""
+
+
+def published_bundles(spark: SparkSession, root: str) -> DataFrame | None:
+    """``bundle_id`` of the bundles in a build's ledger; none before there is one."""
+    system, at = archives.file_system(f"{root}/ledger")
+    if not system.get_file_info(f"{at}/_SUCCESS").is_file:
+        return None
+    return spark.read.schema("bundle_id string").json(f"{root}/ledger")
+
+
+def build(spark: SparkSession, config: StageConfig, samples: DataFrame, pairs: DataFrame, *, shards: bool = False, resume: bool = False) -> BuildResult:
     """Write a build: every sample once per bundle that wants it, within quotas. The statistics are those of what was written.
 
-    A build that stops is run again: the manifest is replaced as a whole and shards appear only by the commit.
+    A build that stops is run again: the manifest is replaced as a whole and shards appear only by the commit. With ``resume`` the bundles in the ledger are left
+    as they are, and only the others are built and added. Rows are counted while they are written, for the heartbeat.
     """
+    run = Run(spark, config.stage, config.output_root)
+    if run.flag("STOP"):
+        raise Stopped(f"{run.at('control', 'STOP')} is set")
+    run.heartbeat("running")
+    done = published_bundles(spark, run.at()) if resume else None
+    if done is not None:
+        pairs = pairs.join(done, "bundle_id", "left_anti")
     rows = B.fan_out(samples.drop("bundle_id"), pairs, target="bundle_id")
     if "scope" in rows.columns:
         rows = rows.where(B.in_scope(F.col("scope"), F.col("bundle_id"))).drop("scope")
     kept = B.within_quota(rows, ["bundle_id", "source_id"], [F.col("sample_id")], F.col("quota"), B.largest_quota(pairs)).drop("quota")
     root = f"{config.output_root}/{config.stage}"
     manifest_path = f"{root}/manifest"
-    sinks.write_manifest(B.manifest(kept), manifest_path)
+    counted, seen = run.counted(B.manifest(kept), "manifest")
+    sinks.write_manifest(counted, manifest_path, mode="append" if done is not None else "overwrite")
+    run.heartbeat("running", rows=float(seen.get["rows"]))
     written = spark.read.parquet(manifest_path)
     shard_path = None
     if shards:
@@ -61,5 +84,7 @@ def build(spark: SparkSession, config: StageConfig, samples: DataFrame, pairs: D
     stats = B.bundle_stats(written)
     sinks.write_cards(sinks.bundle_cards(stats, written.select("bundle_id", "source_id")), f"{root}/cards")
     stats.write.mode("overwrite").json(f"{root}/ledger")
+    run.summary({"stage": config.stage, "rows": seen.get["rows"]})
+    run.heartbeat("finished", rows=float(seen.get["rows"]))
     drop_cuts(spark)  # everything is written
     return BuildResult(manifest_path, shard_path, spark.read.schema(stats.schema).json(f"{root}/ledger"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import markup as M
 from ..functions.text import chart_block, first_filled, normalize_target, standalone_formula
 from ..operators.layout import text_lines
+from .archives import manifest_pairs
+from .pairs import IMAGES, annotated_pairs, archive_pairs, manifest_and_stems, structure_pairs
 from .tables import sample_rows
 
 Family = Callable[[DataFrame, str, str], DataFrame]
@@ -63,7 +65,48 @@ FAMILIES: dict[str, Family] = {
     "json": _family(lambda r: M.json_markdown(_as_json(*r.columns)), "json", []),
 }
 
-SOURCES: dict[str, tuple[str, Family]] = {}
+def _paired(read: Callable[[DataFrame], DataFrame], key: str, target_type: str, tags: list[str]) -> Family:
+    """Archive members as rows, paired by ``read``, as samples."""
+
+    def make(members: DataFrame, source_id: str, bundle_id: str) -> DataFrame:
+        rows = read(members)
+        rows = rows.withColumn("split", F.col("split_assignment")) if "split_assignment" in rows.columns else rows
+        return sample_rows(rows, source_id=source_id, bundle_id=bundle_id, target=F.col("canonical_target"), target_type=target_type, ids=[F.col(key)], tags=tags)
+
+    return make
+
+
+def _stems(members: DataFrame) -> DataFrame:
+    return manifest_and_stems(members, manifest_pairs(members))
+
+
+def _annotated(members: DataFrame) -> DataFrame:
+    return annotated_pairs(members.where(F.col("member").rlike(IMAGES)), members.where(F.lower("member").endswith(".xml")), M.voc_markdown)
+
+
+def _finished(rows: DataFrame, source_id: str, bundle_id: str) -> DataFrame:
+    """Rows that are samples already."""
+    return rows.withColumns({"source_id": F.lit(source_id), "bundle_id": F.lit(bundle_id)})
+
+
+FAMILIES |= {
+    "archive_pairs": _paired(archive_pairs, "stem", "page_markdown_projection", ["handwriting", "historical"]),
+    "archive_pairs_by_folder": _paired(lambda m: archive_pairs(m, page_dir=True, split_from_path=True), "stem", "page_markdown_projection", ["handwriting", "layout", "historical"]),
+    "manifest_and_stems": _paired(_stems, "sample_id", "latex_formula", ["formula", "printed", "large_scale"]),
+    "structure_pairs": _paired(structure_pairs, "stem", "aux_annotation", ["table", "topology"]),
+    "annotated_pairs": _paired(_annotated, "stem", "aux_annotation", ["table"]),
+    "finished": _finished,
+}
+
+# The ids of the known sources, and the family that reads each.
+KNOWN_SOURCES = {
+    "arxiv_source_pdf": "finished", "pmc_oa_pdf_xml": "finished", "publaynet": "layout", "doclaynet": "layout", "pubtables_1m": "annotated_pairs", "scitsr": "structure_pairs", "mathwriting": "formula", "im2latex_100k": "formula",
+    "crohme": "formula", "bentham": "archive_pairs", "read_2016": "archive_pairs_by_folder", "funsd": "form", "cord": "receipt_tree", "sroie": "receipt_words", "chartqa": "json", "plotqa": "chart", "fintabnet_family": "table", "iam": "text_line",
+    "unimer_1m": "manifest_and_stems", "european_multilingual_synthetic": "finished", "approved_exact_full_page_targets": "finished", "synthetic_from_exact": "finished", "model_failures_plus_exact_truth": "finished",
+    "sft_and_repair_prompt_packs": "finished", "curated_non_overlap_holdouts": "finished",
+}
+
+SOURCES: dict[str, tuple[str, Family]] = {k: (f, FAMILIES[f]) for k, f in KNOWN_SOURCES.items()}
 """Registered sources: id to its family's name and function."""
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_manifest(rows: DataFrame, path: str, *, bundle: str = "bundle_id", max_records: int = 1_000_000) -> None:
+def write_manifest(rows: DataFrame, path: str, *, bundle: str = "bundle_id", max_records: int = 1_000_000, mode: str = "overwrite") -> None:
     """The manifest in one folder per bundle; the bundle's column also stays in the files. An empty manifest keeps its schema."""
     spread = rows.withColumn("bundle", F.col(bundle)).repartition("bundle", F.pmod(F.xxhash64("sample_id"), F.lit(16)))
-    spread.write.partitionBy("bundle").option("maxRecordsPerFile", max_records).mode("overwrite").parquet(path)
+    spread.write.partitionBy("bundle").option("maxRecordsPerFile", max_records).mode(mode).parquet(path)
 
 
 def bundle_cards(stats: DataFrame, sources: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Families on literal rows, and a whole build."""
 
+import pytest
+
 from scriptorium.plans import build as Q
 from scriptorium.plans import pipeline
 from scriptorium.shared import table
@@ -37,3 +39,51 @@ def test_build(spark, data, tmp_path):
     assert {r["bundle_id"]: r["sample_count"] for r in result.ledger.collect()} == want
     assert spark.read.format("shardtar").load(result.shard_path).count() == sum(want.values())
     assert spark.read.parquet(result.manifest_path).where("canonical_target is not null and canonical_target_hash <> sha2(canonical_target, 256)").count() == 0
+
+
+def test_run_records_and_resume(spark, tmp_path, data):
+    import json
+
+    from scriptorium.plans import build as sources
+    from scriptorium.plans import pipeline
+    from scriptorium.shared import table
+    from scriptorium.sources.config import StageConfig
+    from scriptorium.sources.runs import Run, bundle_root, failure_manifest, quoted, serve_command
+
+    run = Run(spark, "demo", str(tmp_path))
+    run.manifest({"a": 1})
+    run.heartbeat("running", rows=3.0)
+    run.event("started", "build", "demo")
+    run.event("ended", "build", "demo", {"n": 1})
+    run.log("first \n")
+    assert [json.loads(x)["event_type"] for x in (tmp_path / "demo/events.ndjson").read_text().splitlines()] == ["started", "ended"]
+    assert (tmp_path / "demo/console.log").read_text().endswith("Z first\n") and json.loads((tmp_path / "demo/heartbeat.json").read_text())["latest_metrics"] == {"rows": 3.0}
+    assert run.layout()["stop_flag"].endswith("demo/control/STOP") and not run.flag("STOP")
+    assert bundle_root("b", {"b": "/x"}) == "/x" and bundle_root("b", target="hf://r/") == "hf://r/b"
+    for bad in (lambda: bundle_root("b"), lambda: failure_manifest("")):
+        with pytest.raises(RuntimeError):
+            bad()
+    assert quoted(serve_command("/my model")).startswith("vllm serve '/my model' --host")
+
+    config = StageConfig(stage="s", output_root=str(tmp_path))
+    names = [c for c in table(spark, data, "canonical_samples").columns if c not in ("sample_id", "built_at", "loaded_at")]
+    samples = sources.once(spark, data, *names).withColumn("source_id", sources._sid())
+    pairs = sources._bundle_sources(spark, data)
+    some = sorted(r[0] for r in pairs.select("bundle_id").distinct().collect())
+    pipeline.build(spark, config, samples, pairs.where(pairs["bundle_id"] == some[0]))
+    whole = pipeline.build(spark, config, samples, pairs, resume=True)
+    fresh = pipeline.build(spark, StageConfig(stage="t", output_root=str(tmp_path)), samples, pairs)
+    assert sorted(map(tuple, whole.ledger.collect())) == sorted(map(tuple, fresh.ledger.collect()))
+    (tmp_path / "s/control").mkdir()
+    (tmp_path / "s/control/STOP").touch()
+    with pytest.raises(pipeline.Stopped):
+        pipeline.build(spark, config, samples, pairs)
+
+
+def test_registered_sources(spark):
+    from scriptorium.sources.families import KNOWN_SOURCES, SOURCES, samples_of
+
+    assert len(KNOWN_SOURCES) == 25 and set(KNOWN_SOURCES) <= set(SOURCES)
+    members = spark.createDataFrame([("a", 0, "img/x.jpg", b"i"), ("a", 1, "gt/val/x.txt", b"two  words")], "archive string, pos int, member string, content binary")
+    got = samples_of(members, "read_2016", "b").first()
+    assert (got["sample_id"], got["canonical_target"], got["split_assignment"]) == ("read_2016-x", "two words", "validation")

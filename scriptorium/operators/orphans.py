@@ -9,9 +9,8 @@ null or at < valid_to). All others are orphans, by cause:
 
 Method: references and the begin and end events of the parents' validity intervals are brought together
 by (key, salt) and sorted by time, and the two sorted streams are merged linearly: a running sum of
-begins and ends is the number of parents in force. References are salted by their id, so that a key
-with a third of all references is spread over ``salts`` tasks; the parents' events are repeated once per
-salt. No side is broadcast and neither has to fit a task.
+begins and ends is the number of parents in force. References are counted by key first: those of a key with more than ``hot`` are spread
+by their id over as many salts as it takes, and only its parents' events are repeated for each. No side is broadcast and neither has to fit a task.
 
 Defined cases: parents with a null key, a null valid_from or an empty interval are never in force;
 references with a null key are none; a reference with a null time is an orphan unless its key has no
@@ -23,8 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import HOT
 
-def orphans(references: DataFrame, parents: DataFrame, *, key: str, at: str, spread: Column, valid_from: str, valid_to: str, parent_key: str | None = None, salts: int = 16) -> DataFrame:
+
+def orphans(references: DataFrame, parents: DataFrame, *, key: str, at: str, spread: Column, valid_from: str, valid_to: str, parent_key: str | None = None, hot: int = HOT) -> DataFrame:
     """The rows of ``references`` without a parent in force, with their ``orphan_cause``.
 
     ``spread`` is an expression over the references (a row id) that spreads equal keys over the salts.
@@ -32,8 +33,9 @@ def orphans(references: DataFrame, parents: DataFrame, *, key: str, at: str, spr
     """
     pk = parent_key or key
     live = parents.where(F.col(pk).isNotNull() & F.col(valid_from).isNotNull() & (F.col(valid_to).isNull() | (F.col(valid_to) > F.col(valid_from))))
-    salt_all = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-    edges = live.select(
+    few = references.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where(f"_n > {int(hot)} and _key is not null").select("_key", F.ceil(F.col("_n") / F.lit(hot)).cast("int").alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1))
+    events = live.select(
         F.col(pk).alias("_key"),
         F.explode(
             F.array_compact(
@@ -43,13 +45,14 @@ def orphans(references: DataFrame, parents: DataFrame, *, key: str, at: str, spr
                 )
             )
         ).alias("_e"),
-    ).select("_key", "_e._at", "_e._step", salt_all)
+    ).select("_key", "_e._at", "_e._step")
+    edges = events.join(few, "_key", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     row = F.struct(*[F.col(f"`{c}`") for c in references.columns])
-    refs = references.select(row.alias("_row"), F.col(key).alias("_key"), F.col(at).alias("_at"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int").alias("_salt")).where("_key is not null")
+    named = references.select(row.alias("_row"), F.col(key).alias("_key"), F.col(at).alias("_at"), F.xxhash64(spread).alias("_hash")).where("_key is not null")
+    refs = named.join(few, "_key", "left").withColumn("_salt", F.pmod("_hash", salts).cast("int")).drop("_salts", "_hash")
     both = refs.withColumn("_step", F.lit(None).cast("int")).unionByName(edges.withColumn("_row", F.lit(None).cast(refs.schema["_row"].dataType)))
     stream = Window.partitionBy("_key", "_salt").orderBy("_at", F.col("_step").isNull())
     so_far = stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = stream.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     merged = both.withColumns({"_open": F.coalesce(F.sum("_step").over(so_far), F.lit(0)), "_begun": F.count_if(F.col("_step") == 1).over(so_far)})
     # a key is later registered if an event follows a reference that saw none; the reversed stream tells
     back = Window.partitionBy("_key", "_salt").orderBy(F.col("_at").desc(), F.col("_step").isNotNull())

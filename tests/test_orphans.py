@@ -12,9 +12,9 @@ REFS = "record_id bigint, source_id string, recorded_at timestamp, _at string"
 PARENTS = "source_id string, registered_at timestamp, retired_at timestamp"
 
 
-def run(spark, refs, parents, salts=3):
+def run(spark, refs, parents, hot=2):
     r, p = spark.createDataFrame(refs, REFS), spark.createDataFrame(parents, PARENTS)
-    got = orphans(r, p, key="source_id", at="recorded_at", spread=F.col("record_id"), valid_from="registered_at", valid_to="retired_at", salts=salts)
+    got = orphans(r, p, key="source_id", at="recorded_at", spread=F.col("record_id"), valid_from="registered_at", valid_to="retired_at", hot=hot)
     return sorted((x["record_id"], x["orphan_cause"]) for x in got.collect())
 
 

@@ -60,20 +60,20 @@ _UNSTABLE = _members(f"(?:{_INVISIBLE}|{_BLANK}|{_WIDTH}|{_LIGATURE}|{_QUICK})")
 _EXOTIC = _members(f"[{_EXOTIC_RANGE}]")
 
 # Letters of one script that look like a letter of another.
-_LATIN_OF = {
+LATIN_OF = {
     "Cyrillic": dict(zip("аеорсухіјѕһԁԛԝѵкАВЕКМНОРСТУХІЈЅҺԀԚԜѴ", "aeopcyxijshdqwvkABEKMHOPCTYXIJSHDQWV", strict=True)),
     "Greek": dict(zip("ανορυικτγηωχΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ", "avopuiktynwxABEZHIKMNOPTYXcj", strict=True)),
     "Armenian": dict(zip("օոսցհյզքՕՍ", "onughjqpOU", strict=True)),
 }
 _TO: dict[tuple[str, str], dict[str, str]] = {}
-for _s, _m in _LATIN_OF.items():
+for _s, _m in LATIN_OF.items():
     _TO[_s, "Latin"] = _m
     _TO["Latin", _s] = {v: k for k, v in _m.items()}
-for _s in _LATIN_OF:
-    for _t in _LATIN_OF:
+for _s in LATIN_OF:
+    for _t in LATIN_OF:
         if _s != _t:
             _back = _TO["Latin", _t]
-            _TO[_s, _t] = {k: _back[v] for k, v in _LATIN_OF[_s].items() if v in _back}
+            _TO[_s, _t] = {k: _back[v] for k, v in LATIN_OF[_s].items() if v in _back}
 
 
 def _fold_word(word: str) -> str:

@@ -4,6 +4,7 @@ The character forms (p2_found) are told by regular expressions and the engine's
 recursion, the mixtures by running sums over the same hash. The others need exact forms, tokenizers or distances that the engine has not.
 """
 
+from .form import LATIN_OF
 from .mixture import DATA_CLASSES
 
 _INVISIBLE = r"[\p{Cf}\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f\x{34F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}]"
@@ -12,6 +13,32 @@ _WIDTH = r"[\x{FF01}-\x{FF9F}\x{FFA1}-\x{FFBE}\x{FFC2}-\x{FFC7}\x{FFCA}-\x{FFCF}
 _LIGATURE = r"[\x{132}\x{133}\x{FB00}-\x{FB06}\x{FB13}-\x{FB17}\x{FB4F}]"
 _BETWEEN = r"[\pN\pM]*"
 _MIXED = rf"\p{{Latin}}{_BETWEEN}[\p{{Cyrillic}}\p{{Greek}}]|[\p{{Cyrillic}}\p{{Greek}}]{_BETWEEN}\p{{Latin}}|\p{{Greek}}{_BETWEEN}\p{{Cyrillic}}|\p{{Cyrillic}}{_BETWEEN}\p{{Greek}}"
+# every look-alike as its Latin letter, on both sides alike: words compare as they do in form
+_UPPER = {k: v for m in LATIN_OF.values() for k, v in m.items() if k != k.lower()}
+_LOWER = {k.lower(): v.lower() for k, v in LATIN_OF["Cyrillic"].items()} | {k: v for m in LATIN_OF.values() for k, v in m.items() if k == k.lower()}
+_WIDE_LETTERS, _PLAIN_LETTERS = "".join(map(chr, [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)])), "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "Ĳ": "IJ", "ĳ": "ij"}
+
+
+def _folded(text: str) -> str:
+    """A text in a form for comparison, without letter case."""
+    for k, v in _LIGATURES.items():
+        text = f"replace({text}, '{k}', '{v}')"
+    text = f"nfc_normalize(translate(regexp_replace(regexp_replace({text}, '{_INVISIBLE}', '', 'g'), '{_BLANK}', ' ', 'g'), '{_WIDE_LETTERS}', '{_PLAIN_LETTERS}'))"
+    text = f"translate(lower(translate({text}, '{''.join(_UPPER)}', '{''.join(_UPPER.values())}')), '{''.join(_LOWER)}', '{''.join(_LOWER.values())}')"
+    return text
+
+
+def _words(folded: str) -> str:
+    return rf"regexp_extract_all({folded}, '[\pL\pN][\pL\pN\pM]*')"
+
+
+def _line(folded: str) -> str:
+    return f"array_to_string({_words(folded)}, ' ')"
+
+
+_RUNS = "list_distinct(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' ')))"
+
 _SPLIT = "CASE regexp_replace(lower(split_assignment), '[\\s\\pZ]+', '', 'g') WHEN 'val' THEN 'validation' WHEN 'dev' THEN 'validation' WHEN 'valid' THEN 'validation' WHEN 'validation' THEN 'validation' WHEN 'train' THEN 'train' WHEN 'test' THEN 'test' END"
 _PAGE_DOC = "regexp_extract(page_id, '(?s)^(.*):[^:]*$', 1)"
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
@@ -41,7 +68,22 @@ _GROUPS = f"""WITH RECURSIVE r AS (SELECT DISTINCT CASE WHEN trim(doc_id) <> ''
  reach AS (SELECT u AS n, u AS m FROM e UNION SELECT reach.n, e.v FROM reach JOIN e ON reach.m = e.u),
  comp AS (SELECT n, min(m) AS g FROM reach GROUP BY n)"""
 
+_NAME = r"^\s*(?:(?:[-*+•·‣]|\d{1,3}[.)])\s+)?([^:]+):"
+_FIELD_NAME = f"array_to_string({_words(f"regexp_extract(x, '{_NAME}', 1)")}, ' ')"
+_FIELD = f"{_FIELD_NAME} || chr(31) || array_to_string({_words(f"regexp_replace(x, '{_NAME}', '')")}, ' ')"
+# a record is the sorted list of its fields, or its words
+_RECORDS = f"""WITH t AS (SELECT DISTINCT sample_id, canonical_target, {_folded('canonical_target')} AS f FROM canonical_samples WHERE sample_id IS NOT NULL AND canonical_target IS NOT NULL),
+ o AS (SELECT *, CASE WHEN json_valid(f) AND json_type(CASE WHEN json_valid(f) THEN f ELSE '0' END) = 'OBJECT' THEN json_keys(f) END AS keys, list_filter(string_split_regex(f, '\\r\\n|[\\n\\r]'), lambda x: trim(x, ' ' || chr(9)) <> '') AS ls FROM t),
+ m AS (SELECT *, list_transform(keys, lambda k: {_line('k')} || chr(31) || array_to_string({_words("json_extract_string(f, '$.\"' || k || '\"')")}, ' ')) AS members, list_filter(ls, lambda x: NOT starts_with(ltrim(x), '#')) AS body, list_filter(ls, lambda x: starts_with(ltrim(x), '#')) AS heads FROM o),
+ r AS (SELECT sample_id, CASE WHEN len(members) > 1 AND len(list_filter(keys, lambda k: json_type(f, '$."' || k || '"') IN ('OBJECT', 'ARRAY'))) = 0 THEN array_to_string(list_sort(members), chr(30))
+  WHEN len(body) > 1 AND ls[:len(heads)] = heads AND len(list_filter(body, lambda x: coalesce({_FIELD_NAME}, '') = '')) = 0 THEN array_to_string(list_sort(list_concat(list_filter(list_transform(heads, lambda x: {_line('x')}), lambda x: x <> ''), list_transform(body, lambda x: {_FIELD}))), chr(30))
+  ELSE {_line('f')} END AS record FROM m), g AS (SELECT record, min(sample_id) AS first_id, count(*) AS copies FROM r WHERE record <> '' GROUP BY 1)"""
+
 SQL: dict[str, str] = {
+    "p1_found": f"{_RECORDS} SELECT first_id AS first_sample_id, sample_id FROM r JOIN g USING (record) WHERE sample_id <> first_id",
+    "p1_records": f"{_RECORDS} SELECT first_id, copies FROM g",
+    "p8_found": f"""WITH d AS (SELECT doc_id, unnest({_RUNS}) AS g FROM (SELECT doc_id, {_words(_folded('text'))} AS w FROM documents) WHERE len(w) >= 12), i AS (SELECT item_id, unnest({_RUNS}) AS g FROM (SELECT item_id, {_words(_folded('text'))} AS w FROM eval_items) WHERE len(w) >= 12)
+ SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)""",
     "p3_mixture": f"{_MIX} SELECT * FROM mixture",
     "p3_shares": f"""{_MIX}, got AS (SELECT mix_id, component, CAST(sum(size) AS BIGINT) AS chars, count(*) FILTER (use = 1) AS records, max(use) AS most_uses FROM mixture GROUP BY 1, 2)
  SELECT mix_id, component, round(wanted_share, 6) AS wanted_share, round(coalesce(chars / sum(chars) OVER (PARTITION BY mix_id), 0.0), 6) AS actual_share, available, coalesce(chars, 0) AS chars, coalesce(records, 0) AS records,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import stable_hash, target_features
 from ..schemas import MANIFEST, columns_of
 from ..shared import cut
+from .skew import HOT
 
 GENERAL, SPECIALIST, REPAIR = "general", "specialist", "repair"
 
@@ -42,26 +43,23 @@ def in_scope(scope: Column, member: Column) -> Column:
     return scope.isNull() | F.array_contains(scope, member)
 
 
-def within_quota(rows: DataFrame, keys: list[str], order: list[Column], quota: Column, most: int | None = None) -> DataFrame:
+def within_quota(rows: DataFrame, keys: list[str], order: list[Column], quota: Column, most: int | None = None, hot: int = HOT) -> DataFrame:
     """The first rows of every group, as many as its quota (null: all, which are not ranked).
 
-    ``most`` is the largest quota there is. Up to the engine's limit for it, groups are cut to that number where they are read, before any shuffle. A larger
-    or unknown one is ranked by range: rows are sorted by key and order over all tasks, so that a hot group is no single task either way.
+    ``most``, where it is known, is the largest quota there is: up to the engine's limit for it, groups are cut to that number where they are read, before
+    any shuffle. Otherwise groups are counted (combined where the rows are): if one has more than ``hot`` rows, all are ranked by range, that is, rows are
+    sorted by key and order over all tasks, so that no task sorts a hot group; if none has, a group is a task's window. The result is the same.
     """
     wanted = rows.where(quota.isNotNull())
+    ranked = wanted.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     if most is not None and most < int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
-        ranked = wanted.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= int(most))
-    else:
+        ranked = ranked.where(F.col("_rank") <= int(most))
+    elif wanted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).take(1):
         by = [f"_by{i}" for i in range(len(order))]
         ranked = number_rows(wanted.select("*", *[c.alias(n) for c, n in zip(order, by, strict=True)]), by, "_rank", keys).drop(*by).withColumn("_rank", F.col("_rank") + 1)
     return ranked.where(F.col("_rank") <= quota).drop("_rank").unionByName(rows.where(quota.isNull()))
 
 
-def largest_quota(quotas: DataFrame, column: str = "quota") -> int:
-    """The largest quota of a registry table; 0 without any."""
-    return quotas.agg(F.max(column)).first()[0] or 0
-
-
 def source_limits(allocation: DataFrame, active: DataFrame | None = None) -> DataFrame:
     """``source_id, quota``: the largest quota of a source over the active bundles."""
     rows = allocation if active is None else allocation.join(active, "bundle_id", "left_semi")

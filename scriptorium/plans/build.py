@@ -56,7 +56,7 @@ def manifest_record(spark: SparkSession, d: str) -> DataFrame:
 def bundle_fanout_stats(spark: SparkSession, d: str) -> DataFrame:
     s = once(spark, d, "source_id", "doc_id", "page_id", "target_char_count").withColumn("source_id", _sid())
     pairs = _bundle_sources(spark, d)
-    kept = B.within_quota(B.fan_out(s, pairs), ["target_bundle", "source_id"], [F.col("sample_id")], F.col("quota"), B.largest_quota(pairs))
+    kept = B.within_quota(B.fan_out(s, pairs), ["target_bundle", "source_id"], [F.col("sample_id")], F.col("quota"))
     return B.bundle_stats(kept, "target_bundle")
 
 
@@ -70,7 +70,7 @@ def scope_filter(spark: SparkSession, d: str) -> DataFrame:
 def source_limit_quota(spark: SparkSession, d: str) -> DataFrame:
     limits = B.source_limits(_quotas(spark, d).withColumnRenamed("quota", "target_samples"))
     rows = once(spark, d, "source_id").withColumn("source_id", _sid()).where("source_id is not null").join(limits, "source_id", "left")
-    kept = B.within_quota(rows, ["source_id"], [F.col("sample_id")], F.coalesce("quota", F.lit(250)), max(250, B.largest_quota(limits)))
+    kept = B.within_quota(rows, ["source_id"], [F.col("sample_id")], F.coalesce("quota", F.lit(250)))
     return kept.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.max("sample_id").alias("last_sample"))
 
 

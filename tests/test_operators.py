@@ -130,6 +130,8 @@ def test_quota_with_and_without_bound(spark):
     for most in (None, 3):
         got = sorted((r["k"], r["i"]) for r in B.within_quota(rows, ["k"], [F.col("i")], F.col("quota"), most).collect())
         assert got == [("a", 0), ("a", 1), ("a", 2)] + [("b", i) for i in range(6)]
+    by_range = B.within_quota(rows.repartition(3), ["k"], [F.col("i")], F.col("quota"), hot=2)
+    assert sorted((r["k"], r["i"]) for r in by_range.collect()) == [("a", 0), ("a", 1), ("a", 2)] + [("b", i) for i in range(6)]
 
 
 def test_block_f1_and_metrics(spark):

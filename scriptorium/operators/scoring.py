@@ -156,7 +156,7 @@ def pareto_frontier(rows: DataFrame, best_high: str, best_low: tuple[str, str],
         best = reduced(best.repartition(parts))
     best = reduced(best.coalesce(1)).select(*[F.col(c).alias(f"_{c}") for c in names])
     equal = [F.col(c).cast("double") == F.col(f"_{c}") for c in names]
-    lacking = reduce(lambda x, y: x | y, (F.coalesce(F.isnan(F.col(c).cast("double")), F.lit(True)) for c in names))
+    lacking = reduce(lambda x, y: x | y, (F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in names))
     return rows.where(~lacking).join(best, equal, "left_semi").unionByName(rows.where(lacking))
 
 

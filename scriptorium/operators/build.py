@@ -100,8 +100,8 @@ def approval_score(target: Column, tags: Column, page: Column) -> Column:
 
 
 def approved_top(samples: DataFrame, k: int) -> DataFrame:
-    """``sample_id, score`` of the k best samples; ties go to the smaller hash of the id, then to the larger id."""
-    scored = samples.select("sample_id", F.coalesce(approval_score(F.col("canonical_target"), F.col("slice_tags"), F.col("page_id")), F.lit(0)).alias("score"))
+    """``sample_id, score`` of the k best samples (scored already, or by target, tags and page); ties go to the smaller hash of the id, then to the larger id."""
+    scored = samples.select("sample_id", "score") if "score" in samples.columns else samples.select("sample_id", F.coalesce(approval_score(F.col("canonical_target"), F.col("slice_tags"), F.col("page_id")), F.lit(0)).alias("score"))
     return scored.orderBy(F.desc("score"), F.sha2("sample_id", 256), F.desc("sample_id")).limit(k)
 
 

@@ -78,7 +78,9 @@ TOP = 500
 
 
 def topk_approved(spark: SparkSession, d: str) -> DataFrame:
-    s = once(spark, d, "canonical_target", "slice_tags", "page_id")
+    # scored where they are read: no text is shuffled to tell deliveries apart
+    score = F.coalesce(B.approval_score(F.col("canonical_target"), F.col("slice_tags"), F.col("page_id")), F.lit(0))
+    s = table(spark, d, "canonical_samples").where("sample_id is not null").select("sample_id", score.alias("score"), "slice_tags").distinct()
     rows = B.approved_samples(s, TOP)
     return rows.select("sample_id", "difficulty_tier", F.array_join("slice_tags", "|").alias("tags"))
 

@@ -117,12 +117,12 @@ def leakage_screen(spark: SparkSession, d: str) -> DataFrame:
     """Documents by how much of an evaluation item's runs of eight words they hold, and what to do with them."""
     def grams(df: DataFrame, key: str) -> DataFrame:
         w = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-        runs = F.transform(F.sequence(F.lit(0), F.size("w") - 8), lambda i: F.array_join(F.slice("w", i + 1, 8), " "))
+        runs = F.transform(F.sequence(F.lit(0), F.size("w") - 8), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, 8), " ")))
         return df.select(key, w.alias("w")).where("size(w) >= 8").select(key, F.explode(F.array_distinct(runs)).alias("g"))
 
     items = grams(table(spark, d, "eval_items").select("item_id", "text"), "item_id")
     size = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    # items are a fixed small set; their runs are joined to the documents' by the optimiser's choice
+    # hashes of runs move, not runs; the items' are a fixed small set, joined by the optimiser's choice
     hits = grams(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id").join(items, "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("k"))
     worst = hits.join(size, "item_id").groupBy("doc_id").agg(F.max(F.col("k") / F.col("n")).alias("share"), F.count(F.lit(1)).alias("items"))
     action = F.when(F.col("share") >= 0.5, "exclude").when(F.col("share") >= 0.2, "hold_for_review").otherwise("keep_but_demote")

@@ -39,6 +39,12 @@ def validate_markdown(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "error_count", "warning_count", "valid", "repair_required", F.array_join(F.transform("findings", lambda x: x["code"]), ",").alias("codes"))
 
 
+def markdown_validity(spark: SparkSession, d: str) -> DataFrame:
+    """1 for every document whose Markdown has no error, else 0."""
+    rows = P.validate(_docs(spark, d).where("text is not null"), "text")
+    return rows.select("doc_id", F.when(F.col("valid"), 1.0).otherwise(0.0).alias("markdown_validity"))
+
+
 def _signals() -> dict:
     n = F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).cast("double")
     t = F.coalesce(F.col("text"), F.lit(""))
@@ -115,7 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         normalize_markdown, normalize_target_text, latex_exact_match, validate_markdown, route_pages, assemble_document, repeated_edge_lines,
-        edit_similarity_pairs, edit_ratio_native, formula_blocks, corrupt_blocks, target_dedup,
+        edit_similarity_pairs, edit_ratio_native, formula_blocks, corrupt_blocks, target_dedup, markdown_validity,
     )
 }
 
@@ -239,3 +245,4 @@ SQL: dict[str, str] = {
  SELECT doc_id, CAST(e1 AS INT) + CAST(e2 AS INT) AS error_count, CAST(CAST(w1 AS INT) + b AS INT) AS warning_count, NOT (e1 OR e2) AS valid, (e1 OR e2) AS repair_required,
  array_to_string(list_concat(list_filter([CASE WHEN e1 THEN 'unbalanced_code_fence' END, CASE WHEN e2 THEN 'unbalanced_display_math' END, CASE WHEN w1 THEN 'unbalanced_inline_math' END], lambda x: x IS NOT NULL), list_transform(range(b), lambda i: 'table_shape_inconsistent')), ',') AS codes FROM r""",
 }
+SQL["markdown_validity"] = f"SELECT doc_id, CASE WHEN valid THEN 1.0 ELSE 0.0 END::DOUBLE AS markdown_validity FROM ({SQL['validate_markdown']})"

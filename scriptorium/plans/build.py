@@ -55,9 +55,7 @@ def manifest_record(spark: SparkSession, d: str) -> DataFrame:
 
 def bundle_fanout_stats(spark: SparkSession, d: str) -> DataFrame:
     s = once(spark, d, "source_id", "doc_id", "page_id", "target_char_count").withColumn("source_id", _sid())
-    pairs = _bundle_sources(spark, d)
-    kept = B.within_quota(B.fan_out(s, pairs), ["target_bundle", "source_id"], [F.col("sample_id")], F.col("quota"))
-    return B.bundle_stats(kept, "target_bundle")
+    return B.fan_out_stats(s, _bundle_sources(spark, d), ["sample_id"])
 
 
 def scope_filter(spark: SparkSession, d: str) -> DataFrame:

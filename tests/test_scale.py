@@ -40,6 +40,55 @@ def test_numbers_by_key(spark):
         assert sorted(r["n"] for r in got if r["k"] == key) == list(range(sum(k == key for k, _ in rows)))
 
 
+def most_rows(spark, since=0):
+    """The most rows that an operator of any query put out, and the number of queries so far; ``since``: the number of those before."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for i in range(since, runs.size()):
+        run = runs.apply(i).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if m.name() == "number of output rows" and (v := values.get(m.accumulatorId())).isDefined():
+                    most = max(most, int(v.get().replace(",", "")))
+    return most, runs.size()
+
+
+def test_statistics_of_a_fan_out(spark):
+    rng = random.Random(11)
+    rows = [(f"s{i:03}", rng.choice("aaabcd"), rng.choice([None, *"uvwxyz", f"own{i}"]), rng.choice([None, "p"]), rng.choice([None, 1, 5])) for i in range(400)]
+    rows += [("t", None, "u", "p", 1), ("t", "d", "u", None, None), ("t", "d", "v", "p", 2)]
+    pairs = [(f"b{i}", s, rng.choice([None, 1, 2, 7, 8, 9, 60, 10_000])) for i in range(40) for s in "abcd" if rng.random() < 0.6] + [(None, "a", 3), (None, "b", None), ("empty", "z", None), ("none", "a", 0)]
+    want = {}
+    for b in {p[0] for p in pairs}:
+        kept = [r for x, s, q in pairs if x == b for r in sorted((r for r in rows if r[1] == s), key=lambda r: (r[0], r[2]))[:q]]
+        sizes = [r[4] for r in kept if r[4] is not None]
+        if kept:
+            want[b] = (len(kept), len({r[2] for r in kept} - {None}), sum(r[3] is not None for r in kept), sum(sizes) if sizes else None)
+    samples = spark.createDataFrame(rows, "sample_id string, source_id string, doc_id string, page_id string, target_char_count int").repartition(5)
+    sources = spark.createDataFrame(pairs, "bundle_id string, source_id string, quota int")
+    for band in (4, B.BAND):
+        got = {r[0]: tuple(r)[1:] for r in B.fan_out_stats(samples, sources, ["sample_id"], band=band).collect()}
+        assert got == want
+    assert B.fan_out_stats(samples.where("false"), sources, ["sample_id"]).count() == 0
+
+
+@pytest.mark.parametrize("query", ["bundle_fanout_stats"])
+def test_fan_out_is_not_made(spark, tmp_path, query):
+    from scriptorium.plans.build import QUERIES
+
+    n, bundles = 2000, 200
+    spark.range(n).selectExpr("'s' || id AS sample_id", "'a' AS source_id", "'d' || id % 50 AS doc_id", "CAST(NULL AS string) AS page_id", "2 AS target_char_count").write.parquet(f"{tmp_path}/canonical_samples.parquet")
+    spark.range(bundles).selectExpr("id AS record_id", "'b' || id AS bundle_id", "'a' AS primary_sources", "timestamp_seconds(id) AS recorded_at").write.parquet(f"{tmp_path}/bundle_registry.parquet")
+    spark.range(bundles).selectExpr("'b' || id AS bundle_id", "'a' AS source_id", "CAST(id + 1 AS int) AS target_samples").write.parquet(f"{tmp_path}/source_allocation.parquet")
+    before = most_rows(spark)[1]
+    got = QUERIES[query](spark, str(tmp_path)).collect()
+    made = bundles * (bundles + 1) // 2
+    assert sum(r["samples" if query == "run_totals" else "sample_count"] for r in got) == made
+    assert n <= most_rows(spark, before)[0] < 3 * n
+
+
 def test_shards_of_a_large_key(spark, monkeypatch):
     monkeypatch.setattr(B, "SHARDS_PER_TASK", 2)
     rows = spark.createDataFrame([("big", i, 3) for i in range(60)] + [("small", 0, 99), ("small", 1, None)], "bundle string, i int, size int")

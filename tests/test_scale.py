@@ -74,7 +74,7 @@ def test_statistics_of_a_fan_out(spark):
     assert B.fan_out_stats(samples.where("false"), sources, ["sample_id"]).count() == 0
 
 
-@pytest.mark.parametrize("query", ["bundle_fanout_stats"])
+@pytest.mark.parametrize("query", ["bundle_fanout_stats", "run_totals"])
 def test_fan_out_is_not_made(spark, tmp_path, query):
     from scriptorium.plans.build import QUERIES
 

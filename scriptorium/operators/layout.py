@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,15 +23,32 @@ def collect_children(parents: DataFrame, children: DataFrame, key: str, child: C
     return joined.withColumn(out, F.coalesce(F.transform("_l", lambda x: x["c"]), F.array())).drop("_l")
 
 
+FEW_CHARS = 1 << 20
+"""Characters of names that go to every task."""
+
+
 def suffix_match(names: DataFrame, members: DataFrame, *, name: str = "name", member: str = "member") -> DataFrame:
     """For every name the smallest member that ends with it.
 
-    The theta join is an equi-join on a member's tails of the lengths that names have; the lengths, of which there are no more
-    than the longest name has characters, are the only thing looked up beforehand.
+    The theta join is an equi-join on the hashes of a member's tails of the lengths that names have, and what meets is compared; the numbers of names by length, of
+    which there are no more than the longest name has characters, are the only thing looked up beforehand. Lengths of few names, together at most ``FEW_CHARS``
+    characters, meet the members where those are. For the others tails are shuffled: they are many times the members they are estimated by, and names may be
+    as many as members, so that neither is ever broadcast.
     """
-    lengths = sorted(r[0] for r in names.select(F.length(name)).distinct().collect() if r[0])
-    tails = F.array_compact(F.array(*[F.when(F.length(member) >= n, F.expr(f"right(`{member}`, {n})")) for n in lengths]))
-    return names.join(members.select(member, F.explode(tails).alias(name)), name).groupBy(name).agg(F.min(member).alias(member))
+    counts = names.groupBy(F.length(name)).agg(F.count(F.lit(1))).collect()
+    few, many, chars = [], [], 0
+    for length, n in sorted((r for r in counts if r[0]), key=lambda r: (r[0] * r[1], r[0])):
+        chars += length * n
+        (few if chars <= FEW_CHARS else many).append(length)
+
+    def met(lengths: list[int], hint: str) -> DataFrame:
+        tails = members.select(F.col(member), F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("_length")).where(F.length(member) >= F.col("_length"))
+        tails = tails.select(member, F.xxhash64(F.expr(f"right(`{member}`, _length)")).alias("_tail"))
+        heads = names.where(F.length(name).isin(lengths)).select(name, F.xxhash64(name).alias("_tail")).hint(hint)
+        return tails.join(heads, "_tail").where(F.endswith(member, name)).select(name, member)
+
+    parts = [met(lengths, hint) for lengths, hint in ((few, "broadcast"), (many, "merge")) if lengths] or [met([], "merge")]
+    return reduce(DataFrame.unionByName, parts).groupBy(name).agg(F.min(member).alias(member))
 
 
 def runs(rows: DataFrame, *, key: str, order: list[str], label: str, chunk: Column | None = None) -> DataFrame:

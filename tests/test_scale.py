@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import build as B
 from scriptorium.operators import curation as C
+from scriptorium.operators import layout as L
 from scriptorium.operators import planning as N
 from scriptorium.operators import scoring as S
 from scriptorium.operators.skew import met_with_one
@@ -89,6 +90,19 @@ def test_fan_out_is_not_made(spark, tmp_path, query):
     assert n <= most_rows(spark, before)[0] < 3 * n
 
 
+def test_tails_are_not_broadcast(spark, monkeypatch):
+    rng = random.Random(5)
+    members = [f"a/{''.join(rng.choices('xyé', k=rng.randint(1, 9)))}" for _ in range(200)] + [None]
+    names = sorted({m[-k:] for m in members if m for k in (1, 3, 4, len(m))}) + ["zz", "long" * 30, None]
+    want = {n: min(m for m in members if m and m.endswith(n)) for n in names if n and any(m and m.endswith(n) for m in members)}
+    for few, plan in ((0, ["SortMergeJoin"]), (100, ["BroadcastHashJoin", "SortMergeJoin"]), (10**6, ["BroadcastHashJoin"])):
+        monkeypatch.setattr(L, "FEW_CHARS", few, raising=False)
+        found = L.suffix_match(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(m,) for m in members], "member string"))
+        assert dict(map(tuple, found.collect())) == want
+        assert [j for j in ("BroadcastHashJoin", "SortMergeJoin") if j in found._jdf.queryExecution().executedPlan().toString()] == plan
+    assert L.suffix_match(spark.createDataFrame([], "name string"), spark.createDataFrame([("m",)], "member string")).count() == 0
+
+
 def test_shards_of_a_large_key(spark, monkeypatch):
     monkeypatch.setattr(B, "SHARDS_PER_TASK", 2)
     rows = spark.createDataFrame([("big", i, 3) for i in range(60)] + [("small", 0, 99), ("small", 1, None)], "bundle string, i int, size int")

@@ -76,17 +76,18 @@ BAND = 256
 """Ranks of a source that are met with its quotas at once."""
 
 
-def fan_out_stats(samples: DataFrame, bundle_sources: DataFrame, order: list[str], *, source: str = "source_id", target: str = "target_bundle", band: int = BAND) -> DataFrame:
+def fan_out_stats(samples: DataFrame, bundle_sources: DataFrame, order: list[str], *, source: str = "source_id", target: str = "target_bundle", band: int = BAND, documents: bool = True) -> DataFrame:
     """``bundle_stats`` of the fan-out within its quotas, none of whose rows is made: it grows as samples times bundles.
 
     A sample's rank in its source is the same for every bundle. Each source is ranked once (by range, whatever its size), summed up between one quota and
     the next, and the sums are added up along the ranks: a pair of bundle and source takes those at its quota. Samples meet quotas by bands of ranks, so
     that no key is hot. A document counts at its first rank; what bundles count once for each of several sources is taken off again, by groups of documents
     that stand in the same sources between the same quotas. Pairs are distinct; rows equal in ``order`` are ranked by what is counted.
+    That correction alone can grow as groups of documents times bundles; without ``documents`` they are not counted and it is not made.
     """
     counted = samples.where(F.col(source).isNotNull()).select(source, *order, "doc_id", F.col("page_id").isNotNull().cast("bigint").alias("_pages"), F.col("target_char_count").cast("bigint").alias("_size"))
     numbered = number_rows(counted, [*order, "doc_id", "_pages", "_size"], "_rank", [source]).withColumn("_rank", F.col("_rank") + 1)
-    ranked = cut(numbered.select(source, "_rank", "doc_id", "_pages", "_size"), "ranked")
+    ranked = cut(numbered.select(source, "_rank", *["doc_id"] * documents, "_pages", "_size"), "ranked")
     sizes = ranked.groupBy(source).agg(F.max("_rank").alias("_n"))
     pairs = bundle_sources.select(F.col("bundle_id").alias(target), F.col("source_id").alias(source), "quota").join(sizes, source)
     pairs = cut(pairs.select(target, source, F.least(F.coalesce("quota", "_n"), "_n").alias("_upto")).where("_upto > 0"), "pairs")
@@ -99,14 +100,17 @@ def fan_out_stats(samples: DataFrame, bundle_sources: DataFrame, order: list[str
         met = rows.withColumn("_band", F.floor((F.col("_rank") - 1) / band)).join(bands, [source, "_band"])
         return met.where((F.col("_from") < F.col("_rank")) & (F.col("_rank") <= F.col("_upto")))
 
-    docs = ranked.where("doc_id is not null").groupBy(source, "doc_id").agg(F.min("_rank").alias("_rank"))
+    names = {"_samples": "sample_count", "_docs": "document_count", "_pages": "page_count", "_size": "size"}
     none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    items = ranked.select(source, "_rank", one.alias("_samples"), none.alias("_docs"), "_pages", "_size").unionByName(
-        docs.select(source, "_rank", none.alias("_samples"), one.alias("_docs"), none.alias("_pages"), F.lit(None).cast("bigint").alias("_size"))
-    )
-    sums = ["_samples", "_docs", "_pages", "_size"]
+    items = ranked.select(source, "_rank", one.alias("_samples"), none.alias("_docs"), "_pages", "_size")
+    if documents:
+        docs = ranked.where("doc_id is not null").groupBy(source, "doc_id").agg(F.min("_rank").alias("_rank"))
+        items = items.unionByName(docs.select(source, "_rank", none.alias("_samples"), one.alias("_docs"), none.alias("_pages"), F.lit(None).cast("bigint").alias("_size")))
+    sums = [*names]
     steps = placed(items).groupBy(source, "_upto").agg(*[F.sum(c).alias(c) for c in sums])
     parts = pairs.join(steps.select(source, "_upto", *[F.sum(c).over(along).alias(c) for c in sums]), [source, "_upto"]).select(target, *sums)
+    if not documents:
+        return parts.groupBy(target).agg(*[F.sum(c).alias(n) for c, n in names.items() if c != "_docs"])
 
     groups = placed(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col(source).alias("s"), F.col("_upto").alias("u")))).alias("_in")).where(F.size("_in") > 1)
     groups = groups.groupBy("_in").agg(F.min("doc_id").alias("_doc"), F.count(F.lit(1)).alias("_k"))
@@ -119,7 +123,6 @@ def fan_out_stats(samples: DataFrame, bundle_sources: DataFrame, order: list[str
     often = met.groupBy(F.col("_ta").alias(target), "_doc").agg(F.first("_k").alias("_k"), F.count(F.lit(1)).alias("_met"))
     often = often.withColumn("_docs", -F.col("_k") * F.round((F.sqrt(F.col("_met") * 8 + 1) - 1) / 2).cast("bigint"))
     less = often.select(target, none.alias("_samples"), "_docs", none.alias("_pages"), F.lit(None).cast("bigint").alias("_size"))
-    names = {"_samples": "sample_count", "_docs": "document_count", "_pages": "page_count", "_size": "size"}
     return parts.unionByName(less).groupBy(target).agg(*[F.sum(c).alias(n) for c, n in names.items()])
 
 

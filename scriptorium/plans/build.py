@@ -53,9 +53,9 @@ def manifest_record(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.sha2("text", 256).alias("canonical_target_hash"), *[c.alias(n) for n, c in target_features(t).items()])
 
 
-def bundle_fanout_stats(spark: SparkSession, d: str) -> DataFrame:
+def bundle_fanout_stats(spark: SparkSession, d: str, documents: bool = True) -> DataFrame:
     s = once(spark, d, "source_id", "doc_id", "page_id", "target_char_count").withColumn("source_id", _sid())
-    return B.fan_out_stats(s, _bundle_sources(spark, d), ["sample_id"])
+    return B.fan_out_stats(s, _bundle_sources(spark, d), ["sample_id"], documents=documents)
 
 
 def scope_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +116,8 @@ def artifact_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_totals(spark: SparkSession, d: str) -> DataFrame:
-    return bundle_fanout_stats(spark, d).agg(F.sum("sample_count").alias("samples"), F.sum("page_count").alias("pages"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("bundles"))
+    # documents are no part of the totals
+    return bundle_fanout_stats(spark, d, documents=False).agg(F.sum("sample_count").alias("samples"), F.sum("page_count").alias("pages"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("bundles"))
 
 
 SHARD_CHARS = 40_000

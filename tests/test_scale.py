@@ -90,6 +90,21 @@ def test_fan_out_is_not_made(spark, tmp_path, query):
     assert n <= most_rows(spark, before)[0] < 3 * n
 
 
+def test_totals_make_no_pairs_of_documents_and_bundles(spark, tmp_path):
+    from scriptorium.plans.build import QUERIES
+
+    # every document stands in two sources, at ranks between other quotas; all bundles have both
+    n, bundles = 600, 200
+    spark.range(2 * n).selectExpr("'s' || lpad(id, 5, '0') AS sample_id", "IF(id % 2 = 0, 'a', 'b') AS source_id", "'d' || id div 2 AS doc_id", "IF(id % 3 = 0, 'p:1', NULL) AS page_id", "2 AS target_char_count").write.parquet(f"{tmp_path}/canonical_samples.parquet")
+    spark.range(bundles).selectExpr("id AS record_id", "'b' || id AS bundle_id", "'a|b' AS primary_sources", "timestamp_seconds(id) AS recorded_at").write.parquet(f"{tmp_path}/bundle_registry.parquet")
+    spark.range(2 * bundles).selectExpr("'b' || id div 2 AS bundle_id", "IF(id % 2 = 0, 'a', 'b') AS source_id", f"CAST({n} - id div 2 AS int) AS target_samples").write.parquet(f"{tmp_path}/source_allocation.parquet")
+    before = most_rows(spark)[1]
+    got = QUERIES["run_totals"](spark, str(tmp_path)).collect()
+    kept = [i for b in range(bundles) for i in range(2 * (n - b))]
+    assert [tuple(r) for r in got] == [(len(kept), sum(i % 3 == 0 for i in kept), 2 * len(kept), bundles)]
+    assert 2 * n <= most_rows(spark, before)[0] < 6 * n
+
+
 def test_tails_are_not_broadcast(spark, monkeypatch):
     rng = random.Random(5)
     members = [f"a/{''.join(rng.choices('xyé', k=rng.randint(1, 9)))}" for _ in range(200)] + [None]
